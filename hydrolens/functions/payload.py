@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # A Java-only float spelling: a hexadecimal number or a type letter after a digit.
@@ -16,13 +16,18 @@ def number(text: Column) -> Column:
     return F.when(~text.rlike(_NOT_A_NUMBER), text.try_cast("double"))
 
 
-def json_object(payload: Column) -> Column:
-    """The payload as a map of texts; null unless it is exactly one JSON object.
+def with_fields(raw: DataFrame) -> DataFrame:
+    """Adds ``fields``: the payload as a map of texts, null unless it is one JSON object.
 
-    Wrapping it in an array makes trailing text after the object malformed too.
+    Wrapping the payload in an array makes trailing text after the object
+    malformed too. The map comes out of a generator with one row per payload,
+    because the optimizer would copy a plain column's parsing into every filter
+    and expression that uses it.
     """
-    one = F.from_json(F.concat(F.lit("["), payload, F.lit("]")), "array<map<string,string>>")
-    return F.when(F.size(one) == 1, one[0])
+    wrapped = F.concat(F.lit("["), F.col("payload"), F.lit("]"))
+    parsed = F.from_json(wrapped, "array<map<string,string>>")
+    single = F.transform(F.array(parsed), lambda objects: F.when(F.size(objects) == 1, objects[0]))
+    return raw.select("*", F.explode(single).alias("fields"))
 
 
 def first_present(fields: Column, keys: Sequence[str]) -> Column:

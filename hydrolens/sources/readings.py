@@ -71,7 +71,7 @@ def http_readings(raw: DataFrame, missing: str = "zero") -> DataFrame:
     :func:`rejects`.
     """
     fields = F.col("fields")
-    parsed = raw.withColumn("fields", P.json_object(F.col("payload")))
+    parsed = P.with_fields(raw)
     number = {name: P.number(_get(fields, keys, missing)) for name, keys in C.HTTP_KEYS.items()}
     taken = parsed.filter(http_rejects(fields, missing).isNull()).select(
         *ARRIVAL, *[number[name].alias(name) for name in C.HTTP_KEYS]
@@ -110,7 +110,7 @@ def serial_readings(raw: DataFrame) -> DataFrame:
     for an absent one. Conductivity stays in ppm on this path.
     """
     fields = F.col("fields")
-    parsed = raw.withColumn("fields", P.json_object(F.col("payload")))
+    parsed = P.with_fields(raw)
     taken = parsed.filter(serial_rejects(fields).isNull()).select(
         "device_id",
         "seq",
@@ -135,7 +135,7 @@ def serial_readings(raw: DataFrame) -> DataFrame:
 def rejects(raw: DataFrame, path: str = "http") -> DataFrame:
     """Refused payloads with the reason; the complement of the two readers."""
     reason = http_rejects if path == "http" else serial_rejects
-    parsed = raw.withColumn("fields", P.json_object(F.col("payload")))
+    parsed = P.with_fields(raw)
     judged = parsed.select(*ARRIVAL, "payload", reason(F.col("fields")).alias("reason"))
     return judged.filter(F.col("reason").isNotNull())
 
