@@ -2,32 +2,49 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A Java-only float spelling: a hexadecimal number or a type letter after a digit.
-_NOT_A_NUMBER = r"[xX]|[0-9.][dDfF]\s*$"
+# Decimal or exponent notation, or a special value, with space around it.
+_NUMBER = r"(?i)^\s*([+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]+)?|nan|inf(?:inity)?))\s*$"
 
 
 def number(text: Column) -> Column:
     """Text to double; null where the text is not a plain number."""
-    return F.when(~text.rlike(_NOT_A_NUMBER), text.try_cast("double"))
+    return F.regexp_extract(text, _NUMBER, 1).try_cast("double")
 
 
-def with_fields(raw: DataFrame) -> DataFrame:
-    """Adds ``fields``: the payload as a map of texts, null unless it is one JSON object.
+def with_fields(raw: DataFrame, keys: Mapping[str, Sequence[str]]) -> DataFrame:
+    """Adds ``fields``: what the payload holds under the names of ``keys``.
 
-    Wrapping the payload in an array makes trailing text after the object
-    malformed too. The map comes out of a generator with one row per payload,
-    because the optimizer would copy a plain column's parsing into every filter
-    and expression that uses it.
+    ``fields`` is null unless the payload is exactly one JSON object (wrapping
+    it in an array makes trailing text malformed too). Each name is a struct of
+    ``present`` (one of its keys is there), ``empty`` (there with a null value)
+    and ``number``.
+
+    The struct comes out of a generator with one row per payload, because the
+    optimizer would copy a plain column's parsing into every filter and
+    expression that uses it.
     """
+
+    def read(objects: Column) -> Column:
+        found = []
+        for name, spellings in keys.items():
+            text = first_present(objects[0], spellings)
+            present = any_present(objects[0], spellings)
+            one = F.struct(
+                present.alias("present"),
+                (present & text.isNull()).alias("empty"),
+                number(text).alias("number"),
+            )
+            found.append(one.alias(name))
+        return F.when(F.size(objects) == 1, F.struct(*found))
+
     wrapped = F.concat(F.lit("["), F.col("payload"), F.lit("]"))
     parsed = F.from_json(wrapped, "array<map<string,string>>")
-    single = F.transform(F.array(parsed), lambda objects: F.when(F.size(objects) == 1, objects[0]))
-    return raw.select("*", F.explode(single).alias("fields"))
+    return raw.select("*", F.explode(F.transform(F.array(parsed), read)).alias("fields"))
 
 
 def first_present(fields: Column, keys: Sequence[str]) -> Column:

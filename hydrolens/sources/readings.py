@@ -39,27 +39,21 @@ def event_time(ts_ms: Column, arrival: Column | None = None) -> Column:
     return F.coalesce(F.timestamp_millis(ts_ms.try_cast("bigint")), arrival)
 
 
-def _get(fields: Column, keys: tuple[str, ...], missing: str) -> Column:
-    value = P.first_present(fields, keys)
-    return value.otherwise(F.lit("0")) if missing == "zero" else value
+def _bad(name: str) -> Column:
+    """A key that is there without a readable number."""
+    return F.col(f"fields.{name}.present") & F.col(f"fields.{name}.number").isNull()
 
 
-def http_rejects(fields: Column, missing: str = "zero") -> Column:
-    """Why the network ingest refuses a payload, null where it takes it."""
-
-    def unusable(name: str) -> Column:
-        keys = C.HTTP_KEYS[name]
-        return P.any_present(fields, keys) & P.number(P.first_present(fields, keys)).isNull()
+def _empty(name: str) -> Column:
+    return F.col(f"fields.{name}.empty")
 
-    def null_valued(name: str) -> Column:
-        keys = C.HTTP_KEYS[name]
-        return P.any_present(fields, keys) & P.first_present(fields, keys).isNull()
 
-    bad = unusable("ppm") | unusable("distance") | unusable("raw_ph")
+def _http_reason() -> Column:
+    """Why the network ingest refuses a payload, null where it takes it."""
     return (
-        F.when(fields.isNull(), F.lit("malformed"))
-        .when(bad, F.lit("bad number"))
-        .when(null_valued("temperature") | null_valued("humidity"), F.lit("null value"))
+        F.when(F.col("fields").isNull(), F.lit("malformed"))
+        .when(_bad("ppm") | _bad("distance") | _bad("raw_ph"), F.lit("bad number"))
+        .when(_empty("temperature") | _empty("humidity"), F.lit("null value"))
     )
 
 
@@ -70,11 +64,16 @@ def http_readings(raw: DataFrame, missing: str = "zero") -> DataFrame:
     ``missing="null"`` keeps it absent. Refused payloads are left to
     :func:`rejects`.
     """
-    fields = F.col("fields")
-    parsed = P.with_fields(raw)
-    number = {name: P.number(_get(fields, keys, missing)) for name, keys in C.HTTP_KEYS.items()}
-    taken = parsed.filter(http_rejects(fields, missing).isNull()).select(
-        *ARRIVAL, *[number[name].alias(name) for name in C.HTTP_KEYS]
+
+    def number(name: str) -> Column:
+        value = F.col(f"fields.{name}.number")
+        if missing == "zero":
+            value = F.when(F.col(f"fields.{name}.present"), value).otherwise(0.0)
+        return value.alias(name)
+
+    parsed = P.with_fields(raw, C.HTTP_KEYS)
+    taken = parsed.filter(_http_reason().isNull()).select(
+        *ARRIVAL, *[number(name) for name in C.HTTP_KEYS]
     )
     return taken.select(
         *ARRIVAL,
@@ -89,17 +88,20 @@ def http_readings(raw: DataFrame, missing: str = "zero") -> DataFrame:
     )
 
 
-def serial_rejects(fields: Column) -> Column:
+_SERIAL_FIELDS = {**C.SERIAL_KEYS, "timestamp": ("timestamp",)}
+
+
+def _serial_reason() -> Column:
     """Why the serial ingest skips a line, null where it takes it."""
-    known = [key for keys in C.SERIAL_KEYS.values() for key in keys] + ["timestamp"]
-    bad = F.lit(False)
-    for keys in C.SERIAL_KEYS.values():
-        value = P.first_present(fields, keys)
-        bad = bad | (P.any_present(fields, keys) & P.number(value).isNull())
+    any_key = any_bad = F.lit(False)
+    for name in _SERIAL_FIELDS:
+        any_key = any_key | F.col(f"fields.{name}.present")
+    for name in C.SERIAL_KEYS:
+        any_bad = any_bad | _bad(name)
     return (
-        F.when(fields.isNull(), F.lit("malformed"))
-        .when(~P.any_present(fields, known), F.lit("empty"))
-        .when(bad, F.lit("bad number"))
+        F.when(F.col("fields").isNull(), F.lit("malformed"))
+        .when(~any_key, F.lit("empty"))
+        .when(any_bad, F.lit("bad number"))
     )
 
 
@@ -109,16 +111,12 @@ def serial_readings(raw: DataFrame) -> DataFrame:
     A ``timestamp`` in the payload is the event time; the arrival time stands in
     for an absent one. Conductivity stays in ppm on this path.
     """
-    fields = F.col("fields")
-    parsed = P.with_fields(raw)
-    taken = parsed.filter(serial_rejects(fields).isNull()).select(
+    parsed = P.with_fields(raw, _SERIAL_FIELDS)
+    taken = parsed.filter(_serial_reason().isNull()).select(
         "device_id",
         "seq",
-        event_time(fields["timestamp"], F.col("ts")).alias("ts"),
-        *[
-            P.number(P.first_present(fields, keys)).alias(name)
-            for name, keys in C.SERIAL_KEYS.items()
-        ],
+        event_time(F.col("fields.timestamp.number"), F.col("ts")).alias("ts"),
+        *[F.col(f"fields.{name}.number").alias(name) for name in C.SERIAL_KEYS],
     )
     return taken.select(
         *ARRIVAL,
@@ -134,9 +132,10 @@ def serial_readings(raw: DataFrame) -> DataFrame:
 
 def rejects(raw: DataFrame, path: str = "http") -> DataFrame:
     """Refused payloads with the reason; the complement of the two readers."""
-    reason = http_rejects if path == "http" else serial_rejects
-    parsed = P.with_fields(raw)
-    judged = parsed.select(*ARRIVAL, "payload", reason(F.col("fields")).alias("reason"))
+    keys, reason = (
+        (C.HTTP_KEYS, _http_reason()) if path == "http" else (_SERIAL_FIELDS, _serial_reason())
+    )
+    judged = P.with_fields(raw, keys).select(*ARRIVAL, "payload", reason.alias("reason"))
     return judged.filter(F.col("reason").isNotNull())
 
 
