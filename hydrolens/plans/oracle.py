@@ -563,3 +563,12 @@ for _name in (
     "pump_timeline", "offline_spans",
 ):
     ORACLE[f"{_name}_hot"] = ORACLE[_name]
+
+# The same results out of streams. A stream's clock is the newest event time.
+for _name in (
+    "hourly_kpis", "kpi_keyed", "ph_ma10", "alerts", "ingest_json", "latest_state", "pump_actions",
+):
+    ORACLE[f"{_name}_stream"] = ORACLE[_name]
+ORACLE["offline_spans_stream"] = ORACLE["offline_spans"].replace(
+    "TIMESTAMP '2024-01-30 12:00:00'", "(SELECT max(ts) FROM readings)"
+)
