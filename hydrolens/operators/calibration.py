@@ -53,6 +53,11 @@ def status(points: DataFrame) -> DataFrame:
     return counted.withColumn("is_calibrated", F.col("points_count") >= 2)
 
 
+def report(points: DataFrame) -> DataFrame:
+    """The points in force, each with the status of its device."""
+    return points.join(status(points), DEVICE)
+
+
 def _line(v_low: Column, ph_low: Column, v_high: Column, ph_high: Column) -> Column:
     """Slope and intercept: through the outermost points, or the standard slope."""
     rise = (ph_high - ph_low) / F.nullif(v_high - v_low, F.lit(0.0))

@@ -227,44 +227,44 @@ def _fold_slices(
         *keys,
         *[F.coalesce(F.col(name), F.lit(0)).alias(name) for name in flags],
         *[F.lit(NEVER).alias(name) for name in Controller.FIELDS[3:]],
+        F.lit(0).alias("last_round"),
     )
-    guesses = written(guesses, "control-entries")
+    entries = written(guesses, "control-entries")
     table = fresh_dir(spark, "control-actions")
-    _fold(placed.unionByName(entry_rows(guesses)), rules).write.parquet(f"{table}/round=0")
+    _fold(placed.unionByName(entry_rows(entries)), rules).write.parquet(f"{table}/round=0")
 
-    number, entries = 0, guesses
-    rounds = spark.createDataFrame([], "device_id bigint, slice int, last_round int")
+    number = 0
     while True:
         part = spark.read.schema(_OUT_SCHEMA).parquet(f"{table}/round={number}")
         ends = part.filter(F.col("action") == "exit")
         found = ends.select(DEVICE, (F.col("slice") + 1).alias("slice"), *Controller.FIELDS)
         same = F.lit(True)
         for name in Controller.FIELDS:
-            same = same & F.col(f"new.{name}").eqNullSafe(F.col(f"old.{name}"))
-        # A slice without any event hands on its entry: it has an entry row.
-        wrong = (
-            found.alias("new")
-            .join(F.broadcast(entries.alias("old")), keys)
-            .filter(~same)
-            .select(*keys, *[F.col(f"new.{name}").alias(name) for name in Controller.FIELDS])
+            same = same & (F.col(f"new.{name}") == F.col(f"old.{name}"))
+        # Every later slice has an entry row, so one without events hands it on.
+        seams = found.alias("new").join(F.broadcast(entries.alias("old")), keys).filter(~same)
+        number += 1
+        wrong = written(
+            seams.select(
+                *keys,
+                *[F.col(f"new.{name}").alias(name) for name in Controller.FIELDS],
+                F.lit(number).alias("last_round"),
+            ),
+            "control-entries",
         )
-        to_fold = written(wrong, "control-entries")
-        if to_fold.isEmpty():
+        if wrong.isEmpty():
             break
-        number += 1
-        again = placed.join(F.broadcast(to_fold.select(*keys)), keys, "left_semi")
-        redone = _fold(again.unionByName(entry_rows(to_fold)), rules)
-        redone.write.parquet(f"{table}/round={number}")
-        changed = F.broadcast(to_fold.select(*keys))
+        changed = F.broadcast(wrong.select(*keys))
+        again = placed.join(changed, keys, "left_semi").unionByName(entry_rows(wrong))
+        _fold(again, rules).write.parquet(f"{table}/round={number}")
         kept = entries.join(changed, keys, "left_anti")
-        entries = written(kept.unionByName(to_fold), "control-entries")
-        earlier = rounds.join(changed, keys, "left_anti")
-        folded = to_fold.select(*keys, F.lit(number).alias("last_round"))
-        rounds = written(earlier.unionByName(folded), "control-rounds")
+        entries = written(kept.unionByName(wrong), "control-entries")
+
+    rounds = F.broadcast(entries.select(*keys, "last_round"))
     everything = spark.read.schema(_OUT_SCHEMA + ", round int").parquet(table)
     current = F.coalesce("last_round", F.lit(0)) == F.col("round")
-    kept = everything.join(F.broadcast(rounds), keys, "left").filter(current)
-    return kept.filter(F.col("action") != "exit").select(*_OUT_COLUMNS)
+    valid = everything.join(rounds, keys, "left").filter(current)
+    return valid.filter(F.col("action") != "exit").select(*_OUT_COLUMNS)
 
 
 def dose_events(done: DataFrame) -> DataFrame:

@@ -30,10 +30,14 @@ def aggregate_windows(
 
 
 def hourly_kpis(
-    readings: DataFrame, by: tuple[str, ...] = (), width: str = "1 hour"
+    readings: DataFrame,
+    by: tuple[str, ...] = (),
+    width: str = "1 hour",
+    ordered: bool = True,
 ) -> DataFrame:
-    """Outlier-free indicators per window, in window order."""
-    return aggregate_windows(without_outliers(readings), by, width).orderBy(*by, "window_start")
+    """Outlier-free indicators per window; ``ordered`` sorts the whole result."""
+    kpis = aggregate_windows(without_outliers(readings), by, width)
+    return kpis.orderBy(*by, "window_start") if ordered else kpis
 
 
 def keyed_kpis(kpis: DataFrame) -> DataFrame:

@@ -482,6 +482,11 @@ ORACLE: dict[str, str] = {
         "SELECT device_id, count(*) AS points_count, count(*) >= 2 AS is_calibrated "
         "FROM points GROUP BY device_id",
     ),
+    "calibration_report": _sql(
+        _POINTS,
+        """SELECT device_id, voltage, ph, count(*) OVER (PARTITION BY device_id) AS points_count,
+  count(*) OVER (PARTITION BY device_id) >= 2 AS is_calibrated FROM points""",
+    ),
     "calibration_line": _sql(
         _POINTS + " lines fitted", "SELECT device_id, points_count, slope, intercept FROM fitted"
     ),

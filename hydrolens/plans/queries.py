@@ -93,7 +93,7 @@ def temp_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def temp_ranking_by_device(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return latest.temperature_ranking(views.readings(spark, sf_dir), per_device=True)
+    return latest.device_temperature_ranking(views.readings(spark, sf_dir))
 
 
 def reading_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,10 +151,6 @@ def decode_adc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return present(source.decode_adc(views.adc_raw(spark, sf_dir)))
 
 
-def _measure(spark: SparkSession, sf_dir: str, name: str, *columns) -> DataFrame:
-    return views.rows(spark, sf_dir).select("device_id", "seq", *columns)
-
-
 def ph_voltage(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = views.readings(spark, sf_dir)
     volts = units.ph_to_volts(F.col("raw_ph"))
@@ -211,7 +207,7 @@ def hourly_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hourly_kpis_by_device(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kpis = rollup.hourly_kpis(views.readings(spark, sf_dir), by=("device_id",))
+    kpis = rollup.hourly_kpis(views.readings(spark, sf_dir), by=("device_id",), ordered=False)
     return present(kpis, *_KPI_DOUBLES)
 
 
@@ -253,6 +249,10 @@ def calibration_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calibration.status(calibration.live_points(views.calibration_log(spark, sf_dir)))
 
 
+def calibration_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return calibration.report(calibration.live_points(views.calibration_log(spark, sf_dir)))
+
+
 def calibration_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calibration.line(calibration.live_points(views.calibration_log(spark, sf_dir)))
 
@@ -436,6 +436,7 @@ BATCH: dict[str, Query] = {
     "calibration_points": calibration_points,
     "calibration_requests": calibration_requests,
     "calibration_status": calibration_status,
+    "calibration_report": calibration_report,
     "calibration_line": calibration_line,
     "calibrated_ph": calibrated_ph,
     "calibrated_ph_asof": _calibrated_as_of(None),
