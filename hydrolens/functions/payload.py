@@ -40,7 +40,8 @@ def with_fields(raw: DataFrame, keys: Mapping[str, Sequence[str]]) -> DataFrame:
                 number(text).alias("number"),
             )
             found.append(one.alias(name))
-        return F.when(F.size(objects) == 1, F.struct(*found))
+        single = (F.size(objects) == 1) & objects[0].isNotNull()
+        return F.when(single, F.struct(*found))
 
     wrapped = F.concat(F.lit("["), F.col("payload"), F.lit("]"))
     parsed = F.from_json(wrapped, "array<map<string,string>>")
