@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from hydrolens import constants as C
 from hydrolens.functions import units
-from hydrolens.operators.slicing import DEVICE, as_of, hot_cuts, place
+from hydrolens.operators.slicing import DEVICE, as_of, as_of_cuts, common_cuts, place
+from hydrolens.session import written
 
 
 def points_from_requests(
@@ -97,16 +98,16 @@ def apply_current(
     return joined.withColumn("calibrated_ph", value)
 
 
-def line_history(log: DataFrame, rows_per_slice: int | None = None) -> DataFrame:
+def line_history(log: DataFrame, cuts: DataFrame | None = None) -> DataFrame:
     """The line in force after each log entry.
 
     Within one stretch between resets the line needs only the outermost points
-    so far, so running extremes are enough and no point list is kept.
+    so far, so running extremes are enough and no point list is kept. ``cuts``
+    are those of hot devices.
     """
     log = log.filter(
         (F.col("op") == "reset") | (F.col("voltage").isNotNull() & F.col("ph").isNotNull())
     ).select(DEVICE, "seq", "ts", "op", "voltage", "ph")
-    cuts = hot_cuts(log, rows_per_slice)
     keys = [DEVICE]
     entries = log.withColumn("_carried", F.lit(False))
     if cuts is not None:
@@ -191,7 +192,11 @@ def apply_as_of(
     rows_per_slice: int | None = None,
 ) -> DataFrame:
     """Readings on the line which was in force at their time."""
-    history = line_history(log, rows_per_slice)
-    joined = as_of(readings, history, ["line"], rows_per_slice)
+    cuts = common_cuts(readings, log, rows_per_slice)
+    history = line_history(log, cuts)
+    if cuts is not None:
+        # It is read twice then: as events and for the carried states.
+        history = written(history, "calibration-lines")
+    joined = as_of_cuts(readings, history, ["line"], cuts)
     value = calibrated(F.col("raw_ph"), F.col("line.slope"), F.col("line.intercept"), digits)
     return joined.withColumn("calibrated_ph", value).drop("line")

@@ -5,6 +5,7 @@ import random
 import pytest
 
 from hydrolens.operators import calibration
+from hydrolens.operators.slicing import hot_cuts
 from tests.helpers import at, rows
 
 LOG = "device_id bigint, seq bigint, ts timestamp, op string, voltage double, ph double"
@@ -113,7 +114,8 @@ def test_line_history_equals_brute_force(spark, rows_per_slice):
             low, high = min(live), max(live)
             slope = (live[high] - live[low]) / (high - low)
         expected.append((seq, slope))
-    history = calibration.line_history(spark.createDataFrame(data, LOG), rows_per_slice)
+    df = spark.createDataFrame(data, LOG)
+    history = calibration.line_history(df, hot_cuts(df, rows_per_slice))
     found = rows(history.select("seq", "line.slope"))
     assert [seq for seq, _ in sorted(found)] == [seq for seq, _ in expected]
     for (_, slope), (_, wanted) in zip(sorted(found, key=lambda r: r[0]), expected):
