@@ -20,6 +20,7 @@ def clean(log: DataFrame) -> DataFrame:
     typed = log.select(
         "device_id",
         "seq",
+        "stream_id",
         text.stream_id_millis(F.col("stream_id")).alias("arrival_ms"),
         F.timestamp_millis(millis).alias("ts"),
         *[payload.number(F.col(name)).alias(name) for name in MEASURES],

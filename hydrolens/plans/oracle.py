@@ -162,6 +162,7 @@ _CTE = {
          NULL, ph, salinity FROM serial""",
     "stored": """
   SELECT device_id, seq, epoch_us(ts) // 1000 AS ms,
+         CAST(epoch_us(ts) // 1000 AS VARCHAR) || '-' || CAST(seq AS VARCHAR) AS stream_id,
          CASE WHEN seq % 29 <> 0 THEN CAST(value % 75 - 12 AS DECIMAL(12,2))::DOUBLE END AS temperature,
          (30 + k % 60)::DOUBLE AS humidity,
          CASE WHEN seq % 31 <> 0 THEN CAST(value % 15 AS DECIMAL(12,2))::DOUBLE END AS ph,
@@ -169,7 +170,7 @@ _CTE = {
          (k % 25)::DOUBLE AS distance
   FROM e WHERE seq % 23 <> 0""",
     "cleaned": """
-  SELECT device_id, seq, ms AS arrival_ms, make_timestamp(ms * 1000) AS ts, temperature, humidity,
+  SELECT device_id, seq, stream_id, ms AS arrival_ms, make_timestamp(ms * 1000) AS ts, temperature, humidity,
          ph, conductivity, distance
   FROM stored""",
     "smoothed": """
@@ -571,7 +572,8 @@ for _name in (
 
 # The same results out of streams. A stream's clock is the newest event time.
 for _name in (
-    "hourly_kpis", "kpi_keyed", "ph_ma10", "alerts", "ingest_json", "latest_state", "pump_actions",
+    "hourly_kpis", "kpi_keyed", "ph_ma10", "alerts", "ingest_json", "ingest_smoothed",
+    "latest_state", "pump_actions",
 ):
     ORACLE[f"{_name}_stream"] = ORACLE[_name]
 ORACLE["offline_spans_stream"] = ORACLE["offline_spans"].replace(

@@ -28,8 +28,15 @@ def kpi_keyed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ph_ma10_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = views.readings(spark, sf_dir, streaming=True)
-    return present(sinks.run_to_table(state.moving_mean(rows, "ph", "ph_ma10"), "ma10"), "ph_ma10")
+    rows = views.readings(spark, sf_dir, streaming=True).select("device_id", "seq", "ts", "ph")
+    means = state.moving_mean(rows, {"ph": "ph_ma10"})
+    return present(sinks.run_to_table(means, "ma10"), "ph_ma10")
+
+
+def ingest_smoothed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    http = source.http_readings(views.readings_raw(spark, sf_dir, streaming=True))
+    table = sinks.run_to_table(state.smooth_ingest(http, digits=None), "ingest")
+    return present(table, "ph", "conductivity", "eletrocondutividade")
 
 
 def alerts_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +73,7 @@ STREAMS: dict[str, Query] = {
     "ph_ma10_stream": ph_ma10_stream,
     "alerts_stream": alerts_stream,
     "ingest_json_stream": ingest_json_stream,
+    "ingest_smoothed_stream": ingest_smoothed_stream,
     "latest_state_stream": latest_state_stream,
     "offline_spans_stream": offline_spans_stream,
     "pump_actions_stream": pump_actions_stream,

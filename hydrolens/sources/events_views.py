@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 
 from hydrolens import schemas
 from hydrolens.functions import units
+from hydrolens.sources.readings import stream_table
 
 
 def rows(spark: SparkSession, sf_dir: str, streaming: bool = False) -> DataFrame:
     """All events with the telemetry keys; ``ts`` is an instant, not a wall clock."""
     if streaming:
-        reader = spark.readStream.schema(schemas.EVENTS).option("pathGlobFilter", "events.parquet")
-        events = reader.parquet(sf_dir)
+        events = stream_table(spark, sf_dir, schemas.EVENTS, pathGlobFilter="events.parquet")
     else:
         events = spark.read.schema(schemas.EVENTS).parquet(f"{sf_dir}/events.parquet")
     return events.select(

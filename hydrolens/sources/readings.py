@@ -19,9 +19,13 @@ def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def stream_table(
-    spark: SparkSession, path: str, schema: str, files_per_trigger: int = 1000, **options: str
+    spark: SparkSession, path: str, schema: str, files_per_trigger: int = 64, **options: str
 ) -> DataFrame:
-    """The same table as a stream of its files."""
+    """The same table as a stream of its files.
+
+    The limit bounds a micro-batch, and with it what a stateful operator sorts
+    per device at once.
+    """
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
     return reader.options(**options).parquet(path)
 

@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from hydrolens import constants as C
@@ -45,48 +46,57 @@ class _Mean:
 
 
 class MovingMean(StatefulProcessor):
-    """Keeps the last values of a device."""
+    """Keeps a device's last values of some columns; other columns pass through."""
 
-    def __init__(self, column: str, length: int):
-        self.column, self.length = column, length
+    def __init__(self, columns: dict[str, str], length: int, digits: int | None):
+        self.columns, self.length, self.digits = columns, length, digits
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.window = handle.getValueState("window", "last array<double>")
+        self.window = handle.getValueState("window", "last array<array<double>>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         arrived = _sorted(rows, "ts", "seq")
-        kept = self.window.get()[0] if self.window.exists() else []
-        mean = _Mean(self.length, [np.nan if one is None else one for one in kept])
-        values = arrived[self.column].tolist()
-        means = [mean.push(value) for value in values]
-        self.window.update((mean.values,))
-        yield pd.DataFrame(
-            {
-                "device_id": key[0],
-                "seq": arrived["seq"].to_numpy(),
-                "ts": arrived["ts"].to_numpy(),
-                self.column: values,
-                "mean": means,
-            }
-        )
+        kept = self.window.get()[0] if self.window.exists() else [[] for _ in self.columns]
+        windows, smoothed = [], {}
+        for (name, out), last in zip(self.columns.items(), kept):
+            mean = _Mean(self.length, [np.nan if one is None else one for one in last])
+            means = [mean.push(value) for value in arrived[name].tolist()]
+            if self.digits is not None:
+                means = [None if one is None else round(one, self.digits) for one in means]
+            smoothed[out] = means
+            windows.append(mean.values)
+        self.window.update((windows,))
+        yield arrived.assign(**smoothed)
 
     def close(self) -> None:
         pass
 
 
 def moving_mean(
-    readings: DataFrame, column: str, out: str, length: int = C.SMOOTHING_ROWS
+    readings: DataFrame,
+    columns: dict[str, str],
+    length: int = C.SMOOTHING_ROWS,
+    digits: int | None = None,
 ) -> DataFrame:
-    """Mean over the last readings by arrival, the current one included."""
+    """Means over the last readings by arrival, the current one included."""
     use_state_store(readings.sparkSession)
-    asked = readings.select("device_id", "seq", "ts", column)
-    means = asked.groupBy("device_id").transformWithStateInPandas(
-        MovingMean(column, length),
-        outputStructType=f"device_id bigint, seq bigint, ts timestamp, {column} double, mean double",
+    added = [out for out in columns.values() if out not in readings.columns]
+    schema = T.StructType(
+        [*readings.schema.fields, *[T.StructField(out, T.DoubleType()) for out in added]]
+    )
+    return readings.groupBy("device_id").transformWithStateInPandas(
+        MovingMean(columns, length, digits),
+        outputStructType=schema,
         outputMode="Append",
         timeMode="None",
     )
-    return means.withColumnRenamed("mean", out)
+
+
+def smooth_ingest(http: DataFrame, digits: int | None = 2) -> DataFrame:
+    """Final form of network readings: pH and conductivity smoothed."""
+    means = {"ph": "ph", "conductivity": "conductivity"}
+    smoothed = moving_mean(http, means, digits=digits)
+    return smoothed.withColumn("eletrocondutividade", F.col("conductivity"))
 
 
 class OfflineSpans(StatefulProcessor):

@@ -54,10 +54,19 @@ def source(spark, tmp_path, request):
 def test_moving_mean(spark, source):
     batch, stream = source
     expected = smoothing.moving_mean(batch, {"ph": "mean"}).select("seq", F.round("mean", 9))
-    found = sinks.run_to_table(state.moving_mean(stream, "ph", "mean"), "t")
+    found = sinks.run_to_table(state.moving_mean(stream, {"ph": "mean"}), "t")
     assert rows(found.select("seq", F.round("mean", 9))) == rows(expected)
 
 
+def test_smoothed_readings_keep_their_other_columns(spark, source):
+    batch, stream = source
+    expected = smoothing.smooth_ingest(batch, digits=None)
+    names = ["seq", "temperature", "water_level", F.round("conductivity", 9), F.round("ph", 9)]
+    found = sinks.run_to_table(state.smooth_ingest(stream, digits=None), "t")
+    assert found.columns == expected.columns
+    assert rows(found.select(*names)) == rows(expected.select(*names))
+
+
 def test_hourly_indicators_in_update_mode(spark, source):
     batch, stream = source
     names = ["window_start", "max_temp", "min_temp", F.round("avg_temp", 6), F.round("stddev_temp", 6)]
@@ -123,7 +132,7 @@ def test_a_stream_goes_on_where_it_stopped(spark, tmp_path):
         part = data[half * 30 : half * 30 + 30]
         files(spark, part, READINGS, os.path.join(folder, f"h{half}"), 1)
         stream = stream_table(spark, os.path.join(folder, "*", "part*"), READINGS, 1)
-        means = state.moving_mean(stream, "conductivity", "mean")
+        means = state.moving_mean(stream, {"conductivity": "mean"})
         sinks.append_stream(means, out, progress).awaitTermination()
     batch = spark.createDataFrame(data, READINGS)
     expected = smoothing.moving_mean(batch, {"conductivity": "mean"})
