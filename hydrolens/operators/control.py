@@ -7,10 +7,10 @@ before the fold, and switch-offs are derived from the switch-ons after it.
 
 A hot device is folded slice by slice at once. Each slice starts from a guess
 of the state (the flags in force, nothing pending); the state at the end of
-every slice is then compared with the guess of the next, and the slices whose
-guess was wrong are folded again until all seams agree. The result is exact;
-usually two or three rounds do, since one pause longer than a cooldown makes a
-slice forget its past.
+every slice is then compared with the guess of the next (a cooldown or switch-off
+which is over by then does not count), and the slices whose guess was wrong are
+folded again until all seams agree. The result is exact. A few rounds do unless
+a device keeps one unbroken rhythm, where each round settles one more slice.
 """
 
 from __future__ import annotations
@@ -229,7 +229,9 @@ def _fold_slices(
         *[F.lit(NEVER).alias(name) for name in Controller.FIELDS[3:]],
         F.lit(0).alias("last_round"),
     )
-    entries = written(guesses, "control-entries")
+    starts = F.broadcast(cuts).select(DEVICE, "cuts")
+    guesses = guesses.join(starts, DEVICE).withColumn("start", F.get("cuts", F.col("slice") - 1))
+    entries = written(guesses.drop("cuts"), "control-entries")
     table = fresh_dir(spark, "control-actions")
     _fold(placed.unionByName(entry_rows(entries)), rules).write.parquet(f"{table}/round=0")
 
@@ -238,17 +240,19 @@ def _fold_slices(
         part = spark.read.schema(_OUT_SCHEMA).parquet(f"{table}/round={number}")
         ends = part.filter(F.col("action") == "exit")
         found = ends.select(DEVICE, (F.col("slice") + 1).alias("slice"), *Controller.FIELDS)
-        same = F.lit(True)
-        for name in Controller.FIELDS:
-            same = same & (F.col(f"new.{name}") == F.col(f"old.{name}"))
         # Every later slice has an entry row, so one without events hands it on.
-        seams = found.alias("new").join(F.broadcast(entries.alias("old")), keys).filter(~same)
+        seams = found.alias("new").join(F.broadcast(entries.alias("old")), keys)
+        met = _remembered("new", F.col("old.start"), rules)
+        same = F.lit(True)
+        for name, value in met.items():
+            same = same & (value == F.col(f"old.{name}"))
         number += 1
         wrong = written(
-            seams.select(
+            seams.filter(~same).select(
                 *keys,
-                *[F.col(f"new.{name}").alias(name) for name in Controller.FIELDS],
+                *[value.alias(name) for name, value in met.items()],
                 F.lit(number).alias("last_round"),
+                "old.start",
             ),
             "control-entries",
         )
@@ -267,6 +271,21 @@ def _fold_slices(
     return valid.filter(F.col("action") != "exit").select(*_OUT_COLUMNS)
 
 
+def _remembered(table: str, start: Column, rules: Rules) -> dict[str, Column]:
+    """A state as events from ``start`` on see it: what is over is forgotten."""
+    state = {name: F.col(f"{table}.{name}") for name in Controller.FIELDS}
+    never = F.lit(NEVER)
+    off = (state["off_at"] != never) & (state["off_at"] <= start)
+    rested = start - state["last_dose"] >= int(rules.cooldown * SECOND)
+    due = start - state["last_cycle"] > int(rules.cycle_every * SECOND)
+    return state | {
+        "circ": F.when(off, F.lit(0)).otherwise(state["circ"]),
+        "off_at": F.when(off, never).otherwise(state["off_at"]),
+        "last_dose": F.when(rested, never).otherwise(state["last_dose"]),
+        "last_cycle": F.when(due, never).otherwise(state["last_cycle"]),
+    }
+
+
 def dose_events(done: DataFrame) -> DataFrame:
     """Accepted and skipped doses; a skip tells the seconds left in the cooldown."""
     return done.filter(F.col("action").isin("dose", "skip")).select(
