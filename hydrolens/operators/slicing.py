@@ -92,14 +92,17 @@ def over_rows(
     order: Sequence[str] = ("ts", "seq"),
     forward: bool = False,
     rows_per_slice: int | None = None,
+    sized_by: DataFrame | None = None,
 ) -> DataFrame:
     """Window columns which look at most ``reach`` rows back (or forward).
 
     ``add`` gets the rows and the ordered window to use; with ``forward`` the
-    window runs backwards in time, so "preceding" means later.
+    window runs backwards in time, so "preceding" means later. ``sized_by`` is a
+    table whose device counts stand for those of ``rows`` where these are costly
+    to count; cuts decide only on balance, never on results.
     """
     direction = _ordered(order, forward)
-    cuts = hot_cuts(rows, rows_per_slice)
+    cuts = hot_cuts(rows if sized_by is None else sized_by, rows_per_slice)
     if cuts is None:
         return add(rows, Window.partitionBy(*by).orderBy(*direction))
 

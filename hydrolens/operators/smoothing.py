@@ -15,6 +15,7 @@ def moving_mean(
     length: int = C.SMOOTHING_ROWS,
     digits: int | None = None,
     rows_per_slice: int | None = None,
+    sized_by: DataFrame | None = None,
 ) -> DataFrame:
     """Mean of each column over the last ``length`` readings, this one included.
 
@@ -29,19 +30,27 @@ def moving_mean(
             means = {out: F.round(mean, digits) for out, mean in means.items()}
         return rows.withColumns(means)
 
-    return over_rows(readings, add, length - 1, rows_per_slice=rows_per_slice)
+    return over_rows(
+        readings, add, length - 1, rows_per_slice=rows_per_slice, sized_by=sized_by
+    )
 
 
 def smooth_ingest(
-    http: DataFrame, digits: int | None = 2, rows_per_slice: int | None = None
+    http: DataFrame,
+    digits: int | None = 2,
+    rows_per_slice: int | None = None,
+    raw: DataFrame | None = None,
 ) -> DataFrame:
     """Final form of a network reading: pH and conductivity smoothed.
 
     pH is smoothed unrounded, conductivity after its rounding to two decimals.
-    The smoothed conductivity is also kept under its device name.
+    The smoothed conductivity is also kept under its device name. With the
+    ``raw`` payloads at hand, devices are counted there and not after parsing.
     """
     means = {"ph": "ph", "conductivity": "conductivity"}
-    smoothed = moving_mean(http, means, digits=digits, rows_per_slice=rows_per_slice)
+    smoothed = moving_mean(
+        http, means, digits=digits, rows_per_slice=rows_per_slice, sized_by=raw
+    )
     return smoothed.withColumn("eletrocondutividade", F.col("conductivity"))
 
 

@@ -117,8 +117,8 @@ def ingest_json_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ingest_smoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    http = source.http_readings(views.readings_raw(spark, sf_dir))
-    smoothed = smoothing.smooth_ingest(http, digits=None)
+    raw = views.readings_raw(spark, sf_dir)
+    smoothed = smoothing.smooth_ingest(source.http_readings(raw), digits=None, raw=raw)
     return present(smoothed, "ph", "conductivity", "eletrocondutividade")
 
 

@@ -67,6 +67,14 @@ def test_moving_mean_equals_brute_force(spark, rows_per_slice):
     assert sorted(got) == brute_means([tuple(row) for row in df.collect()], 10)
 
 
+def test_cuts_of_another_table_change_nothing(spark):
+    df = skewed(spark)
+    other = df.filter("seq > 300").withColumn("device_id", F.lit(7).cast("bigint"))
+    means = {"ph": "mean"}
+    found = smoothing.moving_mean(df, means, rows_per_slice=9, sized_by=other)
+    assert rows(found, "seq", "mean") == rows(smoothing.moving_mean(df, means), "seq", "mean")
+
+
 def test_mean_of_a_constant_is_the_constant(spark):
     df = skewed(spark).withColumn("ph", F.lit(6.5))
     found = smoothing.moving_mean(df, {"ph": "mean"}, rows_per_slice=20)
