@@ -25,7 +25,7 @@ from hydrolens.session import written
 DEVICE = "device_id"
 ROWS_PER_SLICE = 5_000_000
 MAX_SLICES = 100_000
-MAX_SLICES_PER_DEVICE = 4096
+MAX_SLICES_PER_DEVICE = 2**14
 
 
 def hot_cuts(rows: DataFrame, rows_per_slice: int | None = None) -> DataFrame | None:
@@ -60,7 +60,8 @@ def hot_cuts(rows: DataFrame, rows_per_slice: int | None = None) -> DataFrame |
 
 def _slice_of(micros: Column, cuts: Column) -> Column:
     """How many cuts lie at or before a time (binary search in the cuts)."""
-    steps = F.array(*[F.lit(MAX_SLICES_PER_DEVICE >> i) for i in range(13)])
+    halvings = MAX_SLICES_PER_DEVICE.bit_length()
+    steps = F.array(*[F.lit(MAX_SLICES_PER_DEVICE >> i) for i in range(halvings)])
 
     def advance(found: Column, step: Column) -> Column:
         beyond = found + step

@@ -62,16 +62,28 @@ def test_a_written_table_cuts_the_lineage(spark):
     assert "Range" not in df._jdf.queryExecution().toString()
 
 
-def test_no_machine_local_folder_on_a_cluster():
-    class Conf:
-        def get(self, key, default=None):
-            return default
+class Session:
+    """A session without the setting."""
+
+    def __init__(self, master):
+        self.master, self.folder = master, None
+        self.conf = self.sparkContext = self
+
+    def get(self, key, default=None):
+        return default
+
+    def getCheckpointDir(self):
+        return self.folder
 
-    class Context:
-        master = "spark://host"
+    def setCheckpointDir(self, folder):
+        self.folder = folder
 
-    class Session:
-        conf, sparkContext = Conf(), Context()
 
+def test_no_machine_local_folder_on_a_cluster():
     with pytest.raises(ValueError):
-        shared_dir(Session())
+        shared_dir(Session("spark://host"))
+
+
+def test_a_local_master_gets_one_folder_of_its_own():
+    session = Session("local[2]")
+    assert os.path.isdir(shared_dir(session)) and shared_dir(session) == shared_dir(session)
