@@ -7,12 +7,16 @@ from pyspark.sql import functions as F
 
 from hydrolens import constants as C
 from hydrolens.functions import units
-from hydrolens.operators.slicing import DEVICE, as_of, as_of_cuts, common_cuts, place
+from hydrolens.operators.asof import as_of, is_small, look_up, over_events
+from hydrolens.operators.slicing import DEVICE, common_cuts, place
 from hydrolens.session import written
 
 
 def points_from_requests(
-    requests: DataFrame, readings: DataFrame, rows_per_slice: int | None = None
+    requests: DataFrame,
+    readings: DataFrame,
+    rows_per_slice: int | None = None,
+    small_log: int | None = None,
 ) -> DataFrame:
     """Calibration entries from requests which name a known pH.
 
@@ -20,7 +24,7 @@ def points_from_requests(
     else 0. A request before the device's first reading yields no entry.
     """
     log = readings.select(DEVICE, "seq", "ts", "raw_ph", "ph", F.lit(True).alias("seen"))
-    answered = as_of(requests, log, ["raw_ph", "ph", "seen"], rows_per_slice)
+    answered = as_of(requests, log, ["raw_ph", "ph", "seen"], rows_per_slice, small_log)
     measured = F.coalesce("raw_ph", "ph", F.lit(0.0))
     return answered.filter("seen").select(
         DEVICE,
@@ -190,13 +194,17 @@ def apply_as_of(
     log: DataFrame,
     digits: int | None = 2,
     rows_per_slice: int | None = None,
+    small_log: int | None = None,
 ) -> DataFrame:
     """Readings on the line which was in force at their time."""
-    cuts = common_cuts(readings, log, rows_per_slice)
-    history = line_history(log, cuts)
-    if cuts is not None:
-        # It is read twice then: as events and for the carried states.
-        history = written(history, "calibration-lines")
-    joined = as_of_cuts(readings, history, ["line"], cuts)
+    if is_small(log, small_log):
+        joined = look_up(readings, line_history(log), ["line"])
+    else:
+        cuts = common_cuts(readings, log, rows_per_slice)
+        history = line_history(log, cuts)
+        if cuts is not None:
+            # It is read twice then: as events and for the carried states.
+            history = written(history, "calibration-lines")
+        joined = over_events(readings, history, ["line"], cuts)
     value = calibrated(F.col("raw_ph"), F.col("line.slope"), F.col("line.intercept"), digits)
     return joined.withColumn("calibrated_ph", value).drop("line")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hydrolens import constants as C
-from hydrolens.operators.slicing import as_of_cuts, common_cuts
+from hydrolens.operators.asof import as_of
 
 
 def flag(name: str) -> Column:
@@ -28,15 +28,14 @@ def config_current(config_log: DataFrame) -> DataFrame:
 
 
 def config_as_of(
-    readings: DataFrame, config_log: DataFrame, rows_per_slice: int | None = None
+    readings: DataFrame,
+    config_log: DataFrame,
+    rows_per_slice: int | None = None,
+    small_log: int | None = None,
+    few_rows: int | None = None,
 ) -> DataFrame:
     """Readings with the flags in force at their time, 0 before the first write."""
-    return with_flags(readings, config_log, common_cuts(readings, config_log, rows_per_slice))
-
-
-def with_flags(readings: DataFrame, config_log: DataFrame, cuts: DataFrame | None) -> DataFrame:
-    """:func:`config_as_of` with the cuts of hot devices at hand."""
-    joined = as_of_cuts(readings, config_log, C.FLAGS, cuts)
+    joined = as_of(readings, config_log, C.FLAGS, rows_per_slice, small_log, few_rows)
     return joined.withColumns({name: F.coalesce(F.col(name), F.lit(0)) for name in C.FLAGS})
 
 
@@ -45,7 +44,8 @@ def dose_candidates(
     config_log: DataFrame,
     below: float = C.DOSE_BELOW_EC,
     rows_per_slice: int | None = None,
+    small_log: int | None = None,
 ) -> DataFrame:
     """Readings with low conductivity while dosing automation is on."""
-    joined = config_as_of(readings, config_log, rows_per_slice)
+    joined = config_as_of(readings, config_log, rows_per_slice, small_log)
     return joined.filter((F.col("auto") == 1) & (F.col("conductivity") < below))

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from hydrolens import constants as C
 from hydrolens.functions import units
-from hydrolens.operators.config import with_flags
+from hydrolens.operators.config import config_as_of
 from hydrolens.operators.slicing import DEVICE, carry, common_cuts, over_rows, place
 from hydrolens.session import fresh_dir, written
 
@@ -159,10 +159,14 @@ def _fold(events: DataFrame, rules: Rules) -> DataFrame:
 
 
 def _events(
-    readings: DataFrame, config_log: DataFrame, rules: Rules, cuts: DataFrame | None
+    readings: DataFrame,
+    config_log: DataFrame,
+    rules: Rules,
+    rows_per_slice: int | None,
+    small_log: int | None,
 ) -> DataFrame:
     """Configuration writes, and the readings on which some rule may act."""
-    judged = with_flags(readings, config_log, cuts)
+    judged = config_as_of(readings, config_log, rows_per_slice, small_log, few_rows=0)
     low = F.coalesce(F.col("conductivity") < rules.dose_below, F.lit(False))
     may_act = ((F.col("auto") == 1) & low) | (F.col("circ_auto") == 1)
     acting = judged.filter(may_act).select(
@@ -182,6 +186,7 @@ def actions(
     config_log: DataFrame,
     rules: Rules = Rules(),
     rows_per_slice: int | None = None,
+    small_log: int | None = None,
 ) -> DataFrame:
     """What the rules did: ``force_circ``, ``skip``, ``dose`` and ``cycle`` rows.
 
@@ -189,7 +194,7 @@ def actions(
     pump goes off again, ``wait_us`` the rest of the cooldown after a skip.
     """
     cuts = common_cuts(readings, config_log, rows_per_slice)
-    events = _events(readings, config_log, rules, cuts)
+    events = _events(readings, config_log, rules, rows_per_slice, small_log)
     if cuts is None:
         whole = events.select("*", F.lit(0).alias("slice"), F.lit(False).alias("is_hot"))
         done = _fold(whole, rules)

@@ -58,17 +58,20 @@ def hot_cuts(rows: DataFrame, rows_per_slice: int | None = None) -> DataFrame |
     return written(of_hot.groupBy(DEVICE).agg(cuts.alias("cuts")), "cuts")
 
 
-def _slice_of(micros: Column, cuts: Column) -> Column:
-    """How many cuts lie at or before a time (binary search in the cuts)."""
-    halvings = MAX_SLICES_PER_DEVICE.bit_length()
-    steps = F.array(*[F.lit(MAX_SLICES_PER_DEVICE >> i) for i in range(halvings)])
+def count_until(micros: Column, times: Column, most: int) -> Column:
+    """How many of at most ``most`` rising times lie at or before a time.
+
+    A binary search, 0 where there are no times.
+    """
+    halvings = most.bit_length()
+    steps = F.array(*[F.lit(1 << (halvings - 1 - i)) for i in range(halvings)])
 
     def advance(found: Column, step: Column) -> Column:
         beyond = found + step
-        passes = (beyond <= F.size(cuts)) & (F.get(cuts, beyond - 1) <= micros)
+        passes = (beyond <= F.size(times)) & (F.get(times, beyond - 1) <= micros)
         return F.when(passes, beyond).otherwise(found)
 
-    return F.when(cuts.isNull(), F.lit(0)).otherwise(F.aggregate(steps, F.lit(0), advance))
+    return F.when(times.isNull(), F.lit(0)).otherwise(F.aggregate(steps, F.lit(0), advance))
 
 
 def place(rows: DataFrame, cuts: DataFrame) -> DataFrame:
@@ -76,7 +79,7 @@ def place(rows: DataFrame, cuts: DataFrame) -> DataFrame:
     known = rows.join(F.broadcast(cuts), DEVICE, "left")
     return known.select(
         *rows.columns,
-        _slice_of(F.unix_micros("ts"), F.col("cuts")).alias("slice"),
+        count_until(F.unix_micros("ts"), F.col("cuts"), MAX_SLICES_PER_DEVICE).alias("slice"),
         F.col("cuts").isNotNull().alias("is_hot"),
     )
 
@@ -132,20 +135,6 @@ def over_rows(
     return done.filter(~F.col("_halo")).drop("_halo", "slice", "is_hot")
 
 
-def as_of(
-    rows: DataFrame,
-    log: DataFrame,
-    fields: Sequence[str],
-    rows_per_slice: int | None = None,
-) -> DataFrame:
-    """Adds to each row the last value of every field the log held by then.
-
-    A log entry at the same time as a row counts as earlier. One shuffle of the
-    union, no join of rows with log entries.
-    """
-    return as_of_cuts(rows, log, fields, common_cuts(rows, log, rows_per_slice))
-
-
 def common_cuts(
     rows: DataFrame, log: DataFrame, rows_per_slice: int | None = None
 ) -> DataFrame | None:
@@ -155,26 +144,6 @@ def common_cuts(
     )
 
 
-def as_of_cuts(
-    rows: DataFrame, log: DataFrame, fields: Sequence[str], cuts: DataFrame | None
-) -> DataFrame:
-    """:func:`as_of` with the cuts at hand."""
-    names = rows.columns
-    asked = rows.withColumn("_kind", F.lit(1))
-    known = log.select(DEVICE, "ts", "seq", *fields).withColumn("_kind", F.lit(0))
-    events = asked.unionByName(known, allowMissingColumns=True)
-    keys = [DEVICE]
-    if cuts is not None:
-        keys = [DEVICE, "slice"]
-        carried = carry(place(known, cuts), cuts, fields)
-        events = place(events, cuts).drop("is_hot").unionByName(carried, allowMissingColumns=True)
-    past = Window.partitionBy(*keys).orderBy("ts", "_kind", "seq")
-    past = past.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = [F.last(name, ignorenulls=True).over(past).alias(name) for name in fields]
-    answered = events.select(*names, "_kind", *found)
-    return answered.filter(F.col("_kind") == 1).select(*names, *fields)
-
-
 def carry(log: DataFrame, cuts: DataFrame, fields: Sequence[str]) -> DataFrame:
     """One entry at the start of each later slice: the state of all before it."""
     when = F.struct("ts", "seq")

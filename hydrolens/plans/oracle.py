@@ -570,6 +570,11 @@ for _name in (
 ):
     ORACLE[f"{_name}_hot"] = ORACLE[_name]
 
+# As-of lookups in a large log, which is not broadcast.
+for _name in ("calibrated_ph_asof", "config_asof"):
+    ORACLE[f"{_name}_window"] = ORACLE[_name]
+ORACLE["calibration_requests_few"] = ORACLE["calibration_requests"]
+
 # The same results out of streams. A stream's clock is the newest event time.
 for _name in (
     "hourly_kpis", "kpi_keyed", "ph_ma10", "alerts", "ingest_json", "ingest_smoothed",

@@ -44,6 +44,8 @@ RULES = control.Rules(
 # Cuts any device with more rows into slices, so that the test data takes the
 # way of a hot device.
 SMALL_SLICE = 16
+# Takes every log for a large one, which is not broadcast.
+NO_LOG = 0
 
 
 def present(df: DataFrame, *rounded: str) -> DataFrame:
@@ -239,10 +241,14 @@ def calibration_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calibration.live_points(views.calibration_log(spark, sf_dir))
 
 
-def calibration_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = views.calibration_requests(spark, sf_dir)
-    known = views.rows(spark, sf_dir).filter(F.col("event_type") != "purchase")
-    return present(calibration.points_from_requests(asked, views.readings_of(known)))
+def _calibration_requests(small_log: int | None = None) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        asked = views.calibration_requests(spark, sf_dir)
+        known = views.rows(spark, sf_dir).filter(F.col("event_type") != "purchase")
+        read = views.readings_of(known)
+        return present(calibration.points_from_requests(asked, read, small_log=small_log))
+
+    return query
 
 
 def calibration_status(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -264,12 +270,14 @@ def calibrated_ph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return present(applied.drop("slope", "intercept"))
 
 
-def _calibrated_as_of(rows_per_slice: int | None) -> Query:
+def _calibrated_as_of(
+    rows_per_slice: int | None = None, small_log: int | None = None
+) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         events = views.rows(spark, sf_dir).filter(F.col("event_type") != "purchase")
         rows = views.readings_of(events).select("device_id", "seq", "ts", "raw_ph")
         log = views.calibration_log(spark, sf_dir)
-        return present(calibration.apply_as_of(rows, log, None, rows_per_slice))
+        return present(calibration.apply_as_of(rows, log, None, rows_per_slice, small_log))
 
     return query
 
@@ -281,13 +289,13 @@ def config_current(spark: SparkSession, sf_dir: str) -> DataFrame:
     return present(config.config_current(views.config_log(spark, sf_dir)))
 
 
-def _config_as_of(rows_per_slice: int | None) -> Query:
+def _config_as_of(rows_per_slice: int | None = None, small_log: int | None = None) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = views.control_readings(spark, sf_dir).select(
             "device_id", "seq", "ts", "conductivity"
         )
         log = views.config_log(spark, sf_dir)
-        return present(config.config_as_of(rows, log, rows_per_slice))
+        return present(config.config_as_of(rows, log, rows_per_slice, small_log, few_rows=0))
 
     return query
 
@@ -306,9 +314,15 @@ def dose_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return present(found.select("device_id", "seq", "ts", "circ", "auto"))
 
 
-def _actions(spark: SparkSession, sf_dir: str, rows_per_slice: int | None = None) -> DataFrame:
+def _actions(
+    spark: SparkSession,
+    sf_dir: str,
+    rows_per_slice: int | None = None,
+    small_log: int | None = None,
+) -> DataFrame:
     rows = _smoothed(spark, sf_dir, rows_per_slice)
-    return control.actions(rows, views.config_log(spark, sf_dir), RULES, rows_per_slice)
+    log = views.config_log(spark, sf_dir)
+    return control.actions(rows, log, RULES, rows_per_slice, small_log)
 
 
 def pump_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -316,7 +330,7 @@ def pump_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pump_actions_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return present(_actions(spark, sf_dir, SMALL_SLICE))
+    return present(_actions(spark, sf_dir, SMALL_SLICE, NO_LOG))
 
 
 def dose_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -434,16 +448,19 @@ BATCH: dict[str, Query] = {
     "ph_ma10_hot": _moving_mean("ph", SMALL_SLICE),
     "ec_ma10": _moving_mean("conductivity", None),
     "calibration_points": calibration_points,
-    "calibration_requests": calibration_requests,
+    "calibration_requests": _calibration_requests(),
+    "calibration_requests_few": _calibration_requests(NO_LOG),
     "calibration_status": calibration_status,
     "calibration_report": calibration_report,
     "calibration_line": calibration_line,
     "calibrated_ph": calibrated_ph,
-    "calibrated_ph_asof": _calibrated_as_of(None),
-    "calibrated_ph_asof_hot": _calibrated_as_of(SMALL_SLICE),
+    "calibrated_ph_asof": _calibrated_as_of(),
+    "calibrated_ph_asof_window": _calibrated_as_of(small_log=NO_LOG),
+    "calibrated_ph_asof_hot": _calibrated_as_of(SMALL_SLICE, NO_LOG),
     "config_current": config_current,
-    "config_asof": _config_as_of(None),
-    "config_asof_hot": _config_as_of(SMALL_SLICE),
+    "config_asof": _config_as_of(),
+    "config_asof_window": _config_as_of(small_log=NO_LOG),
+    "config_asof_hot": _config_as_of(SMALL_SLICE, NO_LOG),
     "dose_candidates": dose_candidates,
     "dose_events": dose_events,
     "circ_cycles": circ_cycles,

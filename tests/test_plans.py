@@ -3,7 +3,9 @@
 import pytest
 
 from hydrolens import schemas
+from hydrolens.constants import FLAGS
 from hydrolens.operators import latest, quality, rollup, smoothing
+from hydrolens.operators.asof import over_events
 from hydrolens.operators.config import config_as_of
 from hydrolens.plans.queries import BATCH
 from hydrolens.sources.readings import read_table
@@ -58,9 +60,16 @@ def test_moving_means_share_one_shuffle_and_sort(readings):
     assert text.count("Exchange") == 1 and text.count("Sort [") == 1
 
 
-def test_as_of_is_one_shuffle_without_a_join(readings, spark):
-    log = spark.createDataFrame([], schemas.CONFIG_LOG)
-    text = plan(config_as_of(readings, log))
+def test_as_of_a_small_log_shuffles_only_the_log(readings, spark):
+    log = spark.createDataFrame([(1, 1, None, 1, 1, 1, 1)], schemas.CONFIG_LOG)
+    text = plan(config_as_of(readings, log).filter("auto = 1 and circ_auto = 1"))
+    assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
+    assert text.count("hashpartitioning") == 1 and text.count("lambdafunction(CASE") == 1
+
+
+def test_as_of_a_large_log_is_one_shuffle_without_a_join(readings, spark):
+    log = spark.createDataFrame([(1, 1, None, 1, 1, 1, 1)], schemas.CONFIG_LOG)
+    text = plan(over_events(readings, log, FLAGS, None))
     assert text.count("Exchange") == 1 and "Join" not in text
 
 

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from hydrolens.operators import alerts, smoothing
-from hydrolens.operators.slicing import as_of, hot_cuts, place
+from hydrolens.operators.asof import as_of
+from hydrolens.operators.slicing import hot_cuts, place
 from tests.helpers import at, rows, seconds
 
 SCHEMA = "device_id bigint, seq bigint, ts timestamp, ph double"
@@ -104,8 +105,11 @@ def test_partitions_and_input_order_do_not_matter(spark):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
-@pytest.mark.parametrize("rows_per_slice", [None, 1, 4, 20, 100])
-def test_as_of_equals_brute_force(spark, rows_per_slice):
+@pytest.mark.parametrize(
+    "rows_per_slice, small_log, few_rows",
+    [(None, None, 0), (None, 0, None), (None, 0, 0), (1, 0, 0), (4, 0, 0), (20, 0, 0), (100, 0, 0)],
+)
+def test_as_of_equals_brute_force(spark, rows_per_slice, small_log, few_rows):
     df = skewed(spark, 400)
     readings = df.filter("seq % 7 != 0").select("device_id", "seq", "ts")
     log = df.filter("seq % 7 = 0").select(
@@ -119,7 +123,7 @@ def test_as_of_equals_brute_force(spark, rows_per_slice):
         ph = known[-1]["ph"] if known else None
         numbers = [e["n"] for e in known if e["n"] is not None]
         expected.append((row["seq"], ph, numbers[-1] if numbers else None))
-    found = as_of(readings, log, ["ph", "n"], rows_per_slice)
+    found = as_of(readings, log, ["ph", "n"], rows_per_slice, small_log, few_rows)
     assert rows(found, "seq", "ph", "n") == sorted(expected, key=repr)
 
 
