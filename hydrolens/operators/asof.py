@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hydrolens.operators.slicing import DEVICE, carry, common_cuts, count_until, place
+from hydrolens.operators.slicing import DEVICE, carry, common_cuts, locate, place
 
 # Rows of a table which may be broadcast.
 SMALL_TABLE = 200_000
@@ -54,19 +54,16 @@ def look_up(rows: DataFrame, log: DataFrame, fields: Sequence[str]) -> DataFrame
     past = Window.partitionBy(DEVICE).orderBy("ts", "seq")
     past = past.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     state = F.struct(*[F.last(name, ignorenulls=True).over(past).alias(name) for name in fields])
-    states = log.select(DEVICE, F.unix_micros("ts").alias("at"), "seq", state.alias("state"))
-    entries = F.array_sort(F.collect_list(F.struct("at", "seq", "state")))
-    history = states.groupBy(DEVICE).agg(entries.alias("entries")).select(
+    entries = log.select(
         DEVICE,
-        F.transform("entries", lambda entry: entry["at"]).alias("times"),
-        F.transform("entries", lambda entry: entry["state"]).alias("states"),
-    )
-    joined = rows.join(F.broadcast(history), DEVICE, "left")
-    position = count_until(F.unix_micros("ts"), F.col("times"), SMALL_TABLE) - 1
-    # Out of a generator, so that later filters do not repeat the search.
-    found = joined.select(
-        *rows.columns, F.explode(F.array(F.get("states", position))).alias("_found")
+        F.unix_micros("ts").alias("at"),
+        F.row_number().over(Window.partitionBy(DEVICE).orderBy("ts", "seq")).alias("_position"),
+        state.alias("_found"),
     )
+    times = entries.groupBy(DEVICE).agg(F.array_sort(F.collect_list("at")).alias("times"))
+    states = entries.select(DEVICE, "_position", "_found")
+    placed = locate(rows, times, SMALL_TABLE, F.unix_micros("ts"), "_position")
+    found = placed.join(F.broadcast(states), [DEVICE, "_position"], "left")
     return found.select(*rows.columns, *[F.col(f"_found.{name}").alias(name) for name in fields])
 
 
@@ -77,13 +74,10 @@ def look_up_few(rows: DataFrame, log: DataFrame, fields: Sequence[str]) -> DataF
     """
     asked = rows.select(DEVICE, F.unix_micros("ts").alias("_at")).dropna().distinct()
     times = asked.groupBy(DEVICE).agg(F.array_sort(F.collect_list("_at")).alias("times"))
-    earlier = count_until(F.unix_micros("ts") - 1, F.col("times"), SMALL_TABLE)
-    entries = (
-        log.select(DEVICE, "ts", "seq", *fields)
-        .join(F.broadcast(times), DEVICE)
-        .select("*", F.explode(F.array(earlier)).alias("_slot"))
-        .filter(F.col("_slot") < F.size("times"))
-    )
+    known = log.select(DEVICE, "ts", "seq", *fields)
+    known = known.join(F.broadcast(times.select(DEVICE, F.size("times").alias("_asked"))), DEVICE)
+    earlier = locate(known, times, SMALL_TABLE, F.unix_micros("ts") - 1, "_slot")
+    entries = earlier.filter(F.col("_slot") < F.col("_asked"))
     when = F.struct("ts", "seq")
     newest = [
         F.max_by(name, F.when(F.col(name).isNotNull(), when)).alias(name) for name in fields
@@ -92,11 +86,11 @@ def look_up_few(rows: DataFrame, log: DataFrame, fields: Sequence[str]) -> DataF
     slots = times.select(DEVICE, F.posexplode("times").alias("_slot", "_at"))
     past = Window.partitionBy(DEVICE).orderBy("_slot")
     past = past.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    known = slots.join(last, [DEVICE, "_slot"], "left").select(
+    answers = slots.join(last, [DEVICE, "_slot"], "left").select(
         DEVICE, "_at", *[F.last(name, ignorenulls=True).over(past).alias(name) for name in fields]
     )
     timed = rows.withColumn("_at", F.unix_micros("ts"))
-    return timed.join(known, [DEVICE, "_at"], "left").select(*rows.columns, *fields)
+    return timed.join(answers, [DEVICE, "_at"], "left").select(*rows.columns, *fields)
 
 
 def over_events(

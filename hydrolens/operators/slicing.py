@@ -58,29 +58,64 @@ def hot_cuts(rows: DataFrame, rows_per_slice: int | None = None) -> DataFrame |
     return written(of_hot.groupBy(DEVICE).agg(cuts.alias("cuts")), "cuts")
 
 
-def count_until(micros: Column, times: Column, most: int) -> Column:
-    """How many of at most ``most`` rising times lie at or before a time.
+# Times one search step looks at. Rows joined with their device's times carry a
+# copy of them, so these arrays are kept short by searching in two steps.
+STRIDE = 256
 
-    A binary search, 0 where there are no times.
-    """
-    halvings = most.bit_length()
-    steps = F.array(*[F.lit(1 << (halvings - 1 - i)) for i in range(halvings)])
+
+def _count_until(micros: Column, times: Column, most: int) -> Column:
+    """How many of at most ``most`` rising times lie at or before a time."""
+    widths = [F.lit(1 << i) for i in reversed(range(most.bit_length()))]
 
     def advance(found: Column, step: Column) -> Column:
-        beyond = found + step
-        passes = (beyond <= F.size(times)) & (F.get(times, beyond - 1) <= micros)
-        return F.when(passes, beyond).otherwise(found)
+        # Beyond the last time this is null, and the step is not taken.
+        return F.when(F.get(times, found + step - 1) <= micros, found + step).otherwise(found)
+
+    return F.aggregate(F.array(*widths), F.lit(0), advance)
+
+
+def locate(rows: DataFrame, times: DataFrame, most: int, at: Column, name: str) -> DataFrame:
+    """Adds how many of its device's ``times`` lie at or before ``at``.
+
+    The number is null for a device which has no times.
 
-    return F.when(times.isNull(), F.lit(0)).otherwise(F.aggregate(steps, F.lit(0), advance))
+    ``times`` holds one rising array of at most ``most`` microseconds per device
+    and is broadcast: first every STRIDE-th time, then the stretch in between.
+    """
+    starts = F.sequence(F.lit(0), F.size("times") - 1, F.lit(STRIDE))
+    coarse = times.filter(F.size("times") > 0).select(
+        DEVICE, F.transform(starts, lambda i: F.get("times", i)).alias("_coarse")
+    )
+    fine = times.filter(F.size("times") > 0).select(
+        DEVICE, "times", F.posexplode(starts).alias("_stretch", "_first")
+    )
+    fine = fine.select(
+        DEVICE,
+        (F.col("_stretch") + 1).alias("_stretch"),
+        F.slice("times", F.col("_first") + 1, F.lit(STRIDE)).alias("_fine"),
+    )
+    stretch = _count_until(at, F.col("_coarse"), -(-most // STRIDE))
+    within = _count_until(at, F.col("_fine"), STRIDE)
+    position = F.when(F.col("_stretch") > 0, (F.col("_stretch") - 1) * STRIDE + within)
+    none_yet = F.when(F.col("_stretch") == 0, F.lit(0))
+    return (
+        rows.join(F.broadcast(coarse), DEVICE, "left")
+        .select(
+            *rows.columns, F.when(F.col("_coarse").isNotNull(), stretch).alias("_stretch")
+        )
+        .join(F.broadcast(fine), [DEVICE, "_stretch"], "left")
+        .select(*rows.columns, F.coalesce(position, none_yet).alias(name))
+    )
 
 
 def place(rows: DataFrame, cuts: DataFrame) -> DataFrame:
     """Adds ``slice`` (0 for all rows of other devices) and ``is_hot``."""
-    known = rows.join(F.broadcast(cuts), DEVICE, "left")
-    return known.select(
+    times = cuts.withColumnRenamed("cuts", "times")
+    placed = locate(rows, times, MAX_SLICES_PER_DEVICE, F.unix_micros("ts"), "_slice")
+    return placed.select(
         *rows.columns,
-        count_until(F.unix_micros("ts"), F.col("cuts"), MAX_SLICES_PER_DEVICE).alias("slice"),
-        F.col("cuts").isNotNull().alias("is_hot"),
+        F.coalesce("_slice", F.lit(0)).alias("slice"),
+        F.col("_slice").isNotNull().alias("is_hot"),
     )
 
 
