@@ -46,12 +46,7 @@ def http_ingest(
     smoothed = state.smooth_ingest(readings)
     actions = state.pump_actions(readings, config_log, rules, C.SMOOTHING_ROWS)
     return [
-        sinks.append_stream(
-            smoothed, f"{folder}/readings", f"{folder}/progress/readings", available_now
-        ),
-        sinks.latest_stream(
-            smoothed, f"{folder}/latest", f"{folder}/progress/latest", available_now
-        ),
+        sinks.readings_stream(smoothed, folder, f"{folder}/progress/readings", available_now),
         sinks.append_stream(
             actions, f"{folder}/actions", f"{folder}/progress/actions", available_now
         ),
@@ -67,12 +62,7 @@ def serial_ingest(
     refused = source.rejects(raw, "serial")
     messages = alerts.alert_json(alerts.alerts(readings))
     return [
-        sinks.append_stream(
-            readings, f"{folder}/readings", f"{folder}/progress/readings", available_now
-        ),
-        sinks.latest_stream(
-            readings, f"{folder}/latest", f"{folder}/progress/latest", available_now
-        ),
+        sinks.readings_stream(readings, folder, f"{folder}/progress/readings", available_now),
         sinks.append_stream(
             messages, f"{folder}/alerts", f"{folder}/progress/alerts", available_now
         ),

@@ -78,6 +78,28 @@ def latest_stream(
     return _each_batch(readings, path, progress, "append", latest_state, available_now)
 
 
+def readings_stream(
+    readings: DataFrame, folder: str, progress: str, available_now: bool = True
+) -> StreamingQuery:
+    """Keeps the reading log and the latest state by one query.
+
+    The state is derived from the written readings, so a micro-batch and the
+    smoothing before it are computed once.
+    """
+    schema = readings.schema
+
+    def write(rows: DataFrame, batch_id: int) -> None:
+        path = f"{folder}/readings/{BATCH}={batch_id}"
+        rows.write.mode("overwrite").parquet(path)
+        batch = rows.sparkSession.read.schema(schema).parquet(path)
+        latest = latest_state(batch).write.mode("overwrite")
+        latest.parquet(f"{folder}/latest/{BATCH}={batch_id}")
+
+    writer = readings.writeStream.foreachBatch(write).outputMode("append")
+    writer = writer.option("checkpointLocation", progress)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
 def read_latest(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Field-wise latest state out of the table of :func:`latest_stream`."""
     return latest_state(_read_log(spark, path, schema).withColumnRenamed(BATCH, "seq"))
