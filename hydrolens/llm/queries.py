@@ -5,15 +5,35 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hydrolens.llm import piece_codec
-from hydrolens.llm.tables import table
+from hydrolens.llm import decision_list, language_id, piece_codec, simhash_ball
+from hydrolens.llm.tables import table, written
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.train(language_id.learning_rows(docs))
+    found = language_id.identify(docs, model)
+    return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (table(spark, sf_dir, name) for name in ("documents", "labels"))
+    rows = decision_list.measured(docs.select("doc_id", "text")).drop("text")
+    rows = written(rows, "quality-measures")
+    rules = decision_list.learn(rows.filter(~decision_list.base_failed()), labels)
+    base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return decision_list.judge(rows, rules).select("doc_id", *base, "base_failed", "kept", "reason")
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_ball.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.digests(table(spark, sf_dir, "documents"), PIECES)
 
 
-QUERIES = {query.__name__: query for query in (op10_pieces,)}
+QUERIES = {query.__name__: query for query in (op5_language, op8_quality, op9_simhash, op10_pieces)}
 ORACLE: dict[str, str] = {}
