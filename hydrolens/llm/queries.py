@@ -5,12 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hydrolens.llm import decision_list, language_id, piece_codec, simhash_ball
+from hydrolens.llm import decision_list, decontaminate, language_id, piece_codec, simhash_ball
 from hydrolens.llm.tables import table, written
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = (table(spark, sf_dir, name) for name in ("documents", "benchmark"))
+    return decontaminate.overlaps(docs, items).drop("text_hash")
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.train(language_id.learning_rows(docs))
@@ -35,5 +40,5 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.digests(table(spark, sf_dir, "documents"), PIECES)
 
 
-QUERIES = {query.__name__: query for query in (op5_language, op8_quality, op9_simhash, op10_pieces)}
+QUERIES = {query.__name__: query for query in (op1_decontamination, op5_language, op8_quality, op9_simhash, op10_pieces)}
 ORACLE: dict[str, str] = {}
