@@ -33,6 +33,8 @@ CONDITIONS = 3
 PRECISION = 0.9  # of a rule, smoothed, on the rows it was not grown on
 #: What the rules may test.
 FEATURES = ["word_length", "symbol_share", "dup_line_share", "repeat_share", "upper_share", "exclaim_share"]
+#: All that ``measured`` adds.
+MEASURES = ["n_words", "word_chars", "n_symbols", "n_upper", "n_exclaim", "n_lines", "n_dup_lines", "n_repeat_words", *FEATURES]
 
 
 @dataclass(frozen=True)

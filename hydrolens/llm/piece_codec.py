@@ -28,6 +28,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
@@ -37,6 +38,7 @@ SPACE = "▁"  # how the vocabulary writes a space
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 MARKS = re.escape(string.punctuation)
 REMEMBERED = 300_000  # entries of a task's dictionaries; full ones are replaced
+ROWS = 256  # of a batch at a time
 
 
 @dataclass(frozen=True)
@@ -297,11 +299,11 @@ def _over_texts(docs: DataFrame, id_col: str, text_col: str, path: str, schema:
 
         arrow, codec = to_arrow_schema(out), Codec(shared.value)
         for batch in batches:
-            ids, values = batch.column(0), batch.column(1)
-            rows = [row(codec, value.as_py()) for value in values]
-            columns = [pa.array(c, f.type) for c, f in zip(zip(*rows), list(arrow)[1:])] if rows else []
-            if rows:
-                yield pa.RecordBatch.from_arrays([ids.cast(arrow.field(0).type), *columns], schema=arrow)
+            for at in range(0, len(batch), ROWS):
+                some = batch.slice(at, ROWS)
+                rows = [row(codec, value.as_py()) for value in some.column(1)]
+                columns = [pa.array(c, f.type) for c, f in zip(zip(*rows), list(arrow)[1:])]
+                yield pa.RecordBatch.from_arrays([some.column(0), *columns], schema=arrow)
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, out)
 
@@ -325,19 +327,23 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
     )
 
 
-def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Number of ids, and SHA-256 of the ids and of the text decoded from them.
+def digests(
+    docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False
+) -> DataFrame:
+    """Number of ids, and SHA-256 of the ids and of the text decoded from them; with
+    ``with_ids`` also the ids.
 
-    Encoded and decoded in one pass, so no array of ids leaves the task.
+    Encoded and decoded in one pass, so no array of ids need leave the task.
     """
 
-    def row(codec: Codec, text: str | None) -> tuple[int, str, str]:
+    def row(codec: Codec, text: str | None) -> tuple:
         ids, decoded = codec.both(text)
-        return (
+        counted = (
             ids.count(",") + bool(ids),
             hashlib.sha256(ids.encode()).hexdigest(),
             hashlib.sha256(decoded.encode()).hexdigest(),
         )
+        return (*counted, np.fromstring(ids, np.int32, sep=",")) if with_ids else counted
 
     schema = f"`{id_col}` long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return _over_texts(docs, id_col, text_col, path, schema, row)
+    return _over_texts(docs, id_col, text_col, path, schema + ", ids array<int>" * with_ids, row)

@@ -67,15 +67,20 @@ OCTET_BITS = (np.arange(256)[:, None] >> np.arange(8)) & 1
 def fingerprints(
     docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """``doc_id`` and ``fp``, the 64 bits as a signed long."""
+    """``doc_id``, ``text_hash`` and ``fp``, the 64 bits as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bits = np.array([fingerprint(text.as_py(), width) for text in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits.view(np.int64))], ["doc_id", "fp"])
+            columns = [batch.column(0), batch.column(2), pa.array(bits.view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "fp"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"),
+        F.col(text_col).cast("string").alias("text"),
+        F.xxhash64(text_col).alias("text_hash"),
+    )
+    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def flips(max_bits: int) -> np.ndarray:
@@ -196,11 +201,9 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(
-    docs: DataFrame, width: int = 4, max_bits: int = 4, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """``doc_id``, ``fingerprint`` (16 hexadecimal digits) and ``component_id``, the
-    smallest ``doc_id`` reachable over links, for every row."""
+def _rooted(docs: DataFrame, width: int, max_bits: int, id_col: str, text_col: str) -> DataFrame:
+    """All rows with ``fp``, ``root``, the smallest fingerprint of the component, and
+    ``component_id``."""
     rows = written(fingerprints(docs, width, id_col, text_col), "fingerprints")
     distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     roots = components(links(distinct.select("fp"), max_bits))
@@ -208,7 +211,33 @@ def near_duplicates(
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select(
+    return rows.join(rooted.join(least, "root").select("fp", "root", "component_id"), "fp")
+
+
+def near_duplicates(
+    docs: DataFrame, width: int = 4, max_bits: int = 4, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """``doc_id``, ``fingerprint`` (16 hexadecimal digits) and ``component_id``, the
+    smallest ``doc_id`` reachable over links, for every row."""
+    return _rooted(docs, width, max_bits, id_col, text_col).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def one_of_each(
+    docs: DataFrame, width: int = 4, max_bits: int = 4, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """The documents, all columns, with one row of each component: the one with the
+    smallest id. Null ids come last; of rows equal in id and text one stays."""
+    rows = _rooted(docs, width, max_bits, id_col, text_col)
+    copies = rows.groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "n")
+    first = copies.groupBy("root").agg(F.min(order).alias("w"))
+    first = written(first.select(F.col("w.doc_id").alias("__id"), F.col("w.text_hash").alias("__hash"), F.col("w.n").alias("__n")), "first-rows")
+
+    def of(keys: DataFrame) -> DataFrame:
+        same = docs[id_col].cast("long").eqNullSafe(keys["__id"]) & (F.xxhash64(docs[text_col]) == keys["__hash"])
+        return docs.join(keys, same, "left_semi")
+
+    single, several = first.filter("__n = 1"), first.filter("__n > 1")
+    return of(single).unionByName(of(several).dropDuplicates([id_col, text_col]))
