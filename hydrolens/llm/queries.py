@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hydrolens.llm import decision_list, decontaminate, language_id, license_scan, piece_codec, simhash_ball
+from hydrolens.llm import decision_list, decontaminate, language_id, license_scan, piece_codec, simhash_ball, tag_paths
 from hydrolens.llm.tables import table, written
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -20,6 +20,10 @@ def op2_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.labels(table(spark, sf_dir, "documents"))
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tag_paths.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.train(language_id.learning_rows(docs))
@@ -44,5 +48,5 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.digests(table(spark, sf_dir, "documents"), PIECES)
 
 
-QUERIES = {query.__name__: query for query in (op1_decontamination, op2_license_notices, op5_language, op8_quality, op9_simhash, op10_pieces)}
+QUERIES = {query.__name__: query for query in (op1_decontamination, op2_license_notices, op4_main_text, op5_language, op8_quality, op9_simhash, op10_pieces)}
 ORACLE: dict[str, str] = {}
