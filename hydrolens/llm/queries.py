@@ -5,9 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hydrolens.llm import decision_list, decontaminate, language_id, license_scan, piece_codec, simhash_ball, tag_paths
+from hydrolens.llm import decision_list, decontaminate, language_id, license_scan, piece_codec, sharding, simhash_ball, tag_paths, token_trees, url_templates
 from hydrolens.llm.tables import table, written
 
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
@@ -20,6 +21,10 @@ def op2_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.labels(table(spark, sf_dir, "documents"))
 
 
+def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tag_paths.extract(table(spark, sf_dir, "pages"))
 
@@ -31,6 +36,17 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op6_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_templates.judge(table(spark, sf_dir, "pages"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("script", token_trees.sample_script())
+    trees = token_trees.with_trees(docs, RANKS, public_tokenizers.PATTERN)
+    counted = token_trees.edited(trees, RANKS, public_tokenizers.PATTERN)
+    return counted.drop("text", "leaf_chars", "leaf_tokens")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (table(spark, sf_dir, name) for name in ("documents", "labels"))
     rows = decision_list.measured(docs.select("doc_id", "text")).drop("text")
@@ -48,5 +64,19 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.digests(table(spark, sf_dir, "documents"), PIECES)
 
 
-QUERIES = {query.__name__: query for query in (op1_decontamination, op2_license_notices, op4_main_text, op5_language, op8_quality, op9_simhash, op10_pieces)}
+QUERIES = {
+    query.__name__: query
+    for query in (
+        op1_decontamination,
+        op2_license_notices,
+        op3_shards,
+        op4_main_text,
+        op5_language,
+        op6_url_verdicts,
+        op7_token_counts,
+        op8_quality,
+        op9_simhash,
+        op10_pieces,
+    )
+}
 ORACLE: dict[str, str] = {}
