@@ -28,6 +28,7 @@ from hydrolens.llm.tables import written
 
 BLANKS = " \t\n\x0b\f\r"
 BINS = 32  # quantiles of a feature
+GRID = 16  # even steps between its ends
 RULES = 8
 CONDITIONS = 3
 PRECISION = 0.9  # of a rule, smoothed, on the rows it was not grown on
@@ -158,10 +159,11 @@ def learn(rows: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col:
     part = (F.pmod(F.xxhash64("__id"), F.lit(3)) == 0).cast("int").alias("__held")
     table = written(joined.select("__bad", part, *FEATURES), "labelled")
     quantiles = [F.percentile_approx(f, [i / BINS for i in range(1, BINS)], 2000).alias(f) for f in FEATURES]
-    first = table.agg(F.sum("__bad").alias("bad"), F.count("*").alias("n"), *quantiles).first()
+    ends = [F.struct(F.min(f).alias("low"), F.max(f).alias("high")).alias(f"{f}__ends") for f in FEATURES]
+    first = table.agg(F.sum("__bad").alias("bad"), F.count("*").alias("n"), *quantiles, *ends).first()
     if not first["bad"] or first["bad"] == first["n"]:
         return DecisionList(())
-    cuts = {f: sorted(set(first[f] or [])) for f in FEATURES}
+    cuts = {f: thresholds(first[f] or [], first[f"{f}__ends"]["low"], first[f"{f}__ends"]["high"]) for f in FEATURES}
 
     def bin_of(feature: str) -> Column:  # how many cuts lie below the value
         below = F.filter(F.lit(cuts[feature]).cast("array<double>"), lambda cut: cut < F.col(feature))
@@ -180,6 +182,17 @@ def learn(rows: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col:
     return DecisionList(tuple(rules))
 
 
+def thresholds(quantiles: list[float], low: float | None, high: float | None) -> list[float]:
+    """Quantiles, the middles between them and an even grid, so that a threshold need not
+    lie at the edge of the values it keeps."""
+    if low is None:
+        return []
+    known = sorted({low, high, *quantiles})
+    middles = [(a + b) / 2 for a, b in zip(known, known[1:])]
+    grid = [low + (high - low) * i / GRID for i in range(1, GRID)]
+    return sorted({*quantiles, *middles, *grid})
+
+
 def _grow(rows: DataFrame, cuts: dict[str, list[float]]) -> tuple[Condition, ...]:
     """Add the condition of the largest gain until no bad row is told apart better."""
     rule: tuple[Condition, ...] = ()
@@ -203,7 +216,8 @@ def _grow(rows: DataFrame, cuts: dict[str, list[float]]) -> tuple[Condition, ...
                 for above, p, m in ((False, low_bad, low_n), (True, all_bad - low_bad, all_n - low_n)):
                     if p and m < n:
                         gain = p * (math.log2(p / m) - math.log2(bad / n))
-                        if best is None or gain > best[0]:
+                        # Of equal gains the one furthest from the kept rows.
+                        if best is None or gain > best[0] or above and gain == best[0]:
                             best = gain, Condition(feature, above, cut), p, m
         if best is None or best[0] <= 1e-9:
             break

@@ -1,0 +1,75 @@
+import random
+
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from hydrolens.llm import token_trees
+from hydrolens.llm.queries import RANKS, op7_token_counts
+from hydrolens.llm.tables import table
+from hydrolens.llm.token_trees import Counter, Tree
+from tests.helpers import rows
+from tests.llm.samples import nothing, odd
+
+
+@pytest.fixture(scope="module")
+def counter():
+    with open(RANKS, "rb") as file:
+        return Counter(file.read(), public_tokenizers.PATTERN)
+
+
+def changed(text, at, removed, inserted):
+    at = min(max(at, 0), len(text))
+    return text[:at] + inserted + text[min(len(text), at + removed) :]
+
+
+def test_edits_equal_counting_anew(counter):
+    draw = random.Random(7)
+    letters = "ab  \n\t'!.,19sreltvdm é日🎉"
+    for _ in range(400):
+        text = "".join(draw.choices(letters, k=draw.randint(0, 400)))
+        tree = Tree.of(counter, text)
+        for _ in range(5):
+            edit = draw.randint(0, len(text) + 2), draw.choice([0, 1, 2, 60]), "".join(draw.choices(letters, k=draw.choice([0, 1, 3, 900])))
+            tree.edit(*edit)
+            text = changed(text, *edit)
+            assert tree.tokens[1] == len(counter.encoding.encode_ordinary(text))
+            assert "".join(tree.texts) == text
+            assert all(tree.tokens[i] == tree.tokens[2 * i] + tree.tokens[2 * i + 1] for i in range(1, tree.width))
+
+
+def test_only_the_edited_region_is_encoded_again(counter):
+    tree = Tree.of(counter, "some words and more words. " * 10_000)
+    tree.edit(100_000, 4, "other")
+    assert tree.reencoded < 1_000
+
+
+def test_query_equals_brute_force(spark, sf_dir, counter):
+    scripts = table(spark, sf_dir, "documents").select("doc_id", "text", token_trees.sample_script().alias("s")).collect()
+    expected = []
+    for row in scripts:
+        text = row.text
+        for edit in row.s:
+            text = changed(text, edit.at, edit.removed, edit.inserted)
+        before, after = (len(counter.encoding.encode_ordinary(t)) for t in (row.text, text))
+        expected.append((row.doc_id, before, 4, len(text), after))
+    found = op7_token_counts(spark, sf_dir)
+    assert rows(found, "doc_id", "n_tokens", "n_edits", "n_chars", "n_tokens_after") == sorted(expected, key=repr)
+
+
+def test_trees_can_be_edited_again(spark, sf_dir, counter):
+    docs = table(spark, sf_dir, "documents").limit(20).withColumn("script", token_trees.sample_script())
+    once = token_trees.edited(token_trees.with_trees(docs, RANKS, public_tokenizers.PATTERN), RANKS, public_tokenizers.PATTERN)
+    twice = token_trees.edited(once.withColumn("script", token_trees.sample_script()), RANKS, public_tokenizers.PATTERN)
+    assert all(row.n_tokens_after == len(counter.encoding.encode_ordinary(row.text)) for row in twice.collect())
+
+
+def test_odd_rows(spark, sf_dir, counter):
+    docs = odd(spark, sf_dir)
+    trees = token_trees.with_trees(docs, RANKS, public_tokenizers.PATTERN)
+    scripted = trees.withColumn("script", F.when(F.col("doc_id") > 2, F.lit(None)).otherwise(token_trees.sample_script()))
+    found = token_trees.edited(scripted, RANKS, public_tokenizers.PATTERN).collect()
+    assert len(found) == docs.count()
+    assert all(row.n_tokens_after == len(counter.encoding.encode_ordinary(row.text)) for row in found)
+    empty = token_trees.with_trees(nothing(spark), RANKS, public_tokenizers.PATTERN).withColumn("script", token_trees.sample_script())
+    assert token_trees.edited(empty, RANKS, public_tokenizers.PATTERN).count() == 0
