@@ -6,8 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from hydrolens.llm import decision_list, decontaminate, language_id, license_scan, piece_codec, sharding, simhash_ball, tag_paths, token_trees, url_templates
+from hydrolens.llm.oracle import ORACLE
 from hydrolens.llm.tables import table, written
 
+__all__ = ["ORACLE", "QUERIES"]
+
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -79,4 +82,3 @@ QUERIES = {
         op10_pieces,
     )
 }
-ORACLE: dict[str, str] = {}
