@@ -94,23 +94,31 @@ def _verdicts() -> str:
     parts.append(f"overall AS (SELECT (sum(allowed) + 0.5::DOUBLE * {p}) / (sum(labelled) + {p}) AS o FROM leaves)")
     parts.append(f"""known0 AS (SELECT host, (sum(allowed) + {p} * any_value(o)) / (sum(labelled) + {p}) AS above
   FROM leaves, overall GROUP BY host)""")
+    parts.append("leaves0 AS (SELECT * FROM leaves)")
+    merged = ["host"]
     for d in range(1, len(levels)):
-        up, name_d = ", ".join(levels[:d]), levels[d]
+        up, name_d = ", ".join(merged), levels[d]
         shape = f"max(CAST({levels[d + 1]} = '*' AS INTEGER))" if d < DEPTH else "0"
         parts.append(f"""nodes{d} AS (
   SELECT *, (allowed + {p} * above) / (labelled + {p}) AS purity, labelled + {p} AS n
   FROM (SELECT {up}, {name_d}, sum(allowed) AS allowed, sum(labelled) AS labelled, {shape} AS shape
-        FROM leaves GROUP BY {up}, {name_d}) JOIN known{d - 1} USING ({up}))""")
+        FROM leaves{d - 1} GROUP BY {up}, {name_d}) JOIN known{d - 1} USING ({up}))""")
         window = f"(PARTITION BY {up}, shape ORDER BY purity, {name_d})"
         parts.append(f"""steps{d} AS (
   SELECT *, CASE WHEN (purity - p0) / sqrt(greatest(q * (1 - q), 1e-9::DOUBLE) * (1 / n + 1 / n0)) >= {ALIKE}::DOUBLE
     THEN 1 ELSE 0 END AS step
   FROM (SELECT *, (n * purity + n0 * p0) / (n + n0) AS q
         FROM (SELECT *, lag(purity) OVER {window} AS p0, lag(n) OVER {window} AS n0 FROM nodes{d})))""")
-        parts.append(f"grouped{d} AS (SELECT *, sum(step) OVER {window} AS grp FROM steps{d})")
+        parts.append(f"""grouped{d} AS (
+  SELECT *, shape || ':' || sum(step) OVER {window} AS m{d} FROM steps{d})""")
         parts.append(f"""known{d} AS (
-  SELECT {up}, {name_d}, (sum(allowed) OVER w + {p} * above) / (sum(labelled) OVER w + {p}) AS above
-  FROM grouped{d} WINDOW w AS (PARTITION BY {up}, shape, grp))""")
+  SELECT {up}, m{d}, (sum(allowed) + {p} * any_value(above)) / (sum(labelled) + {p}) AS above
+  FROM grouped{d} GROUP BY {up}, m{d})""")
+        parts.append(f"""leaves{d} AS (
+  SELECT l.*, g.m{d} FROM leaves{d - 1} l JOIN grouped{d} g USING ({up}, {name_d}))""")
+        merged.append(f"m{d}")
+    last = len(levels) - 1
+    parts.append(f"purities AS (SELECT {key}, above FROM leaves{last} JOIN known{last} USING ({', '.join(merged)}))")
     shown = f"rtrim(concat_ws('/', {', '.join(branch)}), '/')"
     return (
         "WITH "
@@ -118,7 +126,7 @@ def _verdicts() -> str:
         + f"""
 SELECT page_id, host, path, rule, coalesce(label, CASE WHEN above < {LIMIT} THEN 'block' ELSE 'allow' END) AS verdict,
        {shown} || CASE WHEN rest = 1 THEN '/**' ELSE '' END AS template, above AS purity
-FROM level{DEPTH} JOIN known{len(levels) - 1} USING ({key})"""
+FROM level{DEPTH} JOIN purities USING ({key})"""
     )
 
 

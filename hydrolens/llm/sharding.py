@@ -89,8 +89,10 @@ def equal_text_links(rows: DataFrame, chunk: int) -> DataFrame:
 
 def granted(wants: dict[tuple[int, int], int], free: dict[int, int]) -> tuple[dict[tuple[int, int], int], dict[tuple[int, int], int]]:
     """How many moves of each flow to grant, and how many free rows move back, so that
-    every shard takes in as many rows as it gives away."""
-    flows = dict(wants)
+    every shard takes in as many rows as it gives away. Swaps between two shards need no
+    room and are always granted; of the rest what finds no room is not."""
+    swaps = {flow: min(n, wants.get(flow[::-1], 0)) for flow, n in wants.items()}
+    flows = {flow: n - swaps[flow] for flow, n in wants.items()}
     net = {shard: 0 for flow in flows for shard in flow}
     for (source, target), n in flows.items():
         net[source] -= n
@@ -113,7 +115,7 @@ def granted(wants: dict[tuple[int, int], int], free: dict[int, int]) -> tuple[di
             takers[0][1] -= moved
             if not takers[0][1]:
                 takers.pop(0)
-    return flows, back
+    return {flow: n + swaps[flow] for flow, n in flows.items()}, back
 
 
 def propagate(rows: DataFrame, links: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:

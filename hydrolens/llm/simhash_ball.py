@@ -106,6 +106,8 @@ def linear_hash(values: np.ndarray, rows: list[int]) -> np.ndarray:
 
 def linear_hash_column(value: Column, rows: list[int]) -> Column:
     signed = [row - (1 << BITS) if row >> (BITS - 1) else row for row in rows]
+    if not rows:
+        return F.lit(0)
     return fold([F.bit_count(value.bitwiseAND(F.lit(row))) % 2 * (1 << bit) for bit, row in enumerate(signed)])
 
 

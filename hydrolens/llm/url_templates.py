@@ -121,17 +121,20 @@ def purities(leaves: DataFrame) -> DataFrame:
     levels = ["host", *[f"t{d}" for d in range(1, DEPTH + 1)], "rest"]
     added = [F.sum("allowed").alias("allowed"), F.sum("labelled").alias("labelled")]
     hosts = leaves.groupBy("host").agg(*added)
+    branch = ["host"]  # merged branches have one name, so what lies below is added up too
     known = hosts.select("host", smooth("allowed", "labelled", F.lit(overall)).alias("above"))
     for d in range(1, len(levels)):
-        above, name = levels[:d], levels[d]
+        name, merged = levels[d], F.concat_ws(":", "shape", "group").alias(f"m{d}")
         shape = F.max((F.col(levels[d + 1]) == WILDCARD).cast("int")) if d < DEPTH else F.lit(0)
-        nodes = leaves.groupBy(*above, name).agg(*added, shape.alias("shape")).join(known, above)
+        nodes = leaves.groupBy(*branch, name).agg(*added, shape.alias("shape")).join(known, branch)
         nodes = nodes.withColumn("purity", smooth("allowed", "labelled", F.col("above")))
-        grouped = _merged(nodes, above, name)
-        pool = grouped.groupBy(*above, "shape", "group").agg(*added, F.first("above").alias("over"))
-        pool = pool.select(*above, "shape", "group", smooth("allowed", "labelled", F.col("over")).alias("pooled"))
-        known = grouped.join(pool, [*above, "shape", "group"]).select(*above, name, F.col("pooled").alias("above"))
-    return known.withColumnRenamed("above", "purity")
+        grouped = written(_merged(nodes, branch, name), "url-branches")
+        pool = grouped.groupBy(*branch, "shape", "group").agg(*added, F.first("above").alias("over"))
+        known = pool.select(*branch, merged, smooth("allowed", "labelled", F.col("over")).alias("above"))
+        leaves = leaves.join(grouped.select(*branch, name, merged), [*branch, name])
+        leaves = written(leaves, "url-leaves")
+        branch = [*branch, f"m{d}"]
+    return leaves.join(known, branch).select(*levels, F.col("above").alias("purity"))
 
 
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
