@@ -14,8 +14,8 @@ def kpi_key(window_start: Column) -> Column:
     return F.concat(F.lit(C.KPI_KEY_PREFIX), F.date_format(window_start, C.KPI_KEY_FORMAT))
 
 
-def ranking_member(ts: Column) -> Column:
-    return F.concat(F.lit(C.RANKING_MEMBER_PREFIX), F.unix_millis(ts).cast("string"))
+def ranking_member(millis: Column) -> Column:
+    return F.concat(F.lit(C.RANKING_MEMBER_PREFIX), millis.cast("string"))
 
 
 def stream_id_millis(stream_id: Column) -> Column:
@@ -23,12 +23,17 @@ def stream_id_millis(stream_id: Column) -> Column:
     return F.split_part(stream_id, F.lit("-"), F.lit(1)).try_cast("bigint")
 
 
-def fixed(value: Column, digits: int = 2) -> Column:
-    """A double as text with a fixed number of decimals."""
-    return value.cast(f"decimal(18,{digits})").cast("string")
+def fixed(value: Column, digits: int | None = 2) -> Column:
+    """A double as text, with a fixed number of decimals or, without one, in full.
+
+    What no decimal holds (not a number, infinite, huge) is shown as it is.
+    """
+    plain = value.cast("string")
+    return plain if digits is None else F.coalesce(value.try_cast(f"decimal(38,{digits})").cast("string"), plain)
 
 
-def alert_message(ph: Column, digits: int = 2) -> Column:
+def alert_message(ph: Column, digits: int | None = None) -> Column:
+    """The alert's text; the value in full, so that it never reads as inside the band."""
     return F.concat(F.lit(C.ALERT_TEXT), fixed(ph, digits))
 
 

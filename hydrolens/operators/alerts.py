@@ -18,7 +18,10 @@ def critical_ph(low: float = C.ALERT_PH_LOW, high: float = C.ALERT_PH_HIGH) -> C
 
 
 def alerts(
-    readings: DataFrame, low: float = C.ALERT_PH_LOW, high: float = C.ALERT_PH_HIGH
+    readings: DataFrame,
+    low: float = C.ALERT_PH_LOW,
+    high: float = C.ALERT_PH_HIGH,
+    digits: int | None = None,
 ) -> DataFrame:
     """One alert per reading out of the band; stateless, so it runs on streams too.
 
@@ -30,7 +33,7 @@ def alerts(
         "seq",
         "ts",
         F.lit(C.ALERT_TYPE).alias("type"),
-        text.alert_message(F.col("ph")).alias("message"),
+        text.alert_message(F.col("ph"), digits).alias("message"),
         F.unix_millis("ts").alias("timestamp"),
     )
 

@@ -1,13 +1,10 @@
 """As-of lookup: each row with what a log last said by then.
 
-Three ways, chosen by counting; the results are the same.
-
-- A small log is broadcast as one sorted history per device and searched by each
-  row, so the rows are not shuffled at all and a hot device needs no care.
-- Few rows are broadcast to a large log, whose entries are aggregated per asked
-  time before the shuffle.
-- Else it is a union with the log and one window per device, cut into slices
-  for hot devices.
+:func:`as_of` is a union with the log and one window per device, cut into slices for
+hot devices; it suits any sizes. :func:`broadcast_as_of` is for a caller who knows the
+log to be small: its sorted histories are broadcast and searched, so the rows are not
+shuffled. It refuses a larger log. Both give the same rows; a null device is a device
+like any other.
 """
 
 from __future__ import annotations
@@ -17,16 +14,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hydrolens.operators.slicing import DEVICE, carry, common_cuts, locate, place
-
-# Rows of a table which may be broadcast.
-SMALL_TABLE = 200_000
-
+from hydrolens.operators.slicing import DEVICE, carry, common_cuts, join_same, locate, place
 
-def is_small(table: DataFrame, most: int | None = None) -> bool:
-    """Whether the whole table may be broadcast; ``most`` can only lower the bound."""
-    bound = SMALL_TABLE if most is None else min(most, SMALL_TABLE)
-    return table.count() <= bound
+# Rows of a log which may be broadcast, some ten megabytes.
+BROADCAST_ROWS = 200_000
 
 
 def as_of(
@@ -34,23 +25,19 @@ def as_of(
     log: DataFrame,
     fields: Sequence[str],
     rows_per_slice: int | None = None,
-    small_log: int | None = None,
-    few_rows: int | None = None,
 ) -> DataFrame:
     """Adds to each row the last value of every field the log held by then.
 
     Fields are looked up one by one, absent values left out. A log entry at the
     same time as a row counts as earlier.
     """
-    if is_small(log, small_log):
-        return look_up(rows, log, fields)
-    if is_small(rows, few_rows):
-        return look_up_few(rows, log, fields)
     return over_events(rows, log, fields, common_cuts(rows, log, rows_per_slice))
 
 
-def look_up(rows: DataFrame, log: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """:func:`as_of` by a broadcast of the log, which has to be small."""
+def broadcast_as_of(rows: DataFrame, log: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """:func:`as_of` by a broadcast of the log; an error if it is too large for that."""
+    if log.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        raise ValueError(f"the log has more than {BROADCAST_ROWS} rows; use as_of")
     past = Window.partitionBy(DEVICE).orderBy("ts", "seq")
     past = past.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     state = F.struct(*[F.last(name, ignorenulls=True).over(past).alias(name) for name in fields])
@@ -62,37 +49,11 @@ def look_up(rows: DataFrame, log: DataFrame, fields: Sequence[str]) -> DataFrame
     )
     times = entries.groupBy(DEVICE).agg(F.array_sort(F.collect_list("at")).alias("times"))
     states = entries.select(DEVICE, "_position", "_found")
-    placed = locate(rows, times, SMALL_TABLE, F.unix_micros("ts"), "_position")
-    found = placed.join(F.broadcast(states), [DEVICE, "_position"], "left")
+    placed = locate(rows, times, BROADCAST_ROWS, F.unix_micros("ts"), "_position")
+    found = join_same(placed, F.broadcast(states), [DEVICE, "_position"], "left")
     return found.select(*rows.columns, *[F.col(f"_found.{name}").alias(name) for name in fields])
 
 
-def look_up_few(rows: DataFrame, log: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """:func:`as_of` by a broadcast of the asked times, which have to be few.
-
-    Each log entry goes to the first time asked at or after it.
-    """
-    asked = rows.select(DEVICE, F.unix_micros("ts").alias("_at")).dropna().distinct()
-    times = asked.groupBy(DEVICE).agg(F.array_sort(F.collect_list("_at")).alias("times"))
-    known = log.select(DEVICE, "ts", "seq", *fields)
-    known = known.join(F.broadcast(times.select(DEVICE, F.size("times").alias("_asked"))), DEVICE)
-    earlier = locate(known, times, SMALL_TABLE, F.unix_micros("ts") - 1, "_slot")
-    entries = earlier.filter(F.col("_slot") < F.col("_asked"))
-    when = F.struct("ts", "seq")
-    newest = [
-        F.max_by(name, F.when(F.col(name).isNotNull(), when)).alias(name) for name in fields
-    ]
-    last = entries.groupBy(DEVICE, "_slot").agg(*newest)
-    slots = times.select(DEVICE, F.posexplode("times").alias("_slot", "_at"))
-    past = Window.partitionBy(DEVICE).orderBy("_slot")
-    past = past.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    answers = slots.join(last, [DEVICE, "_slot"], "left").select(
-        DEVICE, "_at", *[F.last(name, ignorenulls=True).over(past).alias(name) for name in fields]
-    )
-    timed = rows.withColumn("_at", F.unix_micros("ts"))
-    return timed.join(answers, [DEVICE, "_at"], "left").select(*rows.columns, *fields)
-
-
 def over_events(
     rows: DataFrame, log: DataFrame, fields: Sequence[str], cuts: DataFrame | None
 ) -> DataFrame:

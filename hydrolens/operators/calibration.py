@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from hydrolens import constants as C
 from hydrolens.functions import units
-from hydrolens.operators.asof import as_of, is_small, look_up, over_events
-from hydrolens.operators.slicing import DEVICE, common_cuts, place
+from hydrolens.operators.asof import as_of, over_events
+from hydrolens.operators.slicing import DEVICE, common_cuts, join_same, place
 from hydrolens.session import written
 
 
@@ -16,7 +16,6 @@ def points_from_requests(
     requests: DataFrame,
     readings: DataFrame,
     rows_per_slice: int | None = None,
-    small_log: int | None = None,
 ) -> DataFrame:
     """Calibration entries from requests which name a known pH.
 
@@ -24,7 +23,7 @@ def points_from_requests(
     else 0. A request before the device's first reading yields no entry.
     """
     log = readings.select(DEVICE, "seq", "ts", "raw_ph", "ph", F.lit(True).alias("seen"))
-    answered = as_of(requests, log, ["raw_ph", "ph", "seen"], rows_per_slice, small_log)
+    answered = as_of(requests, log, ["raw_ph", "ph", "seen"], rows_per_slice)
     measured = F.coalesce("raw_ph", "ph", F.lit(0.0))
     return answered.filter("seen").select(
         DEVICE,
@@ -46,7 +45,7 @@ def live_points(log: DataFrame) -> DataFrame:
     added = log.filter(
         (F.col("op") == "add") & F.col("voltage").isNotNull() & F.col("ph").isNotNull()
     )
-    in_force = added.join(resets, DEVICE, "left").filter(
+    in_force = join_same(added, resets, [DEVICE], "left").filter(
         F.col("reset_seq").isNull() | (F.col("seq") > F.col("reset_seq"))
     )
     return in_force.groupBy(DEVICE, "voltage").agg(F.max_by("ph", "seq").alias("ph"))
@@ -60,7 +59,10 @@ def status(points: DataFrame) -> DataFrame:
 
 def report(points: DataFrame) -> DataFrame:
     """The points in force, each with the status of its device."""
-    return points.join(status(points), DEVICE)
+    count = F.count(F.lit(1)).over(Window.partitionBy(DEVICE))
+    return points.withColumn("points_count", count).withColumn(
+        "is_calibrated", F.col("points_count") >= 2
+    )
 
 
 def _line(v_low: Column, ph_low: Column, v_high: Column, ph_high: Column) -> Column:
@@ -97,7 +99,7 @@ def apply_current(
 ) -> DataFrame:
     """Readings on the line in force now; one row of lines per device, so AQE
     broadcasts it where it is small and splits skewed readings where it is not."""
-    joined = readings.join(line(points).drop("points_count"), DEVICE, "left")
+    joined = join_same(readings, line(points).drop("points_count"), [DEVICE], "left")
     value = calibrated(F.col("raw_ph"), F.col("slope"), F.col("intercept"), digits)
     return joined.withColumn("calibrated_ph", value)
 
@@ -155,13 +157,14 @@ def _carried_points(hot: DataFrame, cuts: DataFrame) -> DataFrame:
     lowest, highest = _outermost()
     ends = (
         hot.filter(F.col("op") == "add")
-        .join(F.broadcast(cleared), [DEVICE, "slice"], "left")
+        .transform(lambda added: join_same(added, F.broadcast(cleared), [DEVICE, "slice"], "left"))
         .filter(F.col("cleared").isNull() | (at > F.col("cleared")))
         .groupBy(DEVICE, "slice")
         .agg(lowest.alias("low"), highest.alias("high"))
     )
     slices = cuts.select(DEVICE, F.explode(F.sequence(F.lit(0), F.size("cuts"))).alias("slice"))
-    states = slices.join(cleared, [DEVICE, "slice"], "left").join(ends, [DEVICE, "slice"], "left")
+    states = join_same(slices, cleared, [DEVICE, "slice"], "left")
+    states = join_same(states, ends, [DEVICE, "slice"], "left")
     past = Window.partitionBy(DEVICE).orderBy("slice")
     past = past.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     within = Window.partitionBy(DEVICE, "stretch").orderBy("slice")
@@ -194,17 +197,13 @@ def apply_as_of(
     log: DataFrame,
     digits: int | None = 2,
     rows_per_slice: int | None = None,
-    small_log: int | None = None,
 ) -> DataFrame:
     """Readings on the line which was in force at their time."""
-    if is_small(log, small_log):
-        joined = look_up(readings, line_history(log), ["line"])
-    else:
-        cuts = common_cuts(readings, log, rows_per_slice)
-        history = line_history(log, cuts)
-        if cuts is not None:
-            # It is read twice then: as events and for the carried states.
-            history = written(history, "calibration-lines")
-        joined = over_events(readings, history, ["line"], cuts)
+    cuts = common_cuts(readings, log, rows_per_slice)
+    history = line_history(log, cuts)
+    if cuts is not None:
+        # It is read twice then: as events and for the carried states.
+        history = written(history, "calibration-lines")
+    joined = over_events(readings, history, ["line"], cuts)
     value = calibrated(F.col("raw_ph"), F.col("line.slope"), F.col("line.intercept"), digits)
     return joined.withColumn("calibrated_ph", value).drop("line")

@@ -13,13 +13,15 @@ from hydrolens.functions import text
 def snapshot(log: DataFrame, at: datetime | None = None) -> DataFrame:
     """Live keys at a time: last write wins, deletes and expiry applied.
 
-    A set without expiry (absent or 0) lives on and clears an earlier expiry.
+    A set without expiry (absent or 0) lives on and clears an earlier expiry. The
+    log's numbers ``seq`` are unique but for entries sent twice.
     """
     clock = F.current_timestamp() if at is None else F.lit(at).cast("timestamp")
-    last = {
-        name: F.max_by(name, "seq").alias(name) for name in ("op", "value", "ts", "expire_s")
-    }
-    newest = log.filter(F.col("ts") <= clock).groupBy("key").agg(*last.values())
+    # The newest number per key first: that aggregation is hash-based, while one that
+    # carries the texts along would sort the whole log twice.
+    known = log.filter(F.col("ts") <= clock).select("key", "seq", "op", "value", "ts", "expire_s")
+    last = known.groupBy("key").agg(F.max("seq").alias("seq"))
+    newest = known.join(last, ["key", "seq"], "left_semi").distinct()  # entries sent twice
     forever = F.coalesce(F.col("expire_s"), F.lit(0)) == 0
     expires = F.unix_micros("ts") + F.col("expire_s") * 1_000_000
     live = forever | (expires > F.unix_micros(clock))

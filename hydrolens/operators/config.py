@@ -31,11 +31,9 @@ def config_as_of(
     readings: DataFrame,
     config_log: DataFrame,
     rows_per_slice: int | None = None,
-    small_log: int | None = None,
-    few_rows: int | None = None,
 ) -> DataFrame:
     """Readings with the flags in force at their time, 0 before the first write."""
-    joined = as_of(readings, config_log, C.FLAGS, rows_per_slice, small_log, few_rows)
+    joined = as_of(readings, config_log, C.FLAGS, rows_per_slice)
     return joined.withColumns({name: F.coalesce(F.col(name), F.lit(0)) for name in C.FLAGS})
 
 
@@ -44,8 +42,7 @@ def dose_candidates(
     config_log: DataFrame,
     below: float = C.DOSE_BELOW_EC,
     rows_per_slice: int | None = None,
-    small_log: int | None = None,
 ) -> DataFrame:
     """Readings with low conductivity while dosing automation is on."""
-    joined = config_as_of(readings, config_log, rows_per_slice, small_log)
+    joined = config_as_of(readings, config_log, rows_per_slice)
     return joined.filter((F.col("auto") == 1) & (F.col("conductivity") < below))

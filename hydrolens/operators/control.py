@@ -6,11 +6,11 @@ are joined with the flags in force and those which cannot act are removed
 before the fold, and switch-offs are derived from the switch-ons after it.
 
 A hot device is folded slice by slice at once. Each slice starts from a guess
-of the state (the flags in force, nothing pending); the state at the end of
-every slice is then compared with the guess of the next (a cooldown or switch-off
-which is over by then does not count), and the slices whose guess was wrong are
-folded again until all seams agree. The result is exact. A few rounds do unless
-a device keeps one unbroken rhythm, where each round settles one more slice.
+of the state (the flags in force, nothing pending). The state at the end of every
+slice is an entry of the next one (a cooldown or switch-off which is over by then does
+not count), and entries that no slice was folded from yet are folded in another
+round. The result is exact. There are no more rounds than different states at a seam;
+an unbroken rhythm has as many as readings fit into its period.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from hydrolens import constants as C
 from hydrolens.functions import units
 from hydrolens.operators.config import config_as_of
-from hydrolens.operators.slicing import DEVICE, carry, common_cuts, over_rows, place
+from hydrolens.operators.slicing import DEVICE, carry, common_cuts, join_same, over_rows, place
 from hydrolens.session import fresh_dir, written
 
 # Kinds of events in their order at equal times.
@@ -163,10 +163,9 @@ def _events(
     config_log: DataFrame,
     rules: Rules,
     rows_per_slice: int | None,
-    small_log: int | None,
 ) -> DataFrame:
     """Configuration writes, and the readings on which some rule may act."""
-    judged = config_as_of(readings, config_log, rows_per_slice, small_log, few_rows=0)
+    judged = config_as_of(readings, config_log, rows_per_slice)
     low = F.coalesce(F.col("conductivity") < rules.dose_below, F.lit(False))
     may_act = ((F.col("auto") == 1) & low) | (F.col("circ_auto") == 1)
     acting = judged.filter(may_act).select(
@@ -186,7 +185,6 @@ def actions(
     config_log: DataFrame,
     rules: Rules = Rules(),
     rows_per_slice: int | None = None,
-    small_log: int | None = None,
 ) -> DataFrame:
     """What the rules did: ``force_circ``, ``skip``, ``dose`` and ``cycle`` rows.
 
@@ -194,7 +192,7 @@ def actions(
     pump goes off again, ``wait_us`` the rest of the cooldown after a skip.
     """
     cuts = common_cuts(readings, config_log, rows_per_slice)
-    events = _events(readings, config_log, rules, rows_per_slice, small_log)
+    events = _events(readings, config_log, rules, rows_per_slice)
     if cuts is None:
         whole = events.select("*", F.lit(0).alias("slice"), F.lit(False).alias("is_hot"))
         done = _fold(whole, rules)
@@ -210,11 +208,14 @@ def actions(
 def _fold_slices(
     placed: DataFrame, cuts: DataFrame, config_log: DataFrame, rules: Rules
 ) -> DataFrame:
-    """Folds all slices at once and again until every seam agrees.
-
-    Each round is a table below the shared folder, so a lost executor repeats
-    only its own tasks. Only slices of hot devices (a bounded number) are ever
-    compared, joined or folded again.
+    """Folds all slices at once, and again for entry states not folded yet.
+
+    A slice's end is the next slice's entry. What a slice does from an entry is folded
+    once and kept, so rounds end when no end is a new entry: there are no more rounds
+    than different states at a seam, however many slices there are. Then each device's
+    slices are walked through once by their kept ends. Each round is a table below the
+    shared folder, so a lost executor repeats only its own tasks. Only slices of hot
+    devices (a bounded number) are ever compared, joined or folded again.
     """
     spark = placed.sparkSession
     placed = written(placed.drop("ts"), "control-events")
@@ -228,58 +229,75 @@ def _fold_slices(
         )
 
     config_at = place(config_log.select(DEVICE, "ts", "seq", *flags), cuts)
-    guesses = carry(config_at, cuts, flags).select(
+    asked = carry(config_at, cuts, flags).select(
         *keys,
         *[F.coalesce(F.col(name), F.lit(0)).alias(name) for name in flags],
         *[F.lit(NEVER).alias(name) for name in Controller.FIELDS[3:]],
-        F.lit(0).alias("last_round"),
     )
-    starts = F.broadcast(cuts).select(DEVICE, "cuts")
-    guesses = guesses.join(starts, DEVICE).withColumn("start", F.get("cuts", F.col("slice") - 1))
-    entries = written(guesses.drop("cuts"), "control-entries")
-    table = fresh_dir(spark, "control-actions")
-    _fold(placed.unionByName(entry_rows(entries)), rules).write.parquet(f"{table}/round=0")
-
-    number = 0
+    starts = cuts.select(DEVICE, F.posexplode("cuts").alias("slice", "start"))
+    starts = written(starts.withColumn("slice", F.col("slice") + 1), "control-starts")
+    table, entries, ends = (
+        fresh_dir(spark, f"control-{name}") for name in ("actions", "entries", "ends")
+    )
+    state = f"device_id bigint, slice int, {_STATE_COLUMNS}"
+    same = [*keys, *Controller.FIELDS]
+    asked.write.parquet(f"{entries}/round=0")
+    asked = spark.read.schema(state).parquet(f"{entries}/round=0")
+    events, number = placed, 0
     while True:
-        part = spark.read.schema(_OUT_SCHEMA).parquet(f"{table}/round={number}")
-        ends = part.filter(F.col("action") == "exit")
-        found = ends.select(DEVICE, (F.col("slice") + 1).alias("slice"), *Controller.FIELDS)
-        # Every later slice has an entry row, so one without events hands it on.
-        seams = found.alias("new").join(F.broadcast(entries.alias("old")), keys)
-        met = _remembered("new", F.col("old.start"), rules)
-        same = F.lit(True)
-        for name, value in met.items():
-            same = same & (value == F.col(f"old.{name}"))
+        folded = f"{table}/round={number}"
+        _fold(events.unionByName(entry_rows(asked)), rules).write.parquet(folded)
+        done = spark.read.schema(_OUT_SCHEMA).parquet(folded).filter(F.col("action") == "exit")
+        left = done.select(DEVICE, (F.col("slice") + 1).alias("slice"), *Controller.FIELDS)
+        # The last slice leads nowhere. Every other one has an entry row, so a slice
+        # without events hands its state on.
+        seams = join_same(left, F.broadcast(starts), keys)
+        reached = seams.select(*keys, *[v.alias(n) for n, v in _remembered(rules).items()])
+        reached.write.parquet(f"{ends}/round={number}")
+        reached = spark.read.schema(state).parquet(f"{ends}/round={number}")
+        known = spark.read.schema(f"{state}, round int").parquet(entries)
         number += 1
-        wrong = written(
-            seams.filter(~same).select(
-                *keys,
-                *[value.alias(name) for name, value in met.items()],
-                F.lit(number).alias("last_round"),
-                "old.start",
-            ),
-            "control-entries",
-        )
-        if wrong.isEmpty():
+        join_same(reached, known, same, "left_anti").write.parquet(f"{entries}/round={number}")
+        asked = spark.read.schema(state).parquet(f"{entries}/round={number}")
+        if asked.isEmpty():
             break
-        changed = F.broadcast(wrong.select(*keys))
-        again = placed.join(changed, keys, "left_semi").unionByName(entry_rows(wrong))
-        _fold(again, rules).write.parquet(f"{table}/round={number}")
-        kept = entries.join(changed, keys, "left_anti")
-        entries = written(kept.unionByName(wrong), "control-entries")
+        events = join_same(placed, F.broadcast(asked.select(*keys)), keys, "left_semi")
 
-    rounds = F.broadcast(entries.select(*keys, "last_round"))
+    known = spark.read.schema(f"{state}, round int").parquet(entries)
+    after = spark.read.schema(f"{state}, round int").parquet(ends)
+    steps = join_same(after.withColumnRenamed("round", "came_by"), known, same)
+    chosen = steps.select(*keys, "came_by", "round").groupBy(DEVICE).applyInPandas(
+        _walk, "device_id bigint, slice int, round int"
+    )
+    chosen = written(chosen.withColumn("chosen", F.lit(True)), "control-chosen")
+    hot = cuts.select(DEVICE, F.lit(True).alias("hot"))
     everything = spark.read.schema(_OUT_SCHEMA + ", round int").parquet(table)
-    current = F.coalesce("last_round", F.lit(0)) == F.col("round")
-    valid = everything.join(rounds, keys, "left").filter(current)
+    judged = join_same(everything, F.broadcast(chosen), [*keys, "round"], "left")
+    judged = join_same(judged, F.broadcast(hot), [DEVICE], "left")
+    first = F.col("slice") == 0  # of a hot device too: it has one entry
+    valid = judged.filter(F.col("hot").isNull() | first | F.col("chosen"))
     return valid.filter(F.col("action") != "exit").select(*_OUT_COLUMNS)
 
 
-def _remembered(table: str, start: Column, rules: Rules) -> dict[str, Column]:
+def _walk(steps: pd.DataFrame) -> pd.DataFrame:
+    """One device's slices in order, each by the round that folded the entry the slice
+    before leads to. A row tells that slice ``slice - 1``, folded in round ``came_by``,
+    leads to the entry folded in round ``round``."""
+    leads = {(s, c): r for s, c, r in zip(steps["slice"], steps["came_by"], steps["round"])}
+    out, at, by = [], 1, 0
+    while (at, by) in leads:
+        by = leads[at, by]
+        out.append((at, by))
+        at += 1
+    found = pd.DataFrame(out, columns=["slice", "round"])
+    found.insert(0, "device_id", steps["device_id"].iloc[0])
+    return found
+
+
+def _remembered(rules: Rules) -> dict[str, Column]:
     """A state as events from ``start`` on see it: what is over is forgotten."""
-    state = {name: F.col(f"{table}.{name}") for name in Controller.FIELDS}
-    never = F.lit(NEVER)
+    state = {name: F.col(name) for name in Controller.FIELDS}
+    never, start = F.lit(NEVER), F.col("start")
     off = (state["off_at"] != never) & (state["off_at"] <= start)
     rested = start - state["last_dose"] >= int(rules.cooldown * SECOND)
     due = start - state["last_cycle"] > int(rules.cycle_every * SECOND)
@@ -337,9 +355,17 @@ def pump_changes(config_log: DataFrame, done: DataFrame) -> DataFrame:
 
 
 def pump_timeline(
-    config_log: DataFrame, done: DataFrame, rows_per_slice: int | None = None
+    config_log: DataFrame,
+    done: DataFrame,
+    rows_per_slice: int | None = None,
+    sized_by: DataFrame | None = None,
 ) -> DataFrame:
-    """State of each pump from each write to the next one."""
+    """State of each pump from each write to the next one.
+
+    ``sized_by`` is a table whose device counts stand for those of the changes, such
+    as the readings the rules ran over; without one the configuration log is.
+    Counting ``done`` itself would run the rules a second time.
+    """
 
     def add(rows: DataFrame, window) -> DataFrame:
         return rows.withColumn("until", F.lag("ts").over(window))
@@ -347,6 +373,7 @@ def pump_timeline(
     return over_rows(
         pump_changes(config_log, done), add, 1, by=(DEVICE, "pump"),
         order=("ts", "kind", "seq"), forward=True, rows_per_slice=rows_per_slice,
+        sized_by=config_log if sized_by is None else sized_by,
     )
 
 

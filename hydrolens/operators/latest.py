@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from hydrolens import constants as C
 from hydrolens.functions import text
-from hydrolens.session import written
 
 MEASURES = ("ph", "temperature", "humidity", "conductivity", "distance", "water_level")
 
@@ -76,51 +75,27 @@ def device_status(
     )
 
 
-# Rows looked at before the ranking settles all members instead.
-MAX_CANDIDATES = 100_000
+def _settled(readings: DataFrame) -> DataFrame:
+    """One score per member: a later reading of the same millisecond replaces it.
 
-
-def _members(readings: DataFrame) -> DataFrame:
-    return readings.filter(F.col("temperature").isNotNull()).select(
-        "device_id", "seq", text.ranking_member(F.col("ts")).alias("id"), "temperature"
-    )
-
-
-def _settled(members: DataFrame) -> DataFrame:
-    """One score per member: a later reading of the same millisecond replaces it."""
-    return members.groupBy("device_id", "id").agg(
+    Members are told apart by numbers, so the aggregation is hash-based with partial
+    results before the shuffle; the id's text is made of the settled ones.
+    """
+    present = readings.filter(F.col("temperature").isNotNull())
+    settled = present.groupBy("device_id", F.unix_millis("ts").alias("ms")).agg(
         F.max_by("temperature", "seq").alias("temperature")
     )
+    return settled.select("device_id", text.ranking_member(F.col("ms")).alias("id"), "temperature")
 
 
 def temperature_ranking(readings: DataFrame, limit: int = C.RANKING_LIMIT) -> DataFrame:
     """Hottest readings; of equal temperatures the larger id text comes first.
 
-    A member's score can be replaced by a lower one, so the hottest rows alone
-    are not the answer, but settling all members would shuffle all rows. The
-    hottest rows are taken as candidates and only their members are settled.
-    No other member can rank above the last candidate, so the answer is exact
-    once ``limit`` settled scores reach it; else more candidates are taken.
+    A member's score can be replaced by a lower one, so all members are settled
+    before the hottest are taken: one scan, one evenly spread shuffle, no sort.
     """
-    _at_least_one(limit)
     rank = F.struct("temperature", "id", "device_id")
-    members = _members(readings)
-    taken = 2 * limit
-    while taken <= MAX_CANDIDATES:
-        candidates = written(members.orderBy(rank.desc()).limit(taken), "hottest")
-        found, last = candidates.agg(F.count(F.lit(1)), F.min(rank)).first()
-        asked = F.broadcast(candidates.select("device_id", "id").distinct())
-        settled = _settled(members.join(asked, ["device_id", "id"], "left_semi"))
-        top = written(settled.orderBy(rank.desc()).limit(limit), "ranking")
-        if found < taken:
-            return top.orderBy(rank.desc())
-        lowest = F.struct(
-            F.lit(last["temperature"]), F.lit(last["id"]), F.lit(last["device_id"]).cast("bigint")
-        )
-        if top.filter(rank >= lowest).count() == limit:
-            return top.orderBy(rank.desc())
-        taken *= 8
-    return _settled(members).orderBy(rank.desc()).limit(limit)
+    return _settled(readings).orderBy(rank.desc()).limit(_at_least_one(limit))
 
 
 def device_temperature_ranking(readings: DataFrame, limit: int = C.RANKING_LIMIT) -> DataFrame:
@@ -130,5 +105,5 @@ def device_temperature_ranking(readings: DataFrame, limit: int = C.RANKING_LIMIT
     device is cut to ``limit`` rows before the second shuffle.
     """
     hottest = Window.partitionBy("device_id").orderBy(F.desc("temperature"), F.desc("id"))
-    ranked = _settled(_members(readings)).withColumn("position", F.row_number().over(hottest))
+    ranked = _settled(readings).withColumn("position", F.row_number().over(hottest))
     return ranked.filter(F.col("position") <= _at_least_one(limit))

@@ -14,20 +14,26 @@ MEASURES = ("temperature", "humidity", "ph", "conductivity", "distance")
 def clean(log: DataFrame) -> DataFrame:
     """Log entries as typed readings; unreadable numbers become null.
 
-    Entries without a readable time are dropped.
+    Entries without a readable time are dropped; :func:`untimed` gives them.
     """
-    millis = payload.number(F.col("timestamp")).cast("bigint")
     typed = log.select(
         "device_id",
         "seq",
         "stream_id",
         text.stream_id_millis(F.col("stream_id")).alias("arrival_ms"),
-        F.timestamp_millis(millis).alias("ts"),
+        payload.instant(payload.number(F.col("timestamp"))).alias("ts"),
         *[payload.number(F.col(name)).alias(name) for name in MEASURES],
     )
     return typed.filter(F.col("ts").isNotNull())
 
 
+def untimed(log: DataFrame) -> DataFrame:
+    """Log entries which :func:`clean` drops, with the reason."""
+    read = payload.instant(payload.number(F.col("timestamp")))
+    reason = F.when(F.col("timestamp").isNull(), "no time").otherwise("bad time")
+    return log.withColumn("reason", reason).filter(read.isNull())
+
+
 def plausible() -> Column:
     """pH within its closed range, temperature within its open one.
 

@@ -28,6 +28,18 @@ MAX_SLICES = 100_000
 MAX_SLICES_PER_DEVICE = 2**14
 
 
+def join_same(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner"
+) -> DataFrame:
+    """Join on equal keys, null keys included; the left table's keys are kept."""
+    renamed = right.withColumnsRenamed({key: f"_right_{key}" for key in keys})
+    same = F.lit(True)
+    for key in keys:
+        same = same & left[key].eqNullSafe(renamed[f"_right_{key}"])
+    joined = left.join(renamed, same, how)
+    return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"_right_{k}" for k in keys])
+
+
 def hot_cuts(rows: DataFrame, rows_per_slice: int | None = None) -> DataFrame | None:
     """``(device_id, cuts)`` for the hot devices of ``rows``; None without any.
 
@@ -54,7 +66,7 @@ def hot_cuts(rows: DataFrame, rows_per_slice: int | None = None) -> DataFrame |
         return F.percentile_approx(own, fractions, max(10_000, 10 * slices))
 
     cuts = F.array_distinct(F.coalesce(*[quantiles(slices) for slices in classes]))
-    of_hot = rows.select(DEVICE, "ts").join(F.broadcast(hot), DEVICE)
+    of_hot = join_same(rows.select(DEVICE, "ts"), F.broadcast(hot), [DEVICE])
     return written(of_hot.groupBy(DEVICE).agg(cuts.alias("cuts")), "cuts")
 
 
@@ -99,12 +111,14 @@ def locate(rows: DataFrame, times: DataFrame, most: int, at: Column, name: str)
     position = F.when(F.col("_stretch") > 0, (F.col("_stretch") - 1) * STRIDE + within)
     none_yet = F.when(F.col("_stretch") == 0, F.lit(0))
     return (
-        rows.join(F.broadcast(coarse), DEVICE, "left")
-        .select(
-            *rows.columns, F.when(F.col("_coarse").isNotNull(), stretch).alias("_stretch")
-        )
-        .join(F.broadcast(fine), [DEVICE, "_stretch"], "left")
-        .select(*rows.columns, F.coalesce(position, none_yet).alias(name))
+        join_same(
+            join_same(rows, F.broadcast(coarse), [DEVICE], "left").select(
+                *rows.columns, F.when(F.col("_coarse").isNotNull(), stretch).alias("_stretch")
+            ),
+            F.broadcast(fine),
+            [DEVICE, "_stretch"],
+            "left",
+        ).select(*rows.columns, F.coalesce(position, none_yet).alias(name))
     )
 
 
@@ -192,7 +206,7 @@ def carry(log: DataFrame, cuts: DataFrame, fields: Sequence[str]) -> DataFrame:
     before = (
         Window.partitionBy(DEVICE).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     )
-    filled = slices.join(last, [DEVICE, "slice"], "left").select(
+    filled = join_same(slices, last, [DEVICE, "slice"], "left").select(
         DEVICE,
         "slice",
         *[F.last(name, ignorenulls=True).over(before).alias(name) for name in fields],

@@ -1,5 +1,7 @@
 """The registered queries as SQL for DuckDB, written independently of Spark.
 
+Only the text of the input payloads is shared: ``payload_sql`` makes it for both.
+
 ``log_of(...)`` style fragments below are common table expressions over the
 ``events`` table; each query names the ones it needs.
 """
@@ -88,7 +90,8 @@ _CTE = {
   FROM (SELECT *, ok0 AND json_type(body0) = 'OBJECT' AS ok,
                CASE WHEN ok0 AND json_type(body0) = 'OBJECT' THEN body0 END AS body
         FROM (SELECT *, json_valid(payload) AS ok0,
-                     CASE WHEN json_valid(payload) THEN payload::JSON END AS body0 FROM raw))""",
+                     CASE WHEN json_valid(payload) THEN payload::JSON END AS body0,
+                     regexp_extract_all(payload, '"ph": ([^,}]+)', 1) AS phs FROM raw))""",
     "http_fields": """
   SELECT *,
     CASE WHEN list_contains(names, 'eletrocondutividade') THEN body->>'$.eletrocondutividade'
@@ -99,7 +102,8 @@ _CTE = {
          WHEN list_contains(names, 'temperature') THEN body->>'$.temperature' ELSE '0' END AS x_t,
     CASE WHEN list_contains(names, 'umidade') THEN body->>'$.umidade'
          WHEN list_contains(names, 'humidity') THEN body->>'$.humidity' ELSE '0' END AS x_h,
-    CASE WHEN list_contains(names, 'ph') THEN body->>'$.ph' ELSE '0' END AS x_ph
+    CASE WHEN len(phs) > 1 THEN phs[len(phs)]
+         WHEN list_contains(names, 'ph') THEN body->>'$.ph' ELSE '0' END AS x_ph
   FROM parsed""",
     "http_judged": """
   SELECT *, CASE WHEN NOT coalesce(ok, FALSE) THEN 'malformed'
@@ -120,7 +124,8 @@ _CTE = {
   FROM http_judged WHERE reason IS NULL{only_http}""",
     "serial_fields": """
   SELECT *,
-    CASE WHEN list_contains(names, 'ph') THEN body->>'$.ph' ELSE body->>'$.pH' END AS x_ph,
+    CASE WHEN len(phs) > 1 THEN phs[len(phs)]
+         WHEN list_contains(names, 'ph') THEN body->>'$.ph' ELSE body->>'$.pH' END AS x_ph,
     list_contains(names, 'ph') OR list_contains(names, 'pH') AS has_ph,
     CASE WHEN list_contains(names, 'temperatura') THEN body->>'$.temperatura'
          ELSE body->>'$.temperature' END AS x_t,
@@ -145,11 +150,13 @@ _CTE = {
     WHEN (has_ph AND TRY_CAST(x_ph AS DOUBLE) IS NULL) OR (has_t AND TRY_CAST(x_t AS DOUBLE) IS NULL)
       OR (has_h AND TRY_CAST(x_h AS DOUBLE) IS NULL) OR (has_s AND TRY_CAST(x_s AS DOUBLE) IS NULL)
       OR (has_ec AND TRY_CAST(x_ec AS DOUBLE) IS NULL) OR (has_d AND TRY_CAST(x_d AS DOUBLE) IS NULL)
-      THEN 'bad number' END AS reason
+      THEN 'bad number'
+    WHEN has_ts AND x_ts IS NOT NULL AND NOT coalesce(TRY_CAST(x_ts AS DOUBLE)
+      BETWEEN -62135596800000 AND 253402300799999, FALSE) THEN 'bad time' END AS reason
   FROM serial_fields""",
     "serial": """
   SELECT device_id, seq,
-         coalesce(make_timestamp(CAST(x_ts AS BIGINT) * 1000), ts) AS ts, 'serial' AS source,
+         coalesce(make_timestamp(TRY_CAST(x_ts AS BIGINT) * 1000), ts) AS ts, 'serial' AS source,
          x_t::DOUBLE AS temperature, x_h::DOUBLE AS humidity, x_d::DOUBLE AS distance,
          x_ec::DOUBLE AS conductivity, x_s::DOUBLE AS salinity,
          x_ph::DOUBLE * 3.0556::DOUBLE + -5.139::DOUBLE AS ph
@@ -165,10 +172,12 @@ _CTE = {
          CAST(epoch_us(ts) // 1000 AS VARCHAR) || '-' || CAST(seq AS VARCHAR) AS stream_id,
          CASE WHEN seq % 29 <> 0 THEN CAST(value % 75 - 12 AS DECIMAL(12,2))::DOUBLE END AS temperature,
          (30 + k % 60)::DOUBLE AS humidity,
-         CASE WHEN seq % 31 <> 0 THEN CAST(value % 15 AS DECIMAL(12,2))::DOUBLE END AS ph,
+         CASE WHEN seq % 61 = 0 THEN 1e30::DOUBLE WHEN seq % 67 = 0 THEN 'nan'::DOUBLE
+              WHEN seq % 31 <> 0 THEN CAST(value % 15 AS DECIMAL(12,2))::DOUBLE END AS ph,
          CAST(value * 6 AS DECIMAL(12,2))::DOUBLE AS conductivity,
          (k % 25)::DOUBLE AS distance
-  FROM e WHERE seq % 23 <> 0""",
+  FROM e WHERE seq % 23 <> 0 AND seq % 37 <> 0 AND seq % 41 <> 0 AND seq % 43 <> 0
+    AND seq % 47 <> 0 AND seq % 53 <> 0""",
     "cleaned": """
   SELECT device_id, seq, stream_id, ms AS arrival_ms, make_timestamp(ms * 1000) AS ts, temperature, humidity,
          ph, conductivity, distance
@@ -401,6 +410,7 @@ ORACLE: dict[str, str] = {
   round(avg(conductivity) {_LAST10}, 6) AS eletrocondutividade FROM http""",
     ),
     "ingest_lines": _sql(_SERIAL, "SELECT * FROM serial", both=True),
+    "ingest_bytes": _sql(_HTTP, "SELECT * FROM http"),
     "ingest_rejects": _sql(
         _HTTP,
         "SELECT device_id, seq, ts, payload, reason FROM http_judged WHERE reason IS NOT NULL",
@@ -430,6 +440,18 @@ ORACLE: dict[str, str] = {
     "ec_convert": _sql(_READING_CTES, "SELECT device_id, seq, conductivity FROM readings"),
     "water_level": _sql(_READING_CTES, "SELECT device_id, seq, distance, water_level FROM readings"),
     "clean_readings": _sql("e stored cleaned", "SELECT * FROM cleaned"),
+    "log_rejects": _sql(
+        "e",
+        """SELECT device_id, seq,
+  CAST(epoch_us(ts) // 1000 AS VARCHAR) || '-' || CAST(seq AS VARCHAR) AS stream_id, timestamp,
+  CASE WHEN timestamp IS NULL THEN 'no time' ELSE 'bad time' END AS reason
+  FROM (SELECT *, CASE WHEN seq % 37 = 0 THEN 'nan' WHEN seq % 41 = 0 THEN '1e18'
+                       WHEN seq % 43 = 0 THEN '-inf' WHEN seq % 47 = 0 THEN 'soon'
+                       WHEN seq % 53 = 0 THEN '1e30'
+                       WHEN seq % 23 <> 0 THEN CAST(epoch_us(ts) // 1000 AS VARCHAR) END AS timestamp
+        FROM e)
+  WHERE timestamp IS NULL OR timestamp IN ('nan', '1e18', '-inf', 'soon', '1e30')""",
+    ),
     "outlier_filter": _sql(_READING_CTES, f"SELECT {_READING} FROM readings WHERE {_PLAUSIBLE}"),
     "outlier_counts": _sql(
         "e stored cleaned",
@@ -466,6 +488,11 @@ ORACLE: dict[str, str] = {
         "e stored cleaned",
         f"SELECT {_HOUR}, {_KPIS} FROM cleaned WHERE {_PLAUSIBLE} GROUP BY date_trunc('hour', ts)",
     ),
+    "kpi_job": _sql(
+        "e stored cleaned",
+        f"SELECT 'kpi:' || strftime(date_trunc('hour', ts), '%Y%m%d%H') AS kpi_key, {_HOUR}, {_KPIS} "
+        f"FROM cleaned WHERE {_PLAUSIBLE} GROUP BY date_trunc('hour', ts)",
+    ),
     "ph_ma10": _sql(_READING_CTES, _MA_PH),
     "ec_ma10": _sql(_READING_CTES, _MA_EC),
     "calibration_points": _sql(_POINTS, "SELECT device_id, voltage, ph FROM points"),
@@ -505,8 +532,25 @@ ORACLE: dict[str, str] = {
         """SELECT device_id, ts, circ, nutri, auto, circ_auto FROM (
   SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY seq DESC) AS rn FROM config_log)
   WHERE rn = 1""",
+    ),
+    "config_writes": _sql(
+        "e",
+        """SELECT device_id, seq, ts, CAST(k % 4 > 0 AND k % 2 = 1 AS INTEGER) AS circ, 0 AS nutri,
+  CAST(k % 7 > 0 AND k % 3 > 0 AS INTEGER) AS auto, CAST(k % 5 > 0 AS INTEGER) AS circ_auto
+  FROM e WHERE event_type = 'signup'""",
     ),
     "config_asof": _sql("e readings config_log", _CONFIG_AS_OF),
+    "config_asof_nulls": _sql(
+        "e readings config_log",
+        """SELECT nullif(r.d, -1) AS device_id, r.seq, r.ts, r.conductivity, coalesce(c.circ, 0) AS circ,
+  coalesce(c.nutri, 0) AS nutri, coalesce(c.auto, 0) AS auto, coalesce(c.circ_auto, 0) AS circ_auto
+  FROM (SELECT *, CASE WHEN device_id % 7 <> 0 THEN device_id ELSE -1 END AS d FROM readings
+        WHERE event_type <> 'signup') r
+  ASOF LEFT JOIN (
+    SELECT CASE WHEN device_id % 7 <> 0 THEN device_id ELSE -1 END AS d, ts, arg_max(circ, seq) AS circ,
+           arg_max(nutri, seq) AS nutri, arg_max(auto, seq) AS auto, arg_max(circ_auto, seq) AS circ_auto
+    FROM config_log GROUP BY d, ts) c ON r.d = c.d AND r.ts >= c.ts""",
+    ),
     "dose_candidates": _sql(
         "e readings config_log smoothed",
         """SELECT r.device_id, r.seq, r.ts, c.circ, c.auto
@@ -563,17 +607,26 @@ ORACLE: dict[str, str] = {
     ),
 }
 
-# The same results by another way through Spark: hot devices cut into slices.
-for _name in (
-    "reading_gaps", "ph_ma10", "calibrated_ph_asof", "config_asof", "pump_actions",
-    "pump_timeline", "offline_spans",
-):
-    ORACLE[f"{_name}_hot"] = ORACLE[_name]
 
-# As-of lookups in a large log, which is not broadcast.
-for _name in ("calibrated_ph_asof", "config_asof"):
-    ORACLE[f"{_name}_window"] = ORACLE[_name]
-ORACLE["calibration_requests_few"] = ORACLE["calibration_requests"]
+
+def _as_shipped(sql: str) -> str:
+    """The rules with their own thresholds, over time that runs 360 times as fast."""
+    faster = "make_timestamp((epoch_us(ts) - 1704067200000000) // 360 + 1704067200000000) AS ts"
+    for scaled, own in (
+        ("event_id AS seq, ts,", f"event_id AS seq, {faster},"),
+        ("us + 18000000000", "us + 60000000"),
+        ("THEN 3600000000 ELSE", "THEN 5000000 ELSE"),
+        ("us + 3600000000", "us + 5000000"),
+        ("21600000000", "60000000"),
+        ("43200000000", "120000000"),
+        ("TIMESTAMP '2024-02-01'", "TIMESTAMP '2024-01-01 06:00:00'"),
+    ):
+        sql = sql.replace(scaled, own)
+    return sql
+
+
+for _name in ("pump_actions", "pump_runtime"):
+    ORACLE[f"{_name}_default"] = _as_shipped(ORACLE[_name])
 
 # The same results out of streams. A stream's clock is the newest event time.
 for _name in (

@@ -27,7 +27,9 @@ from hydrolens.operators import (
     rollup,
     smoothing,
 )
-from hydrolens.functions import units
+from hydrolens.functions import payload, units
+from hydrolens.plans import jobs
+from hydrolens.session import fresh_dir
 from hydrolens.sources import events_views as views
 from hydrolens.sources import readings as source
 
@@ -37,15 +39,11 @@ DIGITS = 6
 HOUR = 3600
 NOW = datetime(2024, 1, 30, 12)
 RUNTIME_UNTIL = datetime(2024, 2, 1)
+HASTENED_UNTIL = datetime(2024, 1, 1, 6)
 SILENCE = 24 * HOUR
 RULES = control.Rules(
     cooldown=6 * HOUR, dose_for=HOUR, cycle_every=12 * HOUR, cycle_for=5 * HOUR
 )
-# Cuts any device with more rows into slices, so that the test data takes the
-# way of a hot device.
-SMALL_SLICE = 16
-# Takes every log for a large one, which is not broadcast.
-NO_LOG = 0
 
 
 def present(df: DataFrame, *rounded: str) -> DataFrame:
@@ -98,13 +96,10 @@ def temp_ranking_by_device(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest.device_temperature_ranking(views.readings(spark, sf_dir))
 
 
-def reading_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return present(smoothing.reading_gaps(views.readings(spark, sf_dir)))
-
-
-def reading_gaps_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = views.readings(spark, sf_dir)
-    return present(smoothing.reading_gaps(rows, rows_per_slice=SMALL_SLICE))
+def reading_gaps(
+    spark: SparkSession, sf_dir: str, rows_per_slice: int | None = None
+) -> DataFrame:
+    return present(smoothing.reading_gaps(views.readings(spark, sf_dir), rows_per_slice))
 
 
 # --- ingest -----------------------------------------------------------------
@@ -137,9 +132,41 @@ def serial_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ingest_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Readings accepted from the serial line, with the arrival as event time."""
+    """Readings accepted from the serial line, out of text files with one line each.
+
+    A line is what the port's reader notes: arrival and payload, with a tab between.
+    """
     raw = views.readings_raw(spark, sf_dir).filter(F.col("source") == "serial")
-    return present(source.serial_readings(raw))
+    micros = F.unix_micros("ts").cast("string")
+    arrival = F.concat_ws(",", F.col("device_id").cast("string"), F.col("seq").cast("string"), micros)
+    path = fresh_dir(spark, "lines")
+    raw.select(F.concat(arrival, F.lit("\t"), "payload")).write.text(path)
+    lines = source.read_lines(spark, path)
+    noted = F.split(F.split_part("payload", F.lit("\t"), F.lit(1)), ",")
+    arrived = lines.select(
+        noted[0].cast("bigint").alias("device_id"),
+        noted[1].cast("bigint").alias("seq"),
+        F.timestamp_micros(noted[2].cast("bigint")).alias("ts"),
+        F.split_part("payload", F.lit("\t"), F.lit(2)).alias("payload"),
+    )
+    return present(source.serial_readings(arrived))
+
+
+def ingest_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads that arrive as bytes."""
+    raw = views.readings_raw(spark, sf_dir)
+    sent = raw.withColumn("payload", F.encode("payload", "UTF-8"))
+    text = sent.withColumn("payload", payload.decode_text(F.col("payload")))
+    return present(source.http_readings(text))
+
+
+def kpi_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batch job end to end: the stored log is written, read by the job, and the
+    keyed table it leaves is read back."""
+    log, table, keyed = (fresh_dir(spark, name) for name in ("log", "kpis", "keyed"))
+    views.reading_log(spark, sf_dir).write.parquet(log)
+    jobs.kpi_job(spark, log, table, keyed)
+    return present(spark.read.parquet(keyed).drop("date"), *_KPI_DOUBLES)
 
 
 def encode_json(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,6 +210,11 @@ def water_level(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- quality ----------------------------------------------------------------
 
 
+def log_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.untimed(views.reading_log(spark, sf_dir))
+    return found.select("device_id", "seq", "stream_id", "timestamp", "reason")
+
+
 def clean_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return present(quality.clean(views.reading_log(spark, sf_dir)))
 
@@ -224,8 +256,8 @@ def log_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return present(rollup.hourly_kpis(clean), *_KPI_DOUBLES)
 
 
-def _moving_mean(name: str, rows_per_slice: int | None) -> Query:
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _moving_mean(name: str) -> Query:
+    def query(spark: SparkSession, sf_dir: str, rows_per_slice: int | None = None) -> DataFrame:
         rows = views.readings(spark, sf_dir).select("device_id", "seq", "ts", name)
         out = f"{name}_ma10"
         means = smoothing.moving_mean(rows, {name: out}, rows_per_slice=rows_per_slice)
@@ -241,14 +273,13 @@ def calibration_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calibration.live_points(views.calibration_log(spark, sf_dir))
 
 
-def _calibration_requests(small_log: int | None = None) -> Query:
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        asked = views.calibration_requests(spark, sf_dir)
-        known = views.rows(spark, sf_dir).filter(F.col("event_type") != "purchase")
-        read = views.readings_of(known)
-        return present(calibration.points_from_requests(asked, read, small_log=small_log))
-
-    return query
+def calibration_requests(
+    spark: SparkSession, sf_dir: str, rows_per_slice: int | None = None
+) -> DataFrame:
+    asked = views.calibration_requests(spark, sf_dir)
+    known = views.rows(spark, sf_dir).filter(F.col("event_type") != "purchase")
+    read = views.readings_of(known)
+    return present(calibration.points_from_requests(asked, read, rows_per_slice))
 
 
 def calibration_status(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -270,16 +301,13 @@ def calibrated_ph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return present(applied.drop("slope", "intercept"))
 
 
-def _calibrated_as_of(
-    rows_per_slice: int | None = None, small_log: int | None = None
-) -> Query:
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        events = views.rows(spark, sf_dir).filter(F.col("event_type") != "purchase")
-        rows = views.readings_of(events).select("device_id", "seq", "ts", "raw_ph")
-        log = views.calibration_log(spark, sf_dir)
-        return present(calibration.apply_as_of(rows, log, None, rows_per_slice, small_log))
-
-    return query
+def calibrated_ph_asof(
+    spark: SparkSession, sf_dir: str, rows_per_slice: int | None = None
+) -> DataFrame:
+    events = views.rows(spark, sf_dir).filter(F.col("event_type") != "purchase")
+    rows = views.readings_of(events).select("device_id", "seq", "ts", "raw_ph")
+    log = views.calibration_log(spark, sf_dir)
+    return present(calibration.apply_as_of(rows, log, None, rows_per_slice))
 
 
 # --- configuration and control ----------------------------------------------
@@ -289,15 +317,24 @@ def config_current(spark: SparkSession, sf_dir: str) -> DataFrame:
     return present(config.config_current(views.config_log(spark, sf_dir)))
 
 
-def _config_as_of(rows_per_slice: int | None = None, small_log: int | None = None) -> Query:
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = views.control_readings(spark, sf_dir).select(
-            "device_id", "seq", "ts", "conductivity"
-        )
-        log = views.config_log(spark, sf_dir)
-        return present(config.config_as_of(rows, log, rows_per_slice, small_log, few_rows=0))
+def config_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return present(config.config_writes(views.config_requests(spark, sf_dir)))
 
-    return query
+
+def config_asof(
+    spark: SparkSession, sf_dir: str, rows_per_slice: int | None = None
+) -> DataFrame:
+    rows = views.control_readings(spark, sf_dir).select("device_id", "seq", "ts", "conductivity")
+    return present(config.config_as_of(rows, views.config_log(spark, sf_dir), rows_per_slice))
+
+
+def config_asof_nulls(
+    spark: SparkSession, sf_dir: str, rows_per_slice: int | None = None
+) -> DataFrame:
+    """Some devices unnamed: these count as one device."""
+    rows = views.control_readings(spark, sf_dir).select("device_id", "seq", "ts", "conductivity")
+    log = views.unnamed(views.config_log(spark, sf_dir))
+    return present(config.config_as_of(views.unnamed(rows), log, rows_per_slice))
 
 
 def _smoothed(spark: SparkSession, sf_dir: str, rows_per_slice: int | None) -> DataFrame:
@@ -315,22 +352,34 @@ def dose_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _actions(
-    spark: SparkSession,
-    sf_dir: str,
-    rows_per_slice: int | None = None,
-    small_log: int | None = None,
+    spark: SparkSession, sf_dir: str, rows_per_slice: int | None = None
 ) -> DataFrame:
     rows = _smoothed(spark, sf_dir, rows_per_slice)
-    log = views.config_log(spark, sf_dir)
-    return control.actions(rows, log, RULES, rows_per_slice, small_log)
+    return control.actions(rows, views.config_log(spark, sf_dir), RULES, rows_per_slice)
+
+
+def pump_actions(
+    spark: SparkSession, sf_dir: str, rows_per_slice: int | None = None
+) -> DataFrame:
+    return present(_actions(spark, sf_dir, rows_per_slice))
+
+
+def _default_actions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Configuration and actions of the rules as shipped, on hastened readings."""
+    rows = views.hastened(views.control_readings(spark, sf_dir))
+    rows = rows.select("device_id", "seq", "ts", "conductivity")
+    log = views.hastened(views.config_log(spark, sf_dir))
+    means = smoothing.moving_mean(rows, {"conductivity": "conductivity"}, digits=2)
+    return log, control.actions(means, log)
 
 
-def pump_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return present(_actions(spark, sf_dir))
+def pump_actions_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return present(_default_actions(spark, sf_dir)[1])
 
 
-def pump_actions_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return present(_actions(spark, sf_dir, SMALL_SLICE, NO_LOG))
+def pump_runtime_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    timeline = control.pump_timeline(*_default_actions(spark, sf_dir), sized_by=views.rows(spark, sf_dir))
+    return present(control.pump_runtime(timeline, HASTENED_UNTIL))
 
 
 def dose_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -348,15 +397,13 @@ def last_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _timeline(spark: SparkSession, sf_dir: str, rows_per_slice: int | None = None) -> DataFrame:
     log = views.config_log(spark, sf_dir)
     done = _actions(spark, sf_dir, rows_per_slice)
-    return control.pump_timeline(log, done, rows_per_slice)
-
-
-def pump_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return present(_timeline(spark, sf_dir))
+    return control.pump_timeline(log, done, rows_per_slice, sized_by=views.rows(spark, sf_dir))
 
 
-def pump_timeline_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return present(_timeline(spark, sf_dir, SMALL_SLICE))
+def pump_timeline(
+    spark: SparkSession, sf_dir: str, rows_per_slice: int | None = None
+) -> DataFrame:
+    return present(_timeline(spark, sf_dir, rows_per_slice))
 
 
 def pump_runtime(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -367,19 +414,18 @@ def pump_runtime(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raise_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return present(alerts.alerts(views.readings(spark, sf_dir)))
+    return present(alerts.alerts(views.readings(spark, sf_dir), digits=2))
 
 
 def alert_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return present(alerts.alert_json(alerts.alerts(views.readings(spark, sf_dir))))
-
+    return present(alerts.alert_json(alerts.alerts(views.readings(spark, sf_dir), digits=2)))
 
-def _offline_spans(rows_per_slice: int | None) -> Query:
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = views.readings(spark, sf_dir)
-        return present(alerts.offline_spans(rows, NOW, SILENCE, rows_per_slice))
 
-    return query
+def offline_spans(
+    spark: SparkSession, sf_dir: str, rows_per_slice: int | None = None
+) -> DataFrame:
+    rows = views.readings(spark, sf_dir)
+    return present(alerts.offline_spans(rows, NOW, SILENCE, rows_per_slice))
 
 
 def context_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -422,11 +468,11 @@ BATCH: dict[str, Query] = {
     "temp_ranking": temp_ranking,
     "temp_ranking_by_device": temp_ranking_by_device,
     "reading_gaps": reading_gaps,
-    "reading_gaps_hot": reading_gaps_hot,
     "ingest_json": ingest_json,
     "ingest_json_sparse": ingest_json_sparse,
     "ingest_smoothed": ingest_smoothed,
     "ingest_lines": ingest_lines,
+    "ingest_bytes": ingest_bytes,
     "ingest_rejects": ingest_rejects,
     "normalize_serial": normalize_serial,
     "serial_rejects": serial_rejects,
@@ -437,6 +483,7 @@ BATCH: dict[str, Query] = {
     "ec_convert": ec_convert,
     "water_level": water_level,
     "clean_readings": clean_readings,
+    "log_rejects": log_rejects,
     "outlier_filter": outlier_filter,
     "outlier_counts": outlier_counts,
     "range_status": range_status,
@@ -444,36 +491,32 @@ BATCH: dict[str, Query] = {
     "hourly_kpis_by_device": hourly_kpis_by_device,
     "kpi_keyed": kpi_keyed,
     "log_kpis": log_kpis,
-    "ph_ma10": _moving_mean("ph", None),
-    "ph_ma10_hot": _moving_mean("ph", SMALL_SLICE),
-    "ec_ma10": _moving_mean("conductivity", None),
+    "kpi_job": kpi_job,
+    "ph_ma10": _moving_mean("ph"),
+    "ec_ma10": _moving_mean("conductivity"),
     "calibration_points": calibration_points,
-    "calibration_requests": _calibration_requests(),
-    "calibration_requests_few": _calibration_requests(NO_LOG),
+    "calibration_requests": calibration_requests,
     "calibration_status": calibration_status,
     "calibration_report": calibration_report,
     "calibration_line": calibration_line,
     "calibrated_ph": calibrated_ph,
-    "calibrated_ph_asof": _calibrated_as_of(),
-    "calibrated_ph_asof_window": _calibrated_as_of(small_log=NO_LOG),
-    "calibrated_ph_asof_hot": _calibrated_as_of(SMALL_SLICE, NO_LOG),
+    "calibrated_ph_asof": calibrated_ph_asof,
+    "config_writes": config_writes,
     "config_current": config_current,
-    "config_asof": _config_as_of(),
-    "config_asof_window": _config_as_of(small_log=NO_LOG),
-    "config_asof_hot": _config_as_of(SMALL_SLICE, NO_LOG),
+    "config_asof": config_asof,
+    "config_asof_nulls": config_asof_nulls,
     "dose_candidates": dose_candidates,
     "dose_events": dose_events,
     "circ_cycles": circ_cycles,
     "pump_actions": pump_actions,
-    "pump_actions_hot": pump_actions_hot,
+    "pump_actions_default": pump_actions_default,
     "last_actions": last_actions,
     "pump_timeline": pump_timeline,
-    "pump_timeline_hot": pump_timeline_hot,
     "pump_runtime": pump_runtime,
+    "pump_runtime_default": pump_runtime_default,
     "alerts": raise_alerts,
     "alert_messages": alert_messages,
-    "offline_spans": _offline_spans(None),
-    "offline_spans_hot": _offline_spans(SMALL_SLICE),
+    "offline_spans": offline_spans,
     "context_report": context_report,
     "kv_snapshot": kv_snapshot,
     "kv_lookup": kv_lookup,

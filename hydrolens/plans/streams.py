@@ -1,7 +1,11 @@
 """Registered queries which run as streams over the whole tables.
 
 Each reads the table's files as a stream, runs until all are read, and returns
-the table its sink wrote. The results equal the batch queries'.
+the table its sink wrote. Hourly indicators, alerts, ingest and the latest state equal
+the batch queries' however files are split and ordered. So do moving means and pump
+actions with a delay; without one (and offline spans) they take a device's rows in the
+order of their arrival, sorted within a micro-batch, as the services do, and equal the
+batch queries' if files arrive in the order of time.
 """
 
 from __future__ import annotations
@@ -16,8 +20,13 @@ from hydrolens.sources import readings as source
 from hydrolens.streaming import kpis, sinks, state
 
 
+# Files of the scattered tables hold rows of any time, so a row can be this late.
+LATEST = "100 days"
+
+
 def hourly_kpis_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hourly = kpis.hourly_kpis(views.readings(spark, sf_dir, streaming=True))
+    folder = views.scattered(spark, sf_dir)
+    hourly = kpis.hourly_kpis(views.readings(spark, sf_dir, folder=folder).filter("seq is not null"))
     return present(sinks.run_to_upserted(hourly, "kpis", ["window_start", "window_end"]), *_KPI_DOUBLES)
 
 
@@ -28,8 +37,10 @@ def kpi_keyed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ph_ma10_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = views.readings(spark, sf_dir, streaming=True).select("device_id", "seq", "ts", "ph")
-    means = state.moving_mean(rows, {"ph": "ph_ma10"})
+    """Files in no order: readings wait for earlier ones."""
+    folder = views.scattered(spark, sf_dir)
+    rows = views.readings(spark, sf_dir, folder=folder).select("device_id", "seq", "ts", "ph")
+    means = state.moving_mean(rows, {"ph": "ph_ma10"}, delay=LATEST)
     return present(sinks.run_to_table(means, "ma10"), "ph_ma10")
 
 
@@ -40,7 +51,7 @@ def ingest_smoothed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def alerts_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raised = alerts.alerts(views.readings(spark, sf_dir, streaming=True))
+    raised = alerts.alerts(views.readings(spark, sf_dir, streaming=True), digits=2)
     return present(sinks.run_to_table(raised, "alerts"))
 
 
@@ -62,9 +73,11 @@ def offline_spans_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pump_actions_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = views.control_readings(spark, sf_dir, streaming=True)
-    writes = views.config_log(spark, sf_dir, streaming=True)
-    return present(sinks.run_to_table(state.pump_actions(rows, writes, RULES), "actions"))
+    """Files of readings and of configuration in no order, and not aligned."""
+    rows = views.control_readings(spark, sf_dir, folder=views.scattered(spark, sf_dir, 5))
+    writes = views.config_log(spark, sf_dir, folder=views.scattered(spark, sf_dir, 3))
+    actions = state.pump_actions(rows, writes, RULES, delay=LATEST)
+    return present(sinks.run_to_table(actions, "actions"))
 
 
 STREAMS: dict[str, Query] = {

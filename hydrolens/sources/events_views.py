@@ -13,12 +13,36 @@ from pyspark.sql import functions as F
 
 from hydrolens import schemas
 from hydrolens.functions import units
+from hydrolens.session import fresh_dir
 from hydrolens.sources.readings import stream_table
 
 
-def rows(spark: SparkSession, sf_dir: str, streaming: bool = False) -> DataFrame:
-    """All events with the telemetry keys; ``ts`` is an instant, not a wall clock."""
-    if streaming:
+def scattered(spark: SparkSession, sf_dir: str, files: int = 6) -> str:
+    """A folder with all events dealt out over files regardless of time, and after them
+    a file of two events of no device, a year later, that let a stream close what it
+    holds."""
+    folder = fresh_dir(spark, "scattered")
+    events = spark.read.schema(schemas.EVENTS).parquet(f"{sf_dir}/events.parquet")
+    events.repartition(files, F.xxhash64("event_id")).write.parquet(folder)
+    last = events.agg(F.max("ts").alias("ts")).withColumn("ts", F.col("ts") + F.expr("interval 1 year"))
+    kind = F.explode(F.array(F.lit("signup"), F.lit("view"))).alias("event_type")
+    closing = last.select("ts", kind)
+    blank = {f.name: F.lit(None).cast(f.dataType) for f in events.schema if f.name not in closing.columns}
+    closing = closing.withColumns(blank).select(*events.columns).coalesce(1)
+    closing.write.mode("append").parquet(folder)
+    return folder
+
+
+def rows(
+    spark: SparkSession, sf_dir: str, streaming: bool = False, folder: str | None = None
+) -> DataFrame:
+    """All events with the telemetry keys; ``ts`` is an instant, not a wall clock.
+
+    ``folder`` is a :func:`scattered` one, streamed file by file.
+    """
+    if folder is not None:
+        events = stream_table(spark, folder, schemas.EVENTS, 1)
+    elif streaming:
         events = stream_table(spark, sf_dir, schemas.EVENTS, pathGlobFilter="events.parquet")
     else:
         events = spark.read.schema(schemas.EVENTS).parquet(f"{sf_dir}/events.parquet")
@@ -58,20 +82,27 @@ def readings_of(events: DataFrame) -> DataFrame:
     )
 
 
-def readings(spark: SparkSession, sf_dir: str, streaming: bool = False) -> DataFrame:
+def readings(
+    spark: SparkSession, sf_dir: str, streaming: bool = False, folder: str | None = None
+) -> DataFrame:
     """Every event as a reading."""
-    return readings_of(rows(spark, sf_dir, streaming))
+    return readings_of(rows(spark, sf_dir, streaming, folder))
 
 
-def control_readings(spark: SparkSession, sf_dir: str, streaming: bool = False) -> DataFrame:
+def control_readings(
+    spark: SparkSession, sf_dir: str, streaming: bool = False, folder: str | None = None
+) -> DataFrame:
     """Events that are not configuration writes, as readings."""
-    return readings_of(rows(spark, sf_dir, streaming).filter(F.col("event_type") != "signup"))
+    events = rows(spark, sf_dir, streaming, folder)
+    return readings_of(events.filter(F.col("event_type") != "signup"))
 
 
-def config_log(spark: SparkSession, sf_dir: str, streaming: bool = False) -> DataFrame:
+def config_log(
+    spark: SparkSession, sf_dir: str, streaming: bool = False, folder: str | None = None
+) -> DataFrame:
     k = F.col("k")
     return (
-        rows(spark, sf_dir, streaming)
+        rows(spark, sf_dir, streaming, folder)
         .filter(F.col("event_type") == "signup")
         .select(
             "device_id",
@@ -85,6 +116,39 @@ def config_log(spark: SparkSession, sf_dir: str, streaming: bool = False) -> Dat
     )
 
 
+def config_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Configuration writes as they are sent: true, false, or left out."""
+    k = F.col("k")
+    return (
+        rows(spark, sf_dir)
+        .filter(F.col("event_type") == "signup")
+        .select(
+            "device_id",
+            "seq",
+            "ts",
+            F.when(k % 4 > 0, k % 2 == 1).alias("circ"),
+            F.when(k % 7 > 0, k % 3 > 0).alias("auto"),
+            (k % 5 > 0).alias("circ_auto"),
+        )
+    )
+
+
+# The first instant of the test data, in microseconds.
+_START = 1_704_067_200_000_000
+
+
+def hastened(rows: DataFrame, times: int = 360) -> DataFrame:
+    """The rows with time running so many times as fast: readings come every minute or so
+    instead of every few hours, which suits the rules' own thresholds."""
+    passed = F.expr(f"(unix_micros(ts) - {_START}) div {times}")
+    return rows.withColumn("ts", F.timestamp_micros(passed + _START))
+
+
+def unnamed(rows: DataFrame) -> DataFrame:
+    """The rows with every seventh device's name left out."""
+    return rows.withColumn("device_id", F.when(F.col("device_id") % 7 != 0, F.col("device_id")))
+
+
 def calibration_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("k")
     is_reset = k % 20 == 0
@@ -154,6 +218,11 @@ _SHAPES = [
     ("seq % 59 = 0", '{"temperatura": <t>, "umidade": <h>, "distancia": <d>, "ph": "x"}'),
     ("seq % 61 = 0", '{"temperature": <t>, "humidity": <h>, "conductivity": <e>}'),
     ("seq % 67 = 0", '{"ph": <p>, "temperatura": <t>}{"ph": <p>}'),
+    ("seq % 73 = 0", '{"ph": 1e30, "temperatura": <t>, "umidade": <h>, "distancia": 1e300}'),
+    ("seq % 79 = 0", '{"temperatura": <t>, "umidade": <h>, "ph": <t>, "ph": <p>}'),
+    ("seq % 83 = 0", '{"ph": <p>, "temperatura": <t>, "timestamp": 1e18}'),
+    ("seq % 89 = 0", '{"ph": <p>, "umidade": <h>, "timestamp": "soon"}'),
+    ("seq % 97 = 0", '{"ph": "inf", "temperatura": "inf", "umidade": <h>, "timestamp": "1e30"}'),
     ("seq % 71 = 0", '{"ph": <p>, "eletrocondutividade": null, "temperatura": <t>}'),
     (
         "seq % 2 = 0",
@@ -209,8 +278,17 @@ def reading_log(spark: SparkSession, sf_dir: str) -> DataFrame:
             "temperature"
         ),
         (F.lit(30) + k % 60).cast("string").alias("humidity"),
-        F.when(seq % 31 != 0, as_text("value % 15", 2)).alias("ph"),
+        F.when(seq % 61 == 0, F.lit("1e30"))
+        .when(seq % 67 == 0, F.lit("nan"))
+        .when(seq % 31 != 0, as_text("value % 15", 2))
+        .alias("ph"),
         as_text("value * 6", 2).alias("conductivity"),
         (k % 25).cast("string").alias("distance"),
-        F.when(seq % 23 != 0, millis).alias("timestamp"),
+        F.when(seq % 37 == 0, F.lit("nan"))
+        .when(seq % 41 == 0, F.lit("1e18"))
+        .when(seq % 43 == 0, F.lit("-inf"))
+        .when(seq % 47 == 0, F.lit("soon"))
+        .when(seq % 53 == 0, F.lit("1e30"))
+        .when(seq % 23 != 0, millis)
+        .alias("timestamp"),
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from hydrolens import constants as C
 from hydrolens import schemas
 from hydrolens.functions import payload as P
-from hydrolens.functions import text, units
+from hydrolens.functions import units
 
 ARRIVAL = ("device_id", "seq", "ts")
 
@@ -40,7 +40,7 @@ def read_lines(spark: SparkSession, path: str, streaming: bool = False) -> DataF
 def event_time(ts_ms: Column, arrival: Column | None = None) -> Column:
     """Epoch milliseconds to a timestamp; arrival time where there are none."""
     arrival = F.current_timestamp() if arrival is None else arrival
-    return F.coalesce(F.timestamp_millis(ts_ms.try_cast("bigint")), arrival)
+    return F.coalesce(P.instant(ts_ms), arrival)
 
 
 def _bad(name: str) -> Column:
@@ -106,6 +106,12 @@ def _serial_reason() -> Column:
         F.when(F.col("fields").isNull(), F.lit("malformed"))
         .when(~any_key, F.lit("empty"))
         .when(any_bad, F.lit("bad number"))
+        .when(
+            F.col("fields.timestamp.present")
+            & ~F.col("fields.timestamp.empty")
+            & P.instant(F.col("fields.timestamp.number")).isNull(),
+            F.lit("bad time"),
+        )
     )
 
 
@@ -113,7 +119,7 @@ def serial_readings(raw: DataFrame) -> DataFrame:
     """Payloads of the serial ingest as sparse readings.
 
     A ``timestamp`` in the payload is the event time; the arrival time stands in
-    for an absent one. Conductivity stays in ppm on this path.
+    for an absent or null one, and one that is no time is refused. Conductivity stays in ppm on this path.
     """
     parsed = P.with_fields(raw, _SERIAL_FIELDS)
     taken = parsed.filter(_serial_reason().isNull()).select(
@@ -180,7 +186,3 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     """The stored reading log, all values as text."""
     return read_table(spark, path, schemas.READING_LOG)
 
-
-def log_position(log: DataFrame) -> DataFrame:
-    """Adds the time part of each entry's id."""
-    return log.withColumn("timestamp_ms", text.stream_id_millis(F.col("stream_id")))

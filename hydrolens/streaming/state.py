@@ -3,13 +3,15 @@
 Each gives the rows its batch form gives. Rows of a micro-batch reach a device
 unordered, so they are sorted there; a micro-batch is bounded by the source's
 files-per-trigger limit. What follows from elapsed time is found while handling
-the next row, so results do not depend on where micro-batches end; timers only
-tell of what is still open.
+the next row, so for rows that arrive in the order of time results do not depend on
+where micro-batches end; timers only tell of what is still open. A row that arrives
+after later ones of its device counts as of its arrival, as it does in the services.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pandas as pd
@@ -33,23 +35,46 @@ def _sorted(batches: Iterator[pd.DataFrame], *order: str) -> pd.DataFrame:
     return pd.concat(list(batches), ignore_index=True).sort_values(list(order), kind="stable")
 
 
-class _Mean:
-    """Mean of the last values, absent ones left out; matches a row frame."""
+def rolling_mean(kept: np.ndarray, arrived: np.ndarray, length: int) -> np.ndarray:
+    """Mean of the last values at each arrival, absent ones (nan) left out. Adds from the
+    oldest on, as a row frame does."""
+    padded = np.concatenate([np.full(length - 1 - min(len(kept), length - 1), np.nan), kept[-(length - 1) :] if length > 1 else kept[:0], arrived])
+    total, count = np.zeros(len(arrived)), np.zeros(len(arrived), int)
+    for offset in range(length):
+        values = padded[offset : offset + len(arrived)]
+        present = ~np.isnan(values)
+        total = np.where(present, total + np.where(present, values, 0.0), total)
+        count += present
+    return np.divide(total, count, out=np.full(len(arrived), np.nan), where=count > 0)
 
-    def __init__(self, length: int, values: list[float]):
-        self.length, self.values = length, values
 
-    def push(self, value: float) -> float | None:
-        self.values = [*self.values, value][-self.length :]
-        present = [one for one in self.values if one == one]
-        return sum(present) / len(present) if present else None
+def half_up(value: float, digits: int) -> float:
+    """Rounded as ``F.round`` does it, by the shortest decimal form of the number."""
+    if not np.isfinite(value):
+        return value
+    return float(Decimal(repr(float(value))).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP))
+
+
+def in_time_order(rows: DataFrame, width: str = "10 minutes") -> DataFrame:
+    """Rows held until no earlier ones are expected, and given on in the order of time.
+
+    Rows of a device gather in windows of ``width``; a window is given on when the
+    watermark of ``ts``, which the rows bring along, has passed it. Of united inputs with
+    a watermark each the slower one counts, so that rows of both meet in order. Rows later
+    than the watermark are dropped and counted as ``numRowsDroppedByWatermark`` in the
+    query's progress.
+    """
+    names = rows.columns
+    held = rows.groupBy("device_id", F.window("ts", width).alias("_window"))
+    gathered = held.agg(F.collect_list(F.struct(*names)).alias("_rows"))
+    return gathered.select(F.explode("_rows").alias("_row")).select("_row.*")
 
 
 class MovingMean(StatefulProcessor):
     """Keeps a device's last values of some columns; other columns pass through."""
 
-    def __init__(self, columns: dict[str, str], length: int, digits: int | None):
-        self.columns, self.length, self.digits = columns, length, digits
+    def __init__(self, columns: dict[str, str], length: int):
+        self.columns, self.length = columns, length
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.window = handle.getValueState("window", "last array<array<double>>")
@@ -59,12 +84,10 @@ class MovingMean(StatefulProcessor):
         kept = self.window.get()[0] if self.window.exists() else [[] for _ in self.columns]
         windows, smoothed = [], {}
         for (name, out), last in zip(self.columns.items(), kept):
-            mean = _Mean(self.length, [np.nan if one is None else one for one in last])
-            means = [mean.push(value) for value in arrived[name].tolist()]
-            if self.digits is not None:
-                means = [None if one is None else round(one, self.digits) for one in means]
-            smoothed[out] = means
-            windows.append(mean.values)
+            before = np.array([np.nan if one is None else one for one in last], float)
+            values = arrived[name].to_numpy(float)
+            smoothed[out] = rolling_mean(before, values, self.length)
+            windows.append(np.concatenate([before, values])[-self.length :].tolist())
         self.window.update((windows,))
         yield arrived.assign(**smoothed)
 
@@ -77,25 +100,34 @@ def moving_mean(
     columns: dict[str, str],
     length: int = C.SMOOTHING_ROWS,
     digits: int | None = None,
+    delay: str | None = None,
 ) -> DataFrame:
-    """Means over the last readings by arrival, the current one included."""
+    """Means over the last readings by arrival, the current one included; with a
+    ``delay`` by time, see :func:`in_time_order`."""
     use_state_store(readings.sparkSession)
+    if delay is not None:
+        readings = in_time_order(readings.withWatermark("ts", delay))
     added = [out for out in columns.values() if out not in readings.columns]
     schema = T.StructType(
         [*readings.schema.fields, *[T.StructField(out, T.DoubleType()) for out in added]]
     )
-    return readings.groupBy("device_id").transformWithStateInPandas(
-        MovingMean(columns, length, digits),
+    smoothed = readings.groupBy("device_id").transformWithStateInPandas(
+        MovingMean(columns, length),
         outputStructType=schema,
         outputMode="Append",
         timeMode="None",
     )
+    if digits is None:
+        return smoothed
+    return smoothed.withColumns({out: F.round(out, digits) for out in columns.values()})
 
 
-def smooth_ingest(http: DataFrame, digits: int | None = 2) -> DataFrame:
+def smooth_ingest(
+    http: DataFrame, digits: int | None = 2, delay: str | None = None
+) -> DataFrame:
     """Final form of network readings: pH and conductivity smoothed."""
     means = {"ph": "ph", "conductivity": "conductivity"}
-    smoothed = moving_mean(http, means, digits=digits)
+    smoothed = moving_mean(http, means, digits=digits, delay=delay)
     return smoothed.withColumn("eletrocondutividade", F.col("conductivity"))
 
 
@@ -193,20 +225,22 @@ class PumpControl(StatefulProcessor):
         if self.pumps.exists():
             controller.restore(tuple(self.pumps.get()))
         kept = self.window.get()[0] if self.window.exists() else []
-        mean = _Mean(self.length, [np.nan if one is None else one for one in kept])
+        before = np.array([np.nan if one is None else one for one in kept], float)
         out = []
         columns = ["at", "kind", "seq", "conductivity", "circ", "auto", "circ_auto"]
         arrived = _sorted(rows, "at", "kind", "seq")
-        for at, kind, seq, ec, *flags in zip(*[arrived[name].tolist() for name in columns]):
+        is_read = (arrived["kind"] == READING).to_numpy()
+        values = arrived["conductivity"].to_numpy(float)[is_read]
+        means = iter(rolling_mean(before, values, self.length).tolist())
+        for at, kind, seq, _, *flags in zip(*[arrived[name].tolist() for name in columns]):
             if kind == CONFIG:
                 controller.configure(at, *[int(flag) for flag in flags])
                 continue
-            smooth = mean.push(ec)
-            low = smooth is not None and round(smooth, 2) < self.rules.dose_below
+            low = half_up(next(means), 2) < self.rules.dose_below
             for action, off_at, wait in controller.read(at, low):
                 out.append((key[0], seq, at, action, off_at, wait))
         self.pumps.update(controller.state())
-        self.window.update((mean.values,))
+        self.window.update((np.concatenate([before, values])[-self.length :].tolist(),))
         if out:
             names = ["device_id", "seq", "at", "action", "off_at", "wait_us"]
             yield pd.DataFrame(out, columns=names)
@@ -220,20 +254,30 @@ def pump_actions(
     config_log: DataFrame,
     rules: Rules = Rules(),
     length: int = C.SMOOTHING_ROWS,
+    delay: str | None = None,
 ) -> DataFrame:
-    """Actions of the control rules on unsmoothed readings and configuration writes."""
+    """Actions of the control rules on unsmoothed readings and configuration writes.
+
+    Without a ``delay`` rows count as of their arrival; with one in the order of time,
+    see :func:`in_time_order`, however the files of the two inputs are aligned.
+    """
     use_state_store(readings.sparkSession)
     flags = ("circ", "auto", "circ_auto")
-    at = F.unix_micros("ts").alias("at")
+    if delay is not None:
+        readings, config_log = (rows.withWatermark("ts", delay) for rows in (readings, config_log))
     read = readings.select(
-        "device_id", "seq", at, F.lit(READING).alias("kind"), "conductivity",
+        "device_id", "seq", "ts", F.lit(READING).alias("kind"), "conductivity",
         *[F.lit(0).alias(name) for name in flags],
     )
     written = config_log.select(
-        "device_id", "seq", at, F.lit(CONFIG).alias("kind"),
+        "device_id", "seq", "ts", F.lit(CONFIG).alias("kind"),
         F.lit(None).cast("double").alias("conductivity"), *flags,
     )
-    done = read.unionByName(written).groupBy("device_id").transformWithStateInPandas(
+    both = read.unionByName(written)
+    if delay is not None:
+        both = in_time_order(both)
+    timed = both.withColumn("at", F.unix_micros("ts")).drop("ts")
+    done = timed.groupBy("device_id").transformWithStateInPandas(
         PumpControl(rules, length),
         outputStructType="device_id bigint, seq bigint, at bigint, action string, "
         "off_at bigint, wait_us bigint",

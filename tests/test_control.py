@@ -126,16 +126,22 @@ def random_events(seed, n, step):
 @pytest.mark.parametrize("rows_per_slice", [None, 5, 40, 200])
 def test_actions_equal_the_simulation(spark, seed, rows_per_slice):
     readings, writes = random_events(seed, 500, [1.0, 5.0, 5.0, 5.0, 30.0, 61.0])
-    small_log = None if rows_per_slice is None else 0
-    found = run(spark, readings, writes, rows_per_slice=rows_per_slice, small_log=small_log)
+    found = run(spark, readings, writes, rows_per_slice=rows_per_slice)
     assert found == simulate(readings, writes)
 
 
-def test_a_steady_rhythm_is_settled_slice_by_slice(spark):
-    """Nothing ever makes a slice forget its past: each round settles one more."""
-    readings = [(5.0 * i, 100.0) for i in range(1, 200)]
-    writes = [(0, (1, 0, 1, 1))]
-    assert run(spark, readings, writes, rows_per_slice=30) == simulate(readings, writes)
+def test_rounds_of_a_steady_rhythm_follow_its_states(spark, monkeypatch):
+    """Nothing ever makes a slice forget its past. Yet some thirty slices take no more
+    rounds than the cycle has states (four phases, with the pump on or off), since a
+    state met again is not folded again."""
+    rules = control.Rules(cycle_every=36.0, cycle_for=10.0, cooldown=36.0, dose_for=5.0)
+    readings = [(10.0 * i, 900.0) for i in range(1, 200)]
+    writes = [(0, (0, 0, 0, 1))]
+    folds, fold = [], control._fold
+    monkeypatch.setattr(control, "_fold", lambda *given: folds.append(1) or fold(*given))
+    found = run(spark, readings, writes, rules=rules, rows_per_slice=7)
+    assert found == simulate(readings, writes, rules)
+    assert len(folds) <= 8
 
 
 def test_accepted_doses_keep_the_cooldown(spark):

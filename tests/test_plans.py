@@ -4,10 +4,10 @@ import pytest
 
 from hydrolens import schemas
 from hydrolens.constants import FLAGS
-from hydrolens.operators import latest, quality, rollup, smoothing
-from hydrolens.operators.asof import over_events
-from hydrolens.operators.config import config_as_of
+from hydrolens.operators import asof, changelog, latest, quality, rollup, smoothing
+from hydrolens.operators.asof import as_of, broadcast_as_of
 from hydrolens.plans.queries import BATCH
+from hydrolens.sources import events_views as views
 from hydrolens.sources.readings import read_table
 
 
@@ -62,15 +62,32 @@ def test_moving_means_share_one_shuffle_and_sort(readings):
 
 def test_as_of_a_small_log_shuffles_only_the_log(readings, spark):
     log = spark.createDataFrame([(1, 1, None, 1, 1, 1, 1)], schemas.CONFIG_LOG)
-    text = plan(config_as_of(readings, log).filter("auto = 1 and circ_auto = 1"))
+    text = plan(broadcast_as_of(readings, log, FLAGS).filter("auto = 1 and circ_auto = 1"))
     assert text.count("BroadcastHashJoin") == 3 and "SortMergeJoin" not in text
     # Only branches below a broadcast, which hold the log, are shuffled.
     assert "hashpartitioning" not in text.split("BroadcastExchange")[0]
 
 
-def test_as_of_a_large_log_is_one_shuffle_without_a_join(readings, spark):
+def test_as_of_refuses_to_broadcast_a_large_log(readings, spark, monkeypatch):
+    monkeypatch.setattr(asof, "BROADCAST_ROWS", 1)
+    log = spark.createDataFrame([(1, i, None, 1, 1, 1, 1) for i in range(2)], schemas.CONFIG_LOG)
+    with pytest.raises(ValueError):
+        broadcast_as_of(readings, log, FLAGS)
+
+
+def test_ranking_is_one_scan_and_one_shuffle_without_a_sort(readings):
+    text = plan(latest.temperature_ranking(readings))
+    assert text.count("FileScan") == 1 and text.count("Exchange") == 1
+    assert "TakeOrderedAndProject" in text and "SortAggregate" not in text
+
+
+def test_snapshot_does_not_sort_to_aggregate(spark, sf_dir):
+    assert "SortAggregate" not in plan(changelog.snapshot(views.kv_log(spark, sf_dir)))
+
+
+def test_as_of_is_one_shuffle_without_a_join(readings, spark):
     log = spark.createDataFrame([(1, 1, None, 1, 1, 1, 1)], schemas.CONFIG_LOG)
-    text = plan(over_events(readings, log, FLAGS, None))
+    text = plan(as_of(readings, log, FLAGS))
     assert text.count("Exchange") == 1 and "Join" not in text
 
 

@@ -1,12 +1,13 @@
 """Hot devices cut into slices give what one window per device gives."""
 
 import random
+from functools import partial
 
 import pytest
 from pyspark.sql import functions as F
 
 from hydrolens.operators import alerts, smoothing
-from hydrolens.operators.asof import as_of
+from hydrolens.operators.asof import as_of, broadcast_as_of
 from hydrolens.operators.slicing import hot_cuts, place
 from tests.helpers import at, rows, seconds
 
@@ -106,11 +107,13 @@ def test_partitions_and_input_order_do_not_matter(spark):
 
 
 @pytest.mark.parametrize(
-    "rows_per_slice, small_log, few_rows",
-    [(None, None, 0), (None, 0, None), (None, 0, 0), (1, 0, 0), (4, 0, 0), (20, 0, 0), (100, 0, 0)],
+    "look_up",
+    [broadcast_as_of, *[partial(as_of, rows_per_slice=size) for size in (None, 1, 4, 20, 100)]],
 )
-def test_as_of_equals_brute_force(spark, rows_per_slice, small_log, few_rows):
+def test_as_of_equals_brute_force(spark, look_up):
+    """The rows without a device have a log of their own."""
     df = skewed(spark, 400)
+    df = df.withColumn("device_id", F.when(F.col("seq") % 5 != 0, F.col("device_id")))
     readings = df.filter("seq % 7 != 0").select("device_id", "seq", "ts")
     log = df.filter("seq % 7 = 0").select(
         "device_id", "seq", "ts", "ph", F.when(F.col("seq") % 3 == 0, F.col("seq")).alias("n")
@@ -123,7 +126,7 @@ def test_as_of_equals_brute_force(spark, rows_per_slice, small_log, few_rows):
         ph = known[-1]["ph"] if known else None
         numbers = [e["n"] for e in known if e["n"] is not None]
         expected.append((row["seq"], ph, numbers[-1] if numbers else None))
-    found = as_of(readings, log, ["ph", "n"], rows_per_slice, small_log, few_rows)
+    found = look_up(readings, log, ["ph", "n"])
     assert rows(found, "seq", "ph", "n") == sorted(expected, key=repr)
 
 
