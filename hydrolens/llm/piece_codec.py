@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 SPACE = "▁"  # how the vocabulary writes a space
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 MARKS = re.escape(string.punctuation)
-REMEMBERED = 300_000  # entries of a task's dictionaries; full ones are replaced
+REMEMBERED = 150_000  # entries of a task's dictionaries; full ones are replaced
 ROWS = 256  # of a batch at a time
 
 
