@@ -3,13 +3,14 @@
 Rows start dealt out evenly. In every round a linked row asks for the shard that most of
 its neighbours are in; the moves between each two shards are counted, and granted as far as
 rows without links can make room by moving the other way, so the shards' counts never
-change. Rounds end when no row asks, or after ``rounds``. In even rounds the rows that all
+change. Rounds end when no row asks, when no fewer rows ask than before, or after
+``rounds``. In even rounds the rows that all
 their neighbours look up to stay, in odd rounds half of the rows do, so that two neighbours
 don't swap places for ever.
 
-Links of equal texts are stars, not pairs: rows of a text are cut into chunks of at most
-a quarter of a shard, each row is linked to the first of its chunk, and these to the
-first of all. Exact ranks within a shard or a flow are those within a hashed bucket plus
+Links of equal texts are stars, not pairs: each row is linked to the first of its text.
+Rows of a text that no shard can hold are cut into chunks of half a shard, each a star of
+its own. Exact ranks within a shard or a flow are those within a hashed bucket plus
 the counts of the buckets before it, so no task orders a whole shard. The driver sees counts
 by pairs of shards only.
 
@@ -74,17 +75,17 @@ def even_start(rows: DataFrame, shards: int) -> DataFrame:
     return rows.select("row", part).join(offsets, "part").select("row", (place % shards).cast("int").alias("shard"))
 
 
-def equal_text_links(rows: DataFrame, chunk: int) -> DataFrame:
-    """``a`` and ``b``: stars of at most about ``chunk`` rows with equal texts."""
+def equal_text_links(rows: DataFrame, most: int) -> DataFrame:
+    """``a`` and ``b``: a star for each text, or for about half of ``most`` rows of a text
+    that has more than ``most``."""
     groups = rows.groupBy(*TEXT).agg(F.count("*").alias("n")).filter("n > 1")
     groups = written(groups, "equal-texts")
-    chunks = F.ceil(F.col("n") / chunk).cast("long")
+    chunks = F.when(F.col("n") <= most, 1).otherwise(F.ceil(2 * F.col("n") / most)).cast("long")
     members = rows.select("row", *TEXT).join(groups, TEXT).withColumn("chunk", F.pmod(F.xxhash64("row"), chunks)).drop("n")
+    members = written(members, "equal-text-rows")
     hubs = written(members.groupBy(*TEXT, "chunk").agg(F.min("row").alias("hub")), "chunk-hubs")
     spokes = members.join(hubs, [*TEXT, "chunk"]).select(F.col("row").alias("a"), F.col("hub").alias("b"))
-    first = hubs.groupBy(*TEXT).agg(F.min("hub").alias("first"))
-    between = hubs.join(first, TEXT).select(F.col("hub").alias("a"), F.col("first").alias("b"))
-    return spokes.unionByName(between).filter("a <> b").distinct()
+    return spokes.filter("a <> b")
 
 
 def granted(wants: dict[tuple[int, int], int], free: dict[int, int]) -> tuple[dict[tuple[int, int], int], dict[tuple[int, int], int]]:
@@ -131,6 +132,7 @@ def propagate(rows: DataFrame, links: DataFrame, shards: int = SHARDS, rounds: i
     above = seen.groupBy("a").agg(F.max(F.struct("degree", (-F.col("b")).alias("row"))).alias("above"))
     linked = degrees.withColumnRenamed("a", "row").join(above.withColumnRenamed("a", "row"), "row")
     linked = written(linked.select("row", (rank > F.col("above")).alias("anchor")), "shard-linked")
+    before = n + 1
     for turn in range(rounds):
         near = both.join(labels.withColumnRenamed("row", "b"), "b").groupBy(F.col("a").alias("row"), "shard")
         near = near.agg(F.count("*").alias("votes")).withColumnRenamed("shard", "near")
@@ -140,10 +142,14 @@ def propagate(rows: DataFrame, links: DataFrame, shards: int = SHARDS, rounds: i
         asked = own.join(near, "row").groupBy("row", "shard", "stays").agg(choice.alias("best"))
         asked = asked.select("row", "shard", "stays", (-F.col("best.minus")).alias("target")).filter("target <> shard")
         asked = written(asked, "shard-asked")
-        if asked.isEmpty():
+        asking = asked.count()
+        if asking == 0 or asking >= before:
             break
+        before = asking
         moves = asked.filter(~F.col("stays")).select("row", "shard", "target")
         wants = {(r["shard"], r["target"]): r["n"] for r in moves.groupBy("shard", "target").agg(F.count("*").alias("n")).collect()}
+        if not wants:
+            continue
         loose = labels.join(linked, "row", "left_anti")
         free = {r["shard"]: r["n"] for r in loose.groupBy("shard").agg(F.count("*").alias("n")).collect()}
         flows, back = granted(wants, free)
@@ -172,7 +178,7 @@ def shard_documents(
     and ``grown_shard`` (null) of every document, equal texts together."""
     rows = numbered(docs, id_col, text_col)
     n = rows.count()
-    links = equal_text_links(rows, max(2, n // shards // 4))
+    links = equal_text_links(rows, max(2, n // shards))
     labels = propagate(rows, links, shards, rounds)
     placed = ranked(rows.join(labels, "row"), ["shard"], n, "slot")
     return placed.select(

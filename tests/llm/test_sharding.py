@@ -45,13 +45,14 @@ def test_large_group_is_spread(spark):
 
 
 def test_own_links(spark):
-    rows_ = sharding.numbered(documents(spark, [(i, str(i)) for i in range(64)]))
+    """Half of the rows are linked, in stars of four; the others make room."""
+    rows_ = sharding.numbered(documents(spark, [(i, str(i)) for i in range(128)]))
     ids = {r.doc_id: r.row for r in rows_.collect()}
-    ring = [(ids[i], ids[i - i % 4]) for i in range(64) if i % 4]
+    ring = [(ids[i], ids[i - i % 4 + i // 4 % 4]) for i in range(64) if i % 4 != i // 4 % 4]
     labels = sharding.propagate(rows_, spark.createDataFrame(ring, "a long, b long"), 4).collect()
     shard = {r.row: r.shard for r in labels}
-    assert sorted(Counter(shard.values()).values()) == [16] * 4
-    assert sum(shard[a] != shard[b] for a, b in ring) <= 6  # of 48
+    assert sorted(Counter(shard.values()).values()) == [32] * 4
+    assert all(shard[a] == shard[b] for a, b in ring)
 
 
 def test_grants_keep_counts():
