@@ -266,7 +266,9 @@ def _fold_slices(
     known = spark.read.schema(f"{state}, round int").parquet(entries)
     after = spark.read.schema(f"{state}, round int").parquet(ends)
     steps = join_same(after.withColumnRenamed("round", "came_by"), known, same)
-    chosen = steps.select(*keys, "came_by", "round").groupBy(DEVICE).applyInPandas(
+    every = starts.select(*keys, F.lit(-1).alias("came_by"), F.lit(-1).alias("round"))
+    steps = steps.select(*keys, "came_by", "round").unionByName(every)
+    chosen = steps.groupBy(DEVICE).applyInPandas(
         _walk, "device_id bigint, slice int, round int"
     )
     chosen = written(chosen.withColumn("chosen", F.lit(True)), "control-chosen")
@@ -282,13 +284,13 @@ def _fold_slices(
 def _walk(steps: pd.DataFrame) -> pd.DataFrame:
     """One device's slices in order, each by the round that folded the entry the slice
     before leads to. A row tells that slice ``slice - 1``, folded in round ``came_by``,
-    leads to the entry folded in round ``round``."""
+    leads to the entry folded in round ``round``. A first slice without events leads
+    nowhere: then the guess for the second one, folded in round 0, is right."""
     leads = {(s, c): r for s, c, r in zip(steps["slice"], steps["came_by"], steps["round"])}
-    out, at, by = [], 1, 0
-    while (at, by) in leads:
-        by = leads[at, by]
+    out, by = [], 0
+    for at in range(1, max(steps["slice"]) + 1):
+        by = leads.get((at, by), 0) if at == 1 else leads[at, by]
         out.append((at, by))
-        at += 1
     found = pd.DataFrame(out, columns=["slice", "round"])
     found.insert(0, "device_id", steps["device_id"].iloc[0])
     return found
