@@ -88,9 +88,11 @@ def templated(rows: DataFrame) -> DataFrame:
     out = out.withColumn("rest", (F.size("parts") > DEPTH).cast("int")).drop("parts")
     branch = ["host"]
     for d in range(1, DEPTH + 1):
-        own = out.groupBy(*branch, f"s{d}").agg(F.count("*").alias("n"))
-        whole = own.groupBy(*branch).agg(F.sum("n").alias("whole"))
-        stays = (F.col("n") >= F.greatest(F.col("whole") * SHARE, F.lit(LEAST))) | (F.col(f"s{d}") == "")
+        # Rare segments can't stay; they go before a host's segments meet in one task.
+        often = (F.col("n") >= LEAST) | (F.col(f"s{d}") == "")
+        own = out.groupBy(*branch, f"s{d}").agg(F.count("*").alias("n")).filter(often)
+        whole = out.groupBy(*branch).agg(F.count("*").alias("whole"))
+        stays = (F.col("n") >= F.col("whole") * SHARE) | (F.col(f"s{d}") == "")
         kept = own.join(whole, branch).filter(stays).select(*branch, f"s{d}", F.col(f"s{d}").alias(f"t{d}"))
         out = out.join(kept, [*branch, f"s{d}"], "left").withColumn(f"t{d}", F.coalesce(f"t{d}", F.lit(WILDCARD)))
         branch = [*branch, f"t{d}"]
