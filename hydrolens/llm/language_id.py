@@ -144,7 +144,8 @@ def train(rows: DataFrame, text_col: str = "text", label_col: str = "lang", id_c
     dense = np.zeros((len(chosen), DIMS), np.int32)
     for i, row in enumerate(chosen):
         dense[i, row["dims"]] = row["n"]
-    vectors, labels = unit(dense, weights), np.array([row["label"] for row in chosen])
+    parts = [unit(dense[at : at + BLOCK], weights) for at in range(0, len(dense), BLOCK)]  # bounds memory
+    vectors, labels = np.concatenate(parts), np.array([row["label"] for row in chosen])
     languages, centroids = [], []
     for label in sorted(set(labels)):
         found = cluster(vectors[labels == label], CLUSTERS)
