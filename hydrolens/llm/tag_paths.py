@@ -7,7 +7,11 @@ the standard deviation, are content. Menus share a path with many short texts, s
 their ratio is low; paragraphs have a high one.
 
 Paths through elements that say what they are (menus, headers, footers, sidebars,
-notices, adverts, forms, comments; by tag, role, class or id) take no part. The
+notices, adverts, forms, comments; by tag, role, class or id) take no part. A class or id
+may tell of a layout only (``page-header-fixed``), so what it marks does take part if it
+holds ``main``, articles that are half of the content, or most of the content around it
+(what is named as comments only if it holds all); names like ``no-sidebar`` mark nothing.
+``main``, and articles that are most of the page, take part within other boilerplate too. The
 content's container is the ``article`` or ``main`` that holds content paths, or else the
 deepest element around most of their characters, and all texts in it that aren't set
 apart so are returned, short ones too.
@@ -50,6 +54,7 @@ BOILERPLATE_WORDS = set(
     "modal overlay newsletter subscribe subscription signup login comment comments respond reply replies disqus "
     "related recommended share sharing social widget widgets pagination pager toolbar copyright".split()
 )
+COMMENT_WORDS = set("comment comments respond reply replies disqus".split())
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 CONTAINERS = {"article", "main"}
 #: Elements that another of the named kinds ends.
@@ -67,6 +72,7 @@ MOST = 0.7  # of the content's characters that a container holds
 PUNCTUATION = set(string.punctuation) | set("。，、；：？！…–—«»“”„‘’¿¡")
 _TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
+    r"|(?P<closed><svg\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*/>)"
     r"|<(?P<raw>script|style|template|noscript|iframe|textarea|select|svg|title|object)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<[!?][^>]*>"
     r"|<(?P<end>/?)(?P<name>[a-z][a-z0-9:-]*)(?P<rest>(?:\s(?:[^>\"']|\"[^\"]*\"|'[^']*')*|/)?)>"
@@ -74,15 +80,19 @@ _TOKEN = re.compile(
     re.IGNORECASE | re.DOTALL,
 )
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)", re.IGNORECASE)
+_LAYOUT = re.compile(r"(?:no|has|with|without|hide|show)[^a-z]")  # begins names that tell what else a page has
 _HIDDEN = re.compile(r"\shidden(?=[\s=/]|$)|display\s*:\s*none", re.IGNORECASE)
 
 
 class Element:
     """An element with what its tags' path from the root says."""
 
-    def __init__(self, name: str, above: Element | None, path: int, apart: bool):
+    def __init__(self, name: str, above: Element | None, path: int, rest: str = ""):
         self.name, self.above, self.path = name, above, path
-        self.apart = apart  # boilerplate, or within it
+        self.hidden = bool(above and above.hidden or rest and name not in ("html", "body") and _HIDDEN.search(rest))
+        self.said = self.hidden or _said(name, rest)  # boilerplate by itself
+        self.mark = _mark(name, rest)
+        self.apart = False  # boilerplate, or within it
         self.depth = above.depth + 1 if above else 0
         self.inside = self if name in CONTAINERS else above.inside if above else None
         # Of articles in articles the outermost counts.
@@ -99,23 +109,38 @@ class Text:
     score: float = field(default=0.0)
 
 
-def _apart(name: str, rest: str, above: Element) -> bool:
-    if above.apart:
-        return not (name in HEADINGS and above.name == "header" and above.inside)
+def _words(value: str) -> list[str]:
+    return re.split(r"[^a-z]+", value.strip("\"'").lower())
+
+
+def _said(name: str, rest: str) -> bool:
+    """Whether the element's tag or role says that it is boilerplate."""
     if name in BOILERPLATE_TAGS:
         return True
     if not rest or name in ("html", "body"):
         return False
-    if _HIDDEN.search(rest):
-        return True
+    roles = (_words(value) for key, value in _ATTRIBUTE.findall(rest) if key.lower() == "role")
+    return any(BOILERPLATE_ROLES.intersection(words) for words in roles)
+
+
+def _mark(name: str, rest: str) -> str:
+    """What the element's class or id says: ``part`` of a name is a word of boilerplate, a
+    whole ``name`` is, or one for ``comments``; or nothing."""
+    if not rest or name in ("html", "body"):
+        return ""
+    mark = ""
     for key, value in _ATTRIBUTE.findall(rest):
-        words = re.split(r"[^a-z]+", value.strip("\"'").lower())
-        if key.lower() == "role" and BOILERPLATE_ROLES.intersection(words):
-            return True
-        if name not in CONTAINERS | HEADINGS | {"p"} or {"comment", "comments"} & set(words):
-            if key.lower() != "role" and BOILERPLATE_WORDS.intersection(words):
-                return True
-    return False
+        if key.lower() == "role":
+            continue
+        names = [own for own in value.strip("\"'").lower().split() if not _LAYOUT.match(own)]
+        words = BOILERPLATE_WORDS.intersection(_words(" ".join(names)))
+        if not words or name in CONTAINERS | HEADINGS | {"p"} and not {"comment", "comments"} & words:
+            continue
+        whole = words.intersection(names)
+        if whole & COMMENT_WORDS:
+            return "comments"
+        mark = "name" if whole else mark or "part"
+    return mark
 
 
 def _within(element: Element | None, names: set[str]) -> Element | None:
@@ -126,7 +151,7 @@ def _within(element: Element | None, names: set[str]) -> Element | None:
 
 def texts(page: str) -> tuple[list[Text], list[Element]]:
     """The page's texts with their blocks, and its elements, in order."""
-    here = root = Element("", None, 0, False)
+    here = root = Element("", None, 0)
     elements, paths = [root], {}
     found: list[Text] = []
     block = at = 0
@@ -140,7 +165,7 @@ def texts(page: str) -> tuple[list[Text], list[Element]]:
         at = token.end()
         name = token["name"] or token["name2"]
         if not name:
-            block += bool(token["raw"]) and token["raw"].lower() not in ("script", "style", "template")
+            block += bool(token["closed"] or token["raw"] and token["raw"].lower() not in ("script", "style", "template"))
             continue
         name, rest = name.lower(), token["rest"] or token["rest2"] or ""
         if name == "br":
@@ -168,9 +193,10 @@ def texts(page: str) -> tuple[list[Text], list[Element]]:
                 here = same.above
         if not rest.rstrip().endswith("/") or name not in INLINE:
             path = paths.setdefault((here.path, name), len(paths) + 1)
-            here = Element(name, here, path, _apart(name, rest, here))
+            here = Element(name, here, path, rest)
             elements.append(here)
     take(len(page))
+    _set_apart(found, elements)
     return found, elements
 
 
@@ -183,6 +209,85 @@ def _reaches(here: Element, to: Element) -> bool:
     return True
 
 
+def _spread(elements: list[Element], spared: set[Element], reset: set[Element]) -> None:
+    """Sets apart what says that it is boilerplate, and all in it."""
+    for e in elements[1:]:  # parents come first
+        if e.above.apart and e not in reset:
+            e.apart = not (e.name in HEADINGS and e.above.name == "header" and e.above.inside)
+        else:
+            e.apart = e.said or bool(e.mark) and e not in spared
+
+
+def _content(found: list[Text], elements: list[Element], every: bool = False) -> dict[Element, int]:
+    """Characters of content in each element, or of all texts that take part."""
+    nodes, threshold = scored(found)
+    chars = dict.fromkeys(elements, 0)
+    for node in nodes:
+        if every or node.score >= threshold:
+            chars[node.element] += len(node.text.strip())
+    for e in reversed(elements[1:]):
+        chars[e.above] += chars[e]
+    return chars
+
+
+def _below(elements: list[Element], tops: set[Element]) -> set[Element]:
+    """These elements and all that lie in them."""
+    below: set[Element] = set()
+    for e in elements:
+        if e in tops or e.above in below:
+            below.add(e)
+    return below
+
+
+def _set_apart(found: list[Text], elements: list[Element]) -> None:
+    """Sets boilerplate apart, but not what is only laid around the content."""
+    root, marked, reset = elements[0], {e for e in elements if e.mark}, set()
+    _spread(elements, marked, reset)
+    lost = {e for e in elements if e.name in CONTAINERS and e.apart and not e.hidden and not e.said and e.mark != "comments"}
+    if lost:  # articles in a form, an aside and the like
+        below = _below(elements, lost)
+        inner = sum(len(node.text.strip()) for node in found if node.element in below)
+        outer = sum(len(node.text.strip()) for node in found if node.element not in below and not node.element.apart)
+        reset = {e for e in lost if e.name == "main" or inner >= MOST * (inner + outer)}
+        _spread(elements, marked, reset)
+    marked = {e for e in marked if not e.apart}
+    if not marked:
+        return
+
+    chars = _content(found, elements)
+    every = _content(found, elements, every=True) if any(e.mark == "comments" for e in marked) else {}
+    below = _below(elements, marked)
+    containers = [e for e in elements if e.name in CONTAINERS and chars[e]]
+    plain = any(e not in below for e in containers)
+    held = {e for e in containers if e in below and e.mark != "comments" and (e.outer is e or e.outer.name == "main")}
+    inside = _below(elements, held)
+    much = 2 * sum(chars[e] for e in held if e.above not in inside) >= chars[root]
+    around: set[Element] = set()  # what holds articles
+    for e in held:
+        if e.name == "main" or much:
+            while e is not None and e not in around:
+                around.add(e)
+                e = e.above
+
+    def laid_around(e: Element) -> bool:
+        if e.mark != "comments" and e in around:
+            return True
+        scope = e.above.outer
+        if not chars[e] or scope is None and plain:
+            return False
+        if e.mark == "comments":
+            return every[e] == every[scope or root]
+        return chars[e] >= MOST * chars[scope or root]
+
+    parts = {e for e in marked if e.mark == "part"}
+    spared = {e for e in marked - parts if laid_around(e)}
+    _spread(elements, spared | parts, reset)
+    chars = _content(found, elements)  # without what is surely boilerplate
+    _spread(elements, spared | {e for e in parts if laid_around(e)}, reset)
+    if not any(node.text.strip() for node in found if not node.element.apart):  # several hold the content
+        _spread(elements, spared | parts, reset)
+
+
 def scored(page: list[Text]) -> tuple[list[Text], float]:
     """Texts that take part with their smoothed score, and the threshold."""
     nodes = [node for node in page if not node.element.apart and node.text.strip()]

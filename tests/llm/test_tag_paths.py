@@ -52,6 +52,35 @@ def test_pages(page, text):
     assert main_text(page) == text
 
 
+LONG = f"<article><h1>Head</h1><p>{PROSE}</p><p>{PROSE}</p></article>"
+FOUND = f"Head\n{PROSE}\n{PROSE}"
+
+
+@pytest.mark.parametrize("name", ["content no-sidebar", "has-sidebar", "with-comments", "page-header-fixed", "widget"])
+def test_layouts_are_not_boilerplate(name):
+    menu = "<ul><li>x</li><li>y</li></ul>"
+    assert main_text(f"<body><nav>{menu}</nav><div class='{name}'>{LONG}<div class='sidebar'>{PROSE}</div></div></body>") == FOUND
+    assert main_text(f"<div id='{name}'><main><p>{PROSE}</p></main></div>") == PROSE
+    assert main_text(f"<div class='{name}'><div><p>{PROSE}</p><p>{PROSE}</p></div></div>") == f"{PROSE}\n{PROSE}"
+    assert main_text(f"<div class='{name}'>{LONG}</div>" * 3) != ""
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<form><div>{LONG}</div></form>", FOUND),
+        (f"<form><main><p>{PROSE}</p></main></form><div>x</div>", PROSE),
+        (f"{LONG}<div class='related-posts'><article><p>{PROSE}</p></article></div>", FOUND),
+        (f"<article><p>Short.</p><div class='comments'>{LONG * 3}</div></article>", "Short."),
+        (f"<div class='no-sidebar'><p>{PROSE}</p><div class='comments'><p>{PROSE * 9}</p></div></div>", PROSE),
+        (f"<div><p>{PROSE}</p><p>{PROSE}</p></div><aside><article>more</article></aside>", f"{PROSE}\n{PROSE}"),
+        (f"<article><svg viewBox='0 0 1 1'/><p>{PROSE}</p><svg><path/></svg><p>{PROSE}</p></article>", f"{PROSE}\n{PROSE}"),
+    ],
+)
+def test_boilerplate_around_and_beside_articles(page, text):
+    assert main_text(page) == text
+
+
 def test_ratios_reject_short_paths():
     page = "<div>" + "<ul>" + "<li><a>link</a></li>" * 20 + "</ul>" + f"<section><p>{PROSE}</p><p>{PROSE}</p></section></div>"
     nodes, threshold = tag_paths.scored(tag_paths.texts(page)[0])
