@@ -12,9 +12,10 @@ may tell of a layout only (``page-header-fixed``), so what it marks does take pa
 holds ``main``, articles that are half of the content, or most of the content around it
 (what is named as comments only if it holds all); names like ``no-sidebar`` mark nothing.
 ``main``, and articles that are most of the page, take part within other boilerplate too. The
-content's container is the ``article`` or ``main`` that holds content paths, or else the
-deepest element around most of their characters, and all texts in it that aren't set
-apart so are returned, short ones too.
+content's containers are the articles and ``main`` that hold content paths (of several in
+one article or ``main`` what is around them all), or else the deepest element around all
+content and the articles there are. All texts in them that aren't set apart so are
+returned, short ones too. Where an article or ``main`` holds content, nothing outside them is.
 
 A block is what stands between the borders of block elements. In a block, white space
 (a ``br`` too) becomes one space.
@@ -67,7 +68,7 @@ LISTS = {"ul", "ol", "dl", "table", "select"}
 
 THRESHOLD = 0.5  # of the standard deviation of the smoothed ratios
 KERNEL = (0.25, 0.5, 0.25)
-MOST = 0.7  # of the content's characters that a container holds
+MOST = 0.7  # of the content around it that shows an element to be a layout
 
 PUNCTUATION = set(string.punctuation) | set("。，、；：？！…–—«»“”„‘’¿¡")
 _TOKEN = re.compile(
@@ -97,7 +98,6 @@ class Element:
         self.inside = self if name in CONTAINERS else above.inside if above else None
         # Of articles in articles the outermost counts.
         self.outer = above.outer if above and above.outer and above.outer.name == "article" else self.inside
-        self.chars = 0  # of the content texts in it
         self.chosen = False
 
 
@@ -107,6 +107,7 @@ class Text:
     block: int
     text: str
     score: float = field(default=0.0)
+    ratio: float = field(default=0.0)  # its path's own, not smoothed
 
 
 def _words(value: str) -> list[str]:
@@ -301,36 +302,47 @@ def scored(page: list[Text]) -> tuple[list[Text], float]:
     raw = [fused[node.element.path] for node in nodes]
     for i, node in enumerate(nodes):
         around = raw[i - 1] if i else raw[i], raw[i], raw[i + 1] if i + 1 < len(raw) else raw[i]
+        node.ratio = raw[i]
         node.score = sum(weight * value for weight, value in zip(KERNEL, around))
     return nodes, THRESHOLD * pstdev([node.score for node in nodes]) if nodes else 0.0
 
 
-def container(content: list[Text], nodes: list[Text], elements: list[Element]) -> Element | None:
-    """The element to return the texts of."""
-    marked: dict[Element, int] = defaultdict(int)
-    for node in content:
-        if node.element.outer:
-            marked[node.element.outer] += len(node.text)
+def _around(given: list[Element]) -> Element:
+    """The deepest element that holds all of these."""
+    common = given[0]
+    for e in set(given):
+        while common is not e:
+            if common.depth >= e.depth:
+                common = common.above
+            else:
+                e = e.above
+    return common
+
+
+def containers(content: list[Text], nodes: list[Text], threshold: float) -> list[Element]:
+    """The elements to return the texts of."""
+    marked = list(dict.fromkeys(node.element.outer for node in content if node.element.outer))
     if marked:
-        return max(marked, key=lambda e: (marked[e], -e.depth))
-    for node in nodes:  # a short article beside long other texts
-        if node.element.outer and node.element.outer.name == "article":
-            return node.element.outer
-    for node in content:
-        node.element.chars += len(node.text.strip())
-    for element in reversed(elements[1:]):
-        element.above.chars += element.chars
-    total = elements[0].chars
-    fit = [e for e in elements if e.chars >= MOST * total and e.name not in INLINE | HEADINGS | {"p"}]
-    return max(fit, key=lambda e: e.depth) if total else None
+        common = _around(marked)
+        return [common] if common.inside else marked
+    # Short articles beside long other texts count too.
+    given = [node.element for node in nodes if node.element.outer and node.element.outer.name == "article"]
+    # What only its neighbours lift above the threshold doesn't widen the container.
+    given += [node.element for node in content if node.ratio >= threshold] or [node.element for node in content]
+    if not given:
+        return []
+    common = _around(given)
+    while common.above and common.name in INLINE | HEADINGS | {"p"}:
+        common = common.above
+    return [common]
 
 
 def main_text(page: str | None) -> str:
     found, elements = texts(page or "")
     nodes, threshold = scored(found)
-    chosen = container([node for node in nodes if node.score >= threshold], nodes, elements)
+    chosen = containers([node for node in nodes if node.score >= threshold], nodes, threshold)
     for element in elements:  # parents come first
-        element.chosen = element is chosen or bool(element.above and element.above.chosen)
+        element.chosen = element in chosen or bool(element.above and element.above.chosen)
     blocks: dict[int, list[str]] = {}
     for node in found:
         if node.element.chosen and not node.element.apart:

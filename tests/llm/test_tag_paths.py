@@ -81,6 +81,28 @@ def test_boilerplate_around_and_beside_articles(page, text):
     assert main_text(page) == text
 
 
+PARTS = [f"{n}. {PROSE}" for n in "ABCD"]
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body><div><p>{}</p></div><div><p>{}</p><p>{}</p><p>{}</p></div></body>",
+        "<main><article><p>{}</p></article><article><p>{}</p><p>{}</p><p>{}</p></article></main>",
+        "<body><article><p>{}</p><p>{}</p></article><div>x</div><article><p>{}</p><p>{}</p></article></body>",
+        "<main><p>{}</p><article><p>{}</p><p>{}</p><p>{}</p></article></main>",
+        "<body><section><p>{}</p></section><div><div><div><p>{}</p><p>{}</p></div></div></div><p>{}</p></body>",
+    ],
+)
+def test_all_parts_of_the_content(page):
+    assert main_text(page.format(*PARTS)) == "\n".join(PARTS)
+
+
+def test_short_articles_do_not_hide_the_content():
+    prose = "".join(f"<p>{part}</p>" for part in PARTS)
+    assert main_text(f"<div>{prose}</div><div><i>x</i></div><div><i>x</i></div><article>y</article><article>z</article>").startswith("\n".join(PARTS))
+
+
 def test_ratios_reject_short_paths():
     page = "<div>" + "<ul>" + "<li><a>link</a></li>" * 20 + "</ul>" + f"<section><p>{PROSE}</p><p>{PROSE}</p></section></div>"
     nodes, threshold = tag_paths.scored(tag_paths.texts(page)[0])
