@@ -3,14 +3,15 @@
 Rows start dealt out evenly. In every round a linked row asks for the shard that most of
 its neighbours are in; the moves between each two shards are counted, and granted as far as
 rows without links can make room by moving the other way, so the shards' counts never
-change. Rounds end when no row asks, when no fewer rows ask than before, or after
-``rounds``. In even rounds the rows that all
+change. Rounds end when no row asks, when neither of two rounds in a row, an even and an
+odd one, left fewer rows asking, or after ``rounds``. In even rounds the rows that all
 their neighbours look up to stay, in odd rounds half of the rows do, so that two neighbours
 don't swap places for ever.
 
-Links of equal texts are stars, not pairs: each row is linked to the first of its text.
-Rows of a text that no shard can hold are cut into chunks of half a shard, each a star of
-its own. Exact ranks within a shard or a flow are those within a hashed bucket plus
+Rows of a text that no shard can hold fill whole shards first, as many as they can; these
+shards take no further part, so such a text lies over no more shards than it needs, or one
+more. Links of equal texts among the rest are stars, not pairs: each row is linked to the
+first of its text. Exact ranks within a shard or a flow are those within a hashed bucket plus
 the counts of the buckets before it, so no task orders a whole shard. The driver sees counts
 by pairs of shards only.
 
@@ -64,28 +65,58 @@ def ranked(rows: DataFrame, keys: list[str], n: int, name: str) -> DataFrame:
     return joined.withColumn(name, (F.col("offset") + F.col("within") - 1).cast("long")).drop("bucket", "within", "offset")
 
 
-def even_start(rows: DataFrame, shards: int) -> DataFrame:
-    """``row`` and ``shard``, counts at most one apart: rows in turn. A row's number is its
-    partition's and its place there, so its position follows from the partitions' counts."""
+def even_start(rows: DataFrame, shards: int, first: int = 0) -> DataFrame:
+    """``row`` and ``shard`` (from ``first`` on), counts at most one apart: rows in turn. A
+    row's number is its partition's and its place there, so its position follows from the
+    partitions' counts; where rows are missing, from ranks in the partitions."""
     part = F.shiftright("row", 33).alias("part")
     order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = rows.groupBy(part).agg(F.count("*").alias("n"))  # a row for each partition
     offsets = sizes.select("part", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("offset"))
-    place = F.col("row").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("offset")
-    return rows.select("row", part).join(offsets, "part").select("row", (place % shards).cast("int").alias("shard"))
-
-
-def equal_text_links(rows: DataFrame, most: int) -> DataFrame:
-    """``a`` and ``b``: a star for each text, or for about half of ``most`` rows of a text
-    that has more than ``most``."""
-    groups = rows.groupBy(*TEXT).agg(F.count("*").alias("n")).filter("n > 1")
-    groups = written(groups, "equal-texts")
-    chunks = F.when(F.col("n") <= most, 1).otherwise(F.ceil(2 * F.col("n") / most)).cast("long")
-    members = rows.select("row", *TEXT).join(groups, TEXT).withColumn("chunk", F.pmod(F.xxhash64("row"), chunks)).drop("n")
-    members = written(members, "equal-text-rows")
-    hubs = written(members.groupBy(*TEXT, "chunk").agg(F.min("row").alias("hub")), "chunk-hubs")
-    spokes = members.join(hubs, [*TEXT, "chunk"]).select(F.col("row").alias("a"), F.col("hub").alias("b"))
-    return spokes.filter("a <> b")
+    own = rows.select("row", part)
+    if first:
+        own = ranked(own, ["part"], rows.count(), "place")
+    else:
+        own = own.withColumn("place", F.col("row").bitwiseAND(F.lit((1 << 33) - 1)))
+    place = F.col("place") + F.col("offset")
+    turn = (place % max(1, shards - first) + first).cast("int").alias("shard")
+    return own.join(offsets, "part").select("row", turn)
+
+
+def filled(counts: list[tuple[tuple, int]], n: int, shards: int) -> list[tuple]:
+    """Of texts and their counts, those that no shard can hold: which of a text's rows, from
+    ``low`` to below ``high``, fill which shard. The first ``n % shards`` shards hold one more."""
+    sizes = [n // shards + (k < n % shards) for k in range(shards)]
+    out: list[tuple] = []
+    for text, count in sorted(counts, key=lambda c: (-c[1], c[0])):
+        low = 0
+        while count > sizes[0] and len(out) < shards and count - low >= sizes[len(out)] > 1:
+            size = sizes[len(out)]
+            out.append((*text, low, low + size, len(out)))
+            low += size
+    return out
+
+
+def full_shards(rows: DataFrame, n: int, shards: int) -> tuple[DataFrame, int]:
+    """``row`` and ``shard`` of the rows that fill whole shards with one text, and how many
+    these shards are. Fewer texts than shards have so many rows."""
+    counts = rows.groupBy(*TEXT).agg(F.count("*").alias("n")).filter(F.col("n") > max(1, n // shards)).collect()
+    ranges = filled([(tuple(r[name] for name in TEXT), r["n"]) for r in counts], n, shards)
+    schema = "text_hash long, text_crc32 long, size long, low long, high long, shard int"
+    places = rows.sparkSession.createDataFrame(ranges, schema)  # as many rows as shards at most
+    if not ranges:
+        return places.selectExpr("low AS row", "shard"), 0
+    large = rows.select("row", *TEXT).join(F.broadcast(places.select(*TEXT).distinct()), TEXT)
+    placed = ranked(large, TEXT, n, "rank").join(F.broadcast(places), TEXT).filter("rank >= low and rank < high")
+    return written(placed.select("row", "shard"), "shard-full"), len(ranges)
+
+
+def equal_text_links(rows: DataFrame) -> DataFrame:
+    """``a`` and ``b``: a star for each text."""
+    groups = rows.groupBy(*TEXT).agg(F.count("*").alias("n"), F.min("row").alias("hub")).filter("n > 1")
+    groups = written(groups.drop("n"), "equal-texts")
+    spokes = rows.select("row", *TEXT).join(groups, TEXT).select(F.col("row").alias("a"), F.col("hub").alias("b"))
+    return written(spokes.filter("a <> b"), "equal-text-rows")
 
 
 def granted(wants: dict[tuple[int, int], int], free: dict[int, int]) -> tuple[dict[tuple[int, int], int], dict[tuple[int, int], int]]:
@@ -119,11 +150,11 @@ def granted(wants: dict[tuple[int, int], int], free: dict[int, int]) -> tuple[di
     return {flow: n + swaps[flow] for flow, n in flows.items()}, back
 
 
-def propagate(rows: DataFrame, links: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
-    """``row`` and ``shard``; counts at most one apart, linked rows together as far as
-    they fit. ``links`` has ``a`` and ``b``, each link once."""
+def propagate(rows: DataFrame, links: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, first: int = 0) -> DataFrame:
+    """``row`` and ``shard`` (from ``first`` on); counts at most one apart, linked rows
+    together as far as they fit. ``links`` has ``a`` and ``b``, each link once."""
     n = rows.count()
-    labels = written(even_start(rows, shards), "shard-start")
+    labels = written(even_start(rows, shards, first), "shard-start")
     both = written(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "shard-links")
     degrees = both.groupBy("a").agg(F.count("*").alias("degree"))
     degrees = written(degrees, "shard-degrees")
@@ -132,7 +163,7 @@ def propagate(rows: DataFrame, links: DataFrame, shards: int = SHARDS, rounds: i
     above = seen.groupBy("a").agg(F.max(F.struct("degree", (-F.col("b")).alias("row"))).alias("above"))
     linked = degrees.withColumnRenamed("a", "row").join(above.withColumnRenamed("a", "row"), "row")
     linked = written(linked.select("row", (rank > F.col("above")).alias("anchor")), "shard-linked")
-    before = n + 1
+    least, idle = n + 1, 0
     for turn in range(rounds):
         near = both.join(labels.withColumnRenamed("row", "b"), "b").groupBy(F.col("a").alias("row"), "shard")
         near = near.agg(F.count("*").alias("votes")).withColumnRenamed("shard", "near")
@@ -143,9 +174,10 @@ def propagate(rows: DataFrame, links: DataFrame, shards: int = SHARDS, rounds: i
         asked = asked.select("row", "shard", "stays", (-F.col("best.minus")).alias("target")).filter("target <> shard")
         asked = written(asked, "shard-asked")
         asking = asked.count()
-        if asking == 0 or asking >= before:
+        idle = 0 if asking < least else idle + 1
+        if asking == 0 or idle == 2:
             break
-        before = asking
+        least = min(least, asking)
         moves = asked.filter(~F.col("stays")).select("row", "shard", "target")
         wants = {(r["shard"], r["target"]): r["n"] for r in moves.groupBy("shard", "target").agg(F.count("*").alias("n")).collect()}
         if not wants:
@@ -178,8 +210,10 @@ def shard_documents(
     and ``grown_shard`` (null) of every document, equal texts together."""
     rows = numbered(docs, id_col, text_col)
     n = rows.count()
-    links = equal_text_links(rows, max(2, n // shards))
-    labels = propagate(rows, links, shards, rounds)
+    full, first = full_shards(rows, n, shards)
+    rest = written(rows.join(full, "row", "left_anti"), "shard-rest") if first else rows
+    labels = propagate(rest, equal_text_links(rest), shards, rounds, first)
+    labels = labels.unionByName(full) if first else labels
     placed = ranked(rows.join(labels, "row"), ["shard"], n, "slot")
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")

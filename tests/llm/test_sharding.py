@@ -44,6 +44,40 @@ def test_large_group_is_spread(spark):
     assert len({row.shard for row in found if row.doc_id % 3 == 0}) < 10
 
 
+def test_large_texts_take_no_more_shards_than_they_need(spark):
+    docs = documents(spark, [(i, "same" if i % 3 == 0 else f"text {i // 6}" if i % 6 == 1 else f"text {i}") for i in range(1207)])
+    found = sharding.shard_documents(docs, shards=20).collect()
+    law_holds(found, 20)
+    assert len({row.shard for row in found if row.doc_id % 3 == 0}) == 7  # 403 rows, 60 or 61 in a shard
+
+
+def test_filled_shards():
+    assert sharding.filled([(("a",), 7), (("b",), 3), (("c",), 12)], 22, 4) == [("c", 0, 6, 0), ("c", 6, 12, 1), ("a", 0, 5, 2)]
+    assert sharding.filled([(("a",), 9)], 9, 3) == [("a", 0, 3, 0), ("a", 3, 6, 1), ("a", 6, 9, 2)]
+    assert sharding.filled([(("a",), 3)], 3, 40) == []
+
+
+def test_a_round_without_gain_does_not_end_the_rounds(spark, monkeypatch):
+    """An odd round may gain nothing where the next even one would."""
+    asked = []
+    written = sharding.written
+
+    def counting(rows, name):
+        out = written(rows, name)
+        if name == "shard-asked":
+            asked.append(out.count())
+        return out
+
+    monkeypatch.setattr(sharding, "written", counting)
+    rows_ = sharding.numbered(documents(spark, [(i, str(i)) for i in range(96)]))
+    ids = [r.row for r in rows_.orderBy("row").collect()]
+    chain = [(ids[i], ids[i + 1]) for i in range(0, 95) if i % 8 != 7]
+    sharding.propagate(rows_, spark.createDataFrame(chain, "a long, b long"), 4).collect()
+    stalled = [i for i in range(1, len(asked)) if asked[i] >= min(asked[:i])]
+    assert len(asked) == sharding.ROUNDS or asked[-1] == 0 or stalled[-2:] == [len(asked) - 2, len(asked) - 1]
+    assert stalled and stalled[0] < len(asked) - 1  # a round gained nothing, and another one came
+
+
 def test_own_links(spark):
     """Half of the rows are linked, in stars of four; the others make room."""
     rows_ = sharding.numbered(documents(spark, [(i, str(i)) for i in range(128)]))
