@@ -3,7 +3,9 @@
 A notice of at most k errors, cut into k + 1 pieces, holds one of them unchanged
 (pigeonhole). So pieces are looked for exactly, and only around them the ``regex``
 library's bounded-error matching verifies a notice and gives its span and errors. Every
-occurrence of a piece is verified, so every place a notice stands is found.
+occurrence of a piece is verified, so every place a notice stands is found. Short words that
+tell licenses apart (``mit``, ``nc``) must stand as they are, or joined to the word beside
+them: ``mpl`` or ``by sa`` in their place is another license, not a typing error.
 
 Words are lower-cased runs of letters and digits (and all that isn't ASCII); notices
 are looked for in the words joined by spaces, so marks and line ends don't matter.
@@ -52,6 +54,9 @@ NOTICES = {
 #: One error is allowed for so many characters of a notice.
 CHARACTERS_PER_ERROR = 10
 
+#: Words of notices that tell licenses apart and allow no error.
+TELLING = {"mit", "nc", "2"}
+
 #: ASCII marks and blanks become spaces, A-Z become a-z.
 _PLAIN = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
@@ -81,6 +86,15 @@ class Notice:
         self.matcher = regex.compile(
             rb"(?<!" + _WORD + rb")(?:" + body + rb"){e<=%d}(?!" % self.errors + _WORD + rb")", regex.ENHANCEMATCH
         )
+        own = text.split()
+        self.telling = []
+        for i, word in enumerate(own):
+            if word in TELLING:
+                before = b"".join(b"|" + regex.escape(w.encode()) for w in own[max(0, i - 1) : i])
+                after = b"".join(b"|" + regex.escape(w.encode()) for w in own[i + 1 : i + 2])
+                self.telling.append(
+                    regex.compile(rb"(?:(?<!" + _WORD + rb")" + before + rb")" + word.encode() + rb"(?:(?!" + _WORD + rb")" + after + rb")")
+                )
 
     def windows(self, joined: bytes) -> list[tuple[int, int]]:
         """Where the notice can stand: around each piece, neighbours made one."""
@@ -107,7 +121,9 @@ class Notice:
             while match := self.matcher.search(joined, at, min(end, len(joined))):
                 left, right = match.span()
                 found = sum(match.fuzzy_counts), left, right
-                if best and left < best[-1][2]:
+                if not all(word.search(match[0]) for word in self.telling):
+                    pass
+                elif best and left < best[-1][2]:
                     best[-1] = min(best[-1], found)
                 else:
                     best.append(found)

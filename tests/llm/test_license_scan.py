@@ -39,6 +39,18 @@ def test_errors_are_bounded():
     assert scan("small rights reservedly")[2] == []
 
 
+def test_other_licenses_are_no_typing_errors():
+    scan = Scanner(PHRASES, NOTICES).scan
+    for text in ("CC BY 4.0", "CC BY SA", "CC BY ND 4.0", "CC BY"):
+        assert scan(f"licensed under {text}")[2] == []
+    assert scan("under the MPL license")[2] == [] and scan("Licensed under the Apache License, Version 1.1")[2] == []
+    for text in ("licensd undr CC BY-NC 4.0", "licensed under cc bync", "licensed under cc by-sa, licensed under cc by-nc"):
+        assert [s.label for s in scan(text)[2]] == ["cc-by-nc"]
+    for text in ("undr the MIT licens", "under themit license", "under the mitlicense"):
+        assert [s.label for s in scan(text)[2]] == ["mit"]
+    assert [s.label for s in scan("Licensed under the Apache Licence, Version 2.0")[2]] == ["apache-2"]
+
+
 def test_spans(spark):
     docs = spark.createDataFrame([(1, "x\nAll  Rights\nreserved."), (2, None)], "doc_id long, text string")
     assert rows(license_scan.spans(docs)) == [(1, "all-rights-reserved", 1, 3, 0, 1.0)]
