@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hydrolens.llm import decision_list, decontaminate, language_id, license_scan, piece_codec, sharding, simhash_ball, tag_paths, token_trees, url_templates
+from hydrolens.llm import ball_tree, decision_list, decontaminate, language_id, license_scan, piece_codec, sharding, simhash_ball, tag_paths, token_trees, url_templates
 from hydrolens.llm.oracle import ORACLE
 from hydrolens.llm.tables import table, written
 
@@ -67,6 +67,11 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.digests(table(spark, sf_dir, "documents"), PIECES)
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = (table(spark, sf_dir, name) for name in ("documents", "benchmark"))
+    return ball_tree.search(docs, items)
+
+
 QUERIES = {
     query.__name__: query
     for query in (
@@ -80,5 +85,6 @@ QUERIES = {
         op8_quality,
         op9_simhash,
         op10_pieces,
+        op11_ranked_search,
     )
 }
