@@ -137,18 +137,18 @@ _TERMS = (
 )
 
 SEARCH = f"""
-WITH d AS (SELECT row_number() OVER () AS at, doc_id, {_TERMS} AS terms FROM documents),
+WITH d AS (SELECT row_number() OVER () AS place, doc_id, {_TERMS} AS terms FROM documents),
 totals AS (SELECT count(*) AS docs, CAST(sum(len(terms)) AS BIGINT) AS words FROM d WHERE len(terms) > 0),
 held AS (
-  SELECT at, doc_id, size, term, count(*) AS tf
-  FROM (SELECT at, doc_id, len(terms) AS size, unnest(terms) AS term FROM d) GROUP BY ALL),
+  SELECT place, doc_id, size, term, count(*) AS tf
+  FROM (SELECT place, doc_id, len(terms) AS size, unnest(terms) AS term FROM d) GROUP BY ALL),
 weighed AS (
   SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * holding + 1))) AS BIGINT) AS w
   FROM (SELECT term, count(*) AS holding FROM held GROUP BY term), totals),
 asked AS (
   SELECT item_id, text, unnest(list_distinct({_TERMS})) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark)),
 scored AS (
-  SELECT item_id, text, at, doc_id,
+  SELECT item_id, text, place, doc_id,
          CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * size * docs) // words)))) AS BIGINT) AS score
   FROM asked JOIN weighed USING (term) JOIN held USING (term), totals GROUP BY ALL)
 SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
