@@ -16,9 +16,9 @@ scored in 64-bit integers. Two passes read the trees: the first looks into one l
 tree, which gives every item a score that its last result has at least; the second
 searches with these scores as a start, so a task hands on few rows besides the results.
 
-Items are taken in blocks of about ``BLOCK_BYTES`` of text, so the vocabulary that goes to
-all tasks is bounded; each block reads the documents once. A tree has at most
-``TREE_ROWS`` documents and about ``TREE_TERMS`` terms of documents.
+Items are taken in blocks of about 4 MB of text, so the vocabulary that goes to all tasks
+is bounded; each block reads the documents once. A tree has at most 4,096 documents and
+about a million terms of documents (``Sizes``).
 
 Defined cases: a null or empty text has no terms, so such a document is never found and
 such an item has no rows; equal scores go by ascending id, null ids last; repeated
@@ -42,14 +42,24 @@ from pyspark.sql import functions as F
 
 from hydrolens.llm.tables import written
 
-BLOCK_BYTES = 4 << 20
-TREE_ROWS = 4096
-TREE_TERMS = 1 << 20
-LEAF_ROWS = 48
 SPLIT_ROUNDS = 4
-GROUP = 4 << 20  # entries of the weight matrix that a tree meets at once
 READ_ROWS = 512
 
+
+@dataclass(frozen=True)
+class Sizes:
+    """Bytes of a block's texts, documents and their terms in a tree, documents in a leaf,
+    and entries of the weight matrix that a tree meets at once."""
+
+    block_bytes: int = 4 << 20
+    tree_rows: int = 4096
+    tree_terms: int = 1 << 20
+    leaf_rows: int = 48
+    group: int = 4 << 20
+
+
+SIZES = Sizes()
+
 VECTOR = "doc_id long, n long, terms array<int>, counts array<int>"
 LEAD = "doc_id long, lead int, terms array<int>, impacts array<long>"
 TREE = (
@@ -185,7 +195,7 @@ def _halves(starts: np.ndarray, places: np.ndarray, impacts: np.ndarray, far: in
     return order
 
 
-def build(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+def build(parts: list[tuple[np.ndarray, np.ndarray]], leaf_rows: int = SIZES.leaf_rows) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     """Order of the documents, and the tree over them in that order."""
     docs, order, nodes, sparse = Vectors(parts), np.arange(len(parts)), [], []
     width, spans = len(docs.terms), [(0, len(parts))]
@@ -196,7 +206,7 @@ def build(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, dict[
         centroid = np.zeros(width, np.int64)
         centroid[have] = np.rint(total[have] / (last - first)).astype(np.int64)
         distance = _sums(impacts * (impacts - 2 * centroid[places]), starts) + int((centroid * centroid).sum())
-        split = last - first > LEAF_ROWS
+        split = last - first > leaf_rows
         nodes.append((first, last, len(spans) if split else -1, int(distance.max())))
         sparse.append((have, centroid[have]))
         if split:
@@ -221,12 +231,12 @@ def build(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, dict[
     return order, tree
 
 
-def trees(leads: DataFrame) -> DataFrame:
+def trees(leads: DataFrame, sizes: Sizes = SIZES) -> DataFrame:
     """One row per tree of neighbouring documents."""
     out = _arrow(TREE, leads.sparkSession)
 
     def row(ids: list, parts: list) -> pa.RecordBatch:
-        order, tree = build(parts)
+        order, tree = build(parts, sizes.leaf_rows)
         lists = {"ids": pa.array([[ids[i] for i in order]], out.field("ids").type)}
         for field in list(out)[1:]:
             lists[field.name] = _lists([tree[field.name]], field.type.value_type)
@@ -239,7 +249,7 @@ def trees(leads: DataFrame) -> DataFrame:
                 ids.append(i.as_py())
                 parts.append((terms.values.to_numpy(), impacts.values.to_numpy()))
                 size += len(parts[-1][0])
-                if len(ids) >= TREE_ROWS or size >= TREE_TERMS:
+                if len(ids) >= sizes.tree_rows or size >= sizes.tree_terms:
                     yield row(ids, parts)
                     ids, parts, size = [], [], 0
         if ids:
@@ -321,7 +331,7 @@ def _read(batch: pa.RecordBatch, i: int) -> dict[str, np.ndarray]:
     }
 
 
-def best_of_tasks(trees: DataFrame, items: Items, k: int, only_first: bool = False) -> DataFrame:
+def best_of_tasks(trees: DataFrame, items: Items, k: int, only_first: bool = False, group_size: int = SIZES.group) -> DataFrame:
     """Each task's best ``k`` documents of every item; with ``only_first`` from one leaf of each tree."""
     spark = trees.sparkSession
     shared, out = spark.sparkContext.broadcast(items), _arrow(FOUND, spark)
@@ -332,7 +342,7 @@ def best_of_tasks(trees: DataFrame, items: Items, k: int, only_first: bool = Fal
         for batch in batches:
             for i in range(len(batch)):
                 tree = _read(batch, i)
-                size = max(1, GROUP // len(tree["terms"]))
+                size = max(1, group_size // len(tree["terms"]))
                 for at in range(0, len(best), size):
                     group = range(at, min(at + size, len(best)))
                     search = Search(tree, items, group)
@@ -351,15 +361,15 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def blocks(items: DataFrame) -> tuple[DataFrame, int]:
+def blocks(items: DataFrame, size: int) -> tuple[DataFrame, int]:
     """Items with a column ``block``, and the number of blocks. No block of more than one
-    item has over twice ``BLOCK_BYTES``; sizes are measured."""
+    item has over twice ``size`` bytes; sizes are measured."""
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-total // BLOCK_BYTES))
+    n = max(1, -(-total // size))
     while n > 1:
         dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text", F.lit(n)), F.lit(n)).cast("int"))
         sizes = dealt.groupBy("block").agg(F.count("*").alias("items"), F.sum(F.octet_length("text")).alias("size"))
-        if (sizes.filter("items > 1").agg(F.max("size")).first()[0] or 0) <= 2 * BLOCK_BYTES:
+        if (sizes.filter("items > 1").agg(F.max("size")).first()[0] or 0) <= 2 * size:
             return dealt, n
         n *= 2
     return items.withColumn("block", F.lit(0)), 1
@@ -373,15 +383,16 @@ def search(
     text_col: str = "text",
     item_col: str = "item_id",
     item_text_col: str = "text",
+    sizes: Sizes = SIZES,
 ) -> DataFrame:
     """``item_id``, ``rank``, ``doc_id`` and ``score`` of each item's ``k`` best documents."""
     spark = docs.sparkSession
     asked = items.select(F.col(item_col).alias("item_id"), F.col(item_text_col).cast("string").alias("text"))
-    asked, n_blocks = blocks(asked.filter("text IS NOT NULL").distinct())
+    asked, n_blocks = blocks(asked.filter("text IS NOT NULL").distinct(), sizes.block_bytes)
     schema = spark.createDataFrame([], "item int, rank int, doc_id long, score long").schema
     result = None
     for block in range(n_blocks):
-        texts = asked.filter(F.col("block") == block).select("item_id", "text").collect()  # bounded by BLOCK_BYTES
+        texts = asked.filter(F.col("block") == block).select("item_id", "text").collect()  # bounded by the block
         texts = sorted(((t.item_id, sorted(set(words(t.text.encode())))) for t in texts), key=repr)
         vocabulary = {term: i for i, term in enumerate(sorted({term for _, terms in texts for term in terms}))}
         block_items = Items(
@@ -389,7 +400,7 @@ def search(
             np.cumsum([0, *[len(terms) for _, terms in texts]]),
             np.array([vocabulary[term] for _, terms in texts for term in terms], np.int64),
         )
-        found = _search_block(docs, block_items, vocabulary, k, id_col, text_col)
+        found = _search_block(docs, block_items, vocabulary, k, id_col, text_col, sizes)
         ids = spark.createDataFrame(list(enumerate(block_items.ids)), f"item int, item_id {asked.schema['item_id'].dataType.simpleString()}")
         rows = (spark.createDataFrame([], schema) if found is None else found).join(F.broadcast(ids), "item")
         rows = rows.select("item_id", "rank", "doc_id", "score")
@@ -397,7 +408,7 @@ def search(
     return result
 
 
-def _search_block(docs: DataFrame, items: Items, vocabulary: dict, k: int, id_col: str, text_col: str) -> DataFrame | None:
+def _search_block(docs: DataFrame, items: Items, vocabulary: dict, k: int, id_col: str, text_col: str, sizes: Sizes) -> DataFrame | None:
     counted = written(vectors(docs, vocabulary, id_col, text_col), "search-vectors")
     documents, terms = counted.filter("n > 0").agg(F.count("*"), F.sum("n")).first()
     if not documents or not vocabulary:
@@ -408,8 +419,8 @@ def _search_block(docs: DataFrame, items: Items, vocabulary: dict, k: int, id_co
         weights[term] = weight(documents, count)
     items.weights = weights[items.terms]
     items.floors = np.zeros(len(items.ids), np.int64)
-    index = written(trees(leads(counted, weights, documents, terms)), "search-trees")
-    first = _ranked(best_of_tasks(index, items, k, only_first=True), k)
+    index = written(trees(leads(counted, weights, documents, terms), sizes), "search-trees")
+    first = _ranked(best_of_tasks(index, items, k, True, sizes.group), k)
     for row in first.filter(F.col("rank") == k).select("item", "score").collect():  # one row per item of the block
         items.floors[row.item] = row.score
-    return _ranked(best_of_tasks(index, items, k), k).select("item", "rank", "doc_id", "score")
+    return _ranked(best_of_tasks(index, items, k, False, sizes.group), k).select("item", "rank", "doc_id", "score")

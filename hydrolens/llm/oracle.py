@@ -155,4 +155,51 @@ SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id NULLS LAST) AS rank
   FROM scored WHERE score > 0) WHERE rank <= 10"""
 
-ORACLE = {"op1_decontamination": OVERLAPS, "op6_url_verdicts": _verdicts(), "op11_ranked_search": SEARCH}
+_JOINED = "array_to_string({}, ' ')".format
+_CUTS = " UNION ALL ".join(
+    f"SELECT lang, phrase, a, {k} AS k, {_JOINED(f'w[1:{k}]')} AS head, {_JOINED(f'w[{k + 1}:]')} AS rest FROM c WHERE len(w) > {k}"
+    for k in (1, 2, 3)
+)
+_INNER = " UNION ALL ".join(
+    f"SELECT lang, a, {_JOINED(f'w[{i}:{j}]')} AS phrase FROM c WHERE len(w) >= greatest({j}, {j - i + 2})"
+    for i, j in ((1, 2), (2, 3), (3, 4), (1, 3), (2, 4))
+)
+
+PHRASES = f"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+pieces AS (
+  SELECT row_number() OVER () AS id, lang,
+         list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM d),
+words AS (SELECT id, lang, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM pieces),
+after AS (
+  SELECT lang, w, lead(w, 1) OVER o AS w2, lead(w, 2) OVER o AS w3, lead(w, 3) OVER o AS w4
+  FROM words WINDOW o AS (PARTITION BY id ORDER BY i)),
+f AS (
+  SELECT lang, phrase, count(*) AS f FROM (
+    SELECT lang, w AS phrase FROM after
+    UNION ALL SELECT lang, w || ' ' || w2 FROM after WHERE w2 IS NOT NULL
+    UNION ALL SELECT lang, w || ' ' || w2 || ' ' || w3 FROM after WHERE w3 IS NOT NULL
+    UNION ALL SELECT lang, w || ' ' || w2 || ' ' || w3 || ' ' || w4 FROM after WHERE w4 IS NOT NULL)
+  GROUP BY ALL HAVING count(*) >= 30),
+totals AS (SELECT lang, count(*) AS n FROM words GROUP BY lang),
+c AS (SELECT lang, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE contains(phrase, ' ')),
+cuts AS ({_CUTS}),
+scored AS (
+  SELECT cuts.lang, cuts.phrase, a, x.f AS l, y.f AS r, k,
+         CAST((CAST(2000000 AS HUGEINT) * a) // (x.f + y.f) AS BIGINT) AS score
+  FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = head JOIN f y ON y.lang = cuts.lang AND y.phrase = rest),
+weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+longer AS (SELECT lang, phrase, max(a) AS most FROM ({_INNER}) GROUP BY ALL),
+kept AS (
+  SELECT weakest.* FROM weakest LEFT JOIN longer USING (lang, phrase) WHERE most IS NULL OR 100 * most < 80 * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000"""
+
+ORACLE = {
+    "op1_decontamination": OVERLAPS,
+    "op6_url_verdicts": _verdicts(),
+    "op11_ranked_search": SEARCH,
+    "op12_collocations": PHRASES,
+}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hydrolens.llm import ball_tree, decision_list, decontaminate, language_id, license_scan, piece_codec, sharding, simhash_ball, tag_paths, token_trees, url_templates
+from hydrolens.llm import ball_tree, collocations, decision_list, decontaminate, language_id, license_scan, piece_codec, sharding, simhash_ball, tag_paths, token_trees, url_templates
 from hydrolens.llm.oracle import ORACLE
 from hydrolens.llm.tables import table, written
 
@@ -72,6 +72,10 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ball_tree.search(docs, items)
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     query.__name__: query
     for query in (
@@ -86,5 +90,6 @@ QUERIES = {
         op9_simhash,
         op10_pieces,
         op11_ranked_search,
+        op12_collocations,
     )
 }

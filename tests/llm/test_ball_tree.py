@@ -50,14 +50,14 @@ def test_query_equals_brute_force(spark, sf_dir):
     assert rows(op11_ranked_search(spark, sf_dir), "item_id", "rank", "doc_id", "score") == plain(docs, items)
 
 
-@pytest.mark.parametrize(("tree", "leaf", "group", "block"), [(7, 2, 40, 700), (64, 1, 1 << 20, 1 << 20)])
-def test_any_size_of_trees_and_blocks(spark, sf_dir, monkeypatch, tree, leaf, group, block):
-    for name, value in (("TREE_ROWS", tree), ("LEAF_ROWS", leaf), ("GROUP", group), ("BLOCK_BYTES", block)):
-        monkeypatch.setattr(ball_tree, name, value)
+@pytest.mark.parametrize(
+    "sizes", [ball_tree.Sizes(700, 7, 1 << 20, 2, 40), ball_tree.Sizes(1 << 20, 64, 300, 1, 1 << 20)], ids=["blocks", "trees"]
+)
+def test_any_size_of_trees_and_blocks(spark, sf_dir, sizes):
     docs = table(spark, sf_dir, "documents").filter("doc_id % 3 = 0").select("doc_id", "text")
     items = table(spark, sf_dir, "benchmark").filter("item_id < 6")
     expected = plain([tuple(d) for d in docs.collect()], [(b.item_id, b.text) for b in items.collect()], 4)
-    assert rows(ball_tree.search(docs, items, k=4), "item_id", "rank", "doc_id", "score") == expected
+    assert rows(ball_tree.search(docs, items, k=4, sizes=sizes), "item_id", "rank", "doc_id", "score") == expected
 
 
 def vectors_and_items(n, leads, seed):
