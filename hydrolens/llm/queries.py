@@ -5,13 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hydrolens.llm import ball_tree, collocations, decision_list, decontaminate, language_id, license_scan, piece_codec, sharding, simhash_ball, tag_paths, token_trees, url_templates
+from hydrolens.llm import ball_tree, collocations, config_packing, decision_list, decontaminate, language_id, license_scan, piece_codec, sharding, simhash_ball, tag_paths, token_trees, url_templates
 from hydrolens.llm.oracle import ORACLE
 from hydrolens.llm.tables import table, written
 
 __all__ = ["ORACLE", "QUERIES"]
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+WORDS = public_tokenizers.path("word_bpe_49k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
@@ -76,6 +77,10 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return config_packing.pack(table(spark, sf_dir, "documents"), WORDS)
+
+
 QUERIES = {
     query.__name__: query
     for query in (
@@ -91,5 +96,6 @@ QUERIES = {
         op10_pieces,
         op11_ranked_search,
         op12_collocations,
+        op13_packing,
     )
 }
