@@ -10,6 +10,17 @@ from __future__ import annotations
 
 from hydrolens.sources.events_views import payload_sql
 
+
+def _live(at: str) -> str:
+    """Live keys at a time, of the log ``kv``."""
+    return f"""
+  SELECT key, value, ts, expire_s FROM (
+    SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts DESC, seq DESC, op DESC,
+                                 value DESC NULLS LAST, expire_s DESC NULLS LAST) AS rn
+    FROM kv WHERE ts <= {at})
+  WHERE rn = 1 AND op = 'set' AND (coalesce(expire_s, 0) = 0 OR ts + to_seconds(expire_s) > {at})"""
+
+
 _CTE = {
     "e": """
   SELECT user_id AS device_id, event_id AS seq, ts, event_type, value,
@@ -51,18 +62,14 @@ _CTE = {
   FROM (SELECT *, CASE WHEN v1 = v2 THEN -5.5555::DOUBLE ELSE (p2 - p1) / (v2 - v1) END AS slope
         FROM lines)""",
     "kv": """
-  SELECT event_type || ':' || CAST(k AS VARCHAR) AS key, seq, ts,
+  SELECT CASE WHEN seq % 101 <> 0 THEN event_type || ':' || CAST(k AS VARCHAR) END AS key, seq,
+         CASE WHEN seq % 13 = 0 THEN ts - INTERVAL 2 DAY ELSE ts END AS ts,
          CASE WHEN seq % 11 = 0 THEN 'delete' ELSE 'set' END AS op,
-         CASE WHEN seq % 11 <> 0 THEN CAST(seq AS VARCHAR) END AS value,
+         CASE WHEN seq % 11 <> 0 THEN CAST(seq AS VARCHAR) || CASE WHEN seq % 19 = 0 AND copy = 1 THEN 'b' ELSE '' END
+         END AS value,
          CASE WHEN seq % 11 <> 0 AND seq % 7 = 0 THEN 86400::BIGINT END AS expire_s
-  FROM e""",
-    "live": """
-  SELECT key, value, ts, expire_s FROM (
-    SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn
-    FROM kv WHERE ts <= TIMESTAMP '2024-01-30 12:00:00')
-  WHERE rn = 1 AND op = 'set'
-    AND (coalesce(expire_s, 0) = 0
-         OR ts + to_seconds(expire_s) > TIMESTAMP '2024-01-30 12:00:00')""",
+  FROM e, (VALUES (0), (1)) AS copies(copy) WHERE copy = 0 OR seq % 17 = 0 OR seq % 19 = 0""",
+    "live": _live("TIMESTAMP '2024-01-30 12:00:00'"),
     "adc": """
   SELECT device_id, seq, ts, CAST(seq * 37 % 4096 AS INTEGER) AS tds_adc,
          CAST(seq * 101 % 4096 AS INTEGER) AS ph_adc, 100 + k * 15 AS echo_us,
@@ -597,13 +604,21 @@ ORACLE: dict[str, str] = {
     "kv_snapshot": _sql("e kv live", "SELECT key, value, ts, expire_s FROM live"),
     "kv_lookup": _sql(
         "e kv live",
-        """SELECT k.key, l.value, l.key IS NOT NULL AS found
-  FROM (SELECT DISTINCT key FROM kv) k LEFT JOIN live l ON k.key = l.key""",
+        """SELECT k.key, l.value, l.ts IS NOT NULL AS found
+  FROM (SELECT DISTINCT key FROM kv) k LEFT JOIN live l ON k.key IS NOT DISTINCT FROM l.key""",
+    ),
+    "kv_snapshots": _sql(
+        "e kv",
+        " UNION ALL ".join(
+            f"SELECT {at} AS at, * FROM ({_live(at)})"
+            for at in ("TIMESTAMP '2024-01-16 00:00:00'", "TIMESTAMP '2024-01-22 00:00:00'", "TIMESTAMP '2024-01-30 12:00:00'")
+        ),
     ),
     "kv_list": _sql("e kv live", "SELECT key FROM live WHERE key GLOB '*i*:?[1-4]'"),
     "kv_delete": _sql(
         "e kv live",
-        "SELECT * FROM live WHERE key NOT IN (SELECT key FROM kv WHERE op = 'delete')",
+        """SELECT * FROM live
+WHERE NOT EXISTS (SELECT 1 FROM kv WHERE op = 'delete' AND kv.key IS NOT DISTINCT FROM live.key)""",
     ),
 }
 

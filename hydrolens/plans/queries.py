@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +30,7 @@ from hydrolens.operators import (
 )
 from hydrolens.functions import payload, units
 from hydrolens.plans import jobs
-from hydrolens.session import fresh_dir
+from hydrolens.session import fresh_dir, written
 from hydrolens.sources import events_views as views
 from hydrolens.sources import readings as source
 
@@ -38,6 +39,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 DIGITS = 6
 HOUR = 3600
 NOW = datetime(2024, 1, 30, 12)
+BASE = datetime(2024, 1, 15)
+SNAPSHOTS = (datetime(2024, 1, 16), datetime(2024, 1, 22), NOW)
 RUNTIME_UNTIL = datetime(2024, 2, 1)
 HASTENED_UNTIL = datetime(2024, 1, 1, 6)
 SILENCE = 24 * HOUR
@@ -443,6 +446,17 @@ def kv_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return present(_snapshot(spark, sf_dir))
 
 
+def kv_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshots at three times from a base that is written once and what came since,
+    entries that are older than the base but came late included."""
+    log = views.kv_log(spark, sf_dir)
+    by_then = (F.col("ts") <= F.lit(BASE)) & ~views.kv_late()
+    base = written(changelog.newest(log.filter(by_then)), "kv-base")
+    both = base.unionByName(log.filter(~by_then))
+    each = [changelog.snapshot(both, at).select(F.lit(at).cast("timestamp").alias("at"), "*") for at in SNAPSHOTS]
+    return present(reduce(DataFrame.unionByName, each))
+
+
 def kv_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = views.kv_log(spark, sf_dir).select("key").distinct()
     return changelog.lookup(_snapshot(spark, sf_dir), keys)
@@ -519,6 +533,7 @@ BATCH: dict[str, Query] = {
     "offline_spans": offline_spans,
     "context_report": context_report,
     "kv_snapshot": kv_snapshot,
+    "kv_snapshots": kv_snapshots,
     "kv_lookup": kv_lookup,
     "kv_list": kv_list,
     "kv_delete": kv_delete,

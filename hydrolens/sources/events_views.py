@@ -8,7 +8,7 @@ the Parquet scan.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hydrolens import schemas
@@ -174,17 +174,28 @@ def calibration_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kv_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    deleted = F.col("seq") % 11 == 0
-    return rows(spark, sf_dir).select(
-        F.concat("event_type", F.lit(":"), F.col("k").cast("string")).alias("key"),
+    """Every event as an entry. Some come two days late, some have no key, some are sent
+    twice, and of those some with another value the second time."""
+    seq = F.col("seq")
+    deleted = seq % 11 == 0
+    copies = F.when((seq % 17 == 0) | (seq % 19 == 0), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    again = F.when((seq % 19 == 0) & (F.col("copy") == 1), F.lit("b")).otherwise(F.lit(""))
+    sent = rows(spark, sf_dir).withColumn("copy", F.explode(copies))
+    key = F.concat("event_type", F.lit(":"), F.col("k").cast("string"))
+    return sent.select(
+        F.when(seq % 101 != 0, key).alias("key"),
         "seq",
-        "ts",
+        F.when(kv_late(), F.col("ts") - F.expr("interval 2 days")).otherwise(F.col("ts")).alias("ts"),
         F.when(deleted, "delete").otherwise("set").alias("op"),
-        F.when(~deleted, F.col("seq").cast("string")).alias("value"),
-        F.when(~deleted & (F.col("seq") % 7 == 0), F.lit(86400)).cast("bigint").alias("expire_s"),
+        F.when(~deleted, F.concat(seq.cast("string"), again)).alias("value"),
+        F.when(~deleted & (seq % 7 == 0), F.lit(86400)).cast("bigint").alias("expire_s"),
     )
 
 
+def kv_late() -> Column:
+    return F.col("seq") % 13 == 0
+
+
 def adc_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, seq = F.col("k"), F.col("seq")
     humidity = F.when(k % 10 == 0, F.lit(float("nan"))).otherwise(F.lit(30.0) + k % 60)
