@@ -39,16 +39,23 @@ def http_ingest(
     folder: str,
     rules: control.Rules = control.Rules(),
     available_now: bool = False,
+    delay: str = "1 minute",
 ) -> list[StreamingQuery]:
     """Network ingest: smoothed readings to the log and the latest state, and
-    the actions of the pump rules."""
+    the actions of the pump rules.
+
+    Each reading meets the flags in force at its time, however the two inputs arrive, if
+    rows are at most ``delay`` late. Later ones are listed in the part ``late=true`` of the
+    table of actions, and take no part in any action.
+    """
     readings = source.http_readings(raw)
     smoothed = state.smooth_ingest(readings)
-    actions = state.pump_actions(readings, config_log, rules, C.SMOOTHING_ROWS)
+    actions = state.pump_actions(readings, config_log, rules, C.SMOOTHING_ROWS, delay)
+    actions = actions.withColumn(state.LATE, F.col("action") == state.LATE)
     return [
         sinks.readings_stream(smoothed, folder, f"{folder}/progress/readings", available_now),
         sinks.append_stream(
-            actions, f"{folder}/actions", f"{folder}/progress/actions", available_now
+            actions, f"{folder}/actions", f"{folder}/progress/actions", available_now, state.LATE
         ),
     ]
 

@@ -5,7 +5,7 @@ the table its sink wrote. Hourly indicators, alerts, ingest and the latest state
 the batch queries' however files are split and ordered. So do moving means and pump
 actions with a delay; without one (and offline spans) they take a device's rows in the
 order of their arrival, sorted within a micro-batch, as the services do, and equal the
-batch queries' if files arrive in the order of time.
+batch queries' if files arrive in the order of time. The delay is measured on the files.
 """
 
 from __future__ import annotations
@@ -20,12 +20,12 @@ from hydrolens.sources import readings as source
 from hydrolens.streaming import kpis, sinks, state
 
 
-# Files of the scattered tables hold rows of any time, so a row can be this late.
-LATEST = "100 days"
+# Devices report every few hours here, so a bucket spans days instead of minutes.
+WIDTH = "5 days"
 
 
 def hourly_kpis_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = views.scattered(spark, sf_dir)
+    folder, _ = views.scattered(spark, sf_dir)
     hourly = kpis.hourly_kpis(views.readings(spark, sf_dir, folder=folder).filter("seq is not null"))
     return present(sinks.run_to_upserted(hourly, "kpis", ["window_start", "window_end"]), *_KPI_DOUBLES)
 
@@ -37,11 +37,12 @@ def kpi_keyed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ph_ma10_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files in no order: readings wait for earlier ones."""
-    folder = views.scattered(spark, sf_dir)
+    """Readings wait for earlier ones of files to come."""
+    folder, delay = views.scattered(spark, sf_dir)
     rows = views.readings(spark, sf_dir, folder=folder).select("device_id", "seq", "ts", "ph")
-    means = state.moving_mean(rows, {"ph": "ph_ma10"}, delay=LATEST)
-    return present(sinks.run_to_table(means, "ma10"), "ph_ma10")
+    means = state.moving_mean(rows, {"ph": "ph_ma10"}, delay=delay, width=WIDTH)
+    table = sinks.run_to_table(means, "ma10").filter(~F.col(state.LATE)).drop(state.LATE)
+    return present(table, "ph_ma10")
 
 
 def ingest_smoothed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,11 +74,13 @@ def offline_spans_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pump_actions_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files of readings and of configuration in no order, and not aligned."""
-    rows = views.control_readings(spark, sf_dir, folder=views.scattered(spark, sf_dir, 5))
-    writes = views.config_log(spark, sf_dir, folder=views.scattered(spark, sf_dir, 3))
-    actions = state.pump_actions(rows, writes, RULES, delay=LATEST)
-    return present(sinks.run_to_table(actions, "actions"))
+    """Files of readings and of configuration with rows out of order, and not aligned."""
+    (read, one), (wrote, other) = (views.scattered(spark, sf_dir, arrivals) for arrivals in (5, 3))
+    rows = views.control_readings(spark, sf_dir, folder=read)
+    writes = views.config_log(spark, sf_dir, folder=wrote)
+    delay = max(one, other, key=lambda span: int(span.split()[0]))
+    actions = state.pump_actions(rows, writes, RULES, delay=delay, width=WIDTH)
+    return present(sinks.run_to_table(actions, "actions").filter(F.col("action") != state.LATE))
 
 
 STREAMS: dict[str, Query] = {

@@ -17,20 +17,42 @@ from hydrolens.session import fresh_dir
 from hydrolens.sources.readings import stream_table
 
 
-def scattered(spark: SparkSession, sf_dir: str, files: int = 6) -> str:
-    """A folder with all events dealt out over files regardless of time, and after them
-    a file of two events of no device, a year later, that let a stream close what it
-    holds."""
+def scattered(spark: SparkSession, sf_dir: str, arrivals: int = 6) -> tuple[str, str]:
+    """All events as files in which rows come up to a tenth of the table's span late, and
+    the delay that covers this, measured.
+
+    Events arrive at their time plus a share of that tenth, and are dealt by arrival to
+    ``arrivals`` parts of about equal spans, written one after the other. After them comes a file of
+    two events of no device, a year later, that let a stream close what it holds.
+    """
     folder = fresh_dir(spark, "scattered")
     events = spark.read.schema(schemas.EVENTS).parquet(f"{sf_dir}/events.parquet")
-    events.repartition(files, F.xxhash64("event_id")).write.parquet(folder)
-    last = events.agg(F.max("ts").alias("ts")).withColumn("ts", F.col("ts") + F.expr("interval 1 year"))
+    first, last, count = events.agg(F.min("ts"), F.max("ts"), F.count("*")).first()
+    if not count:
+        events.write.parquet(folder)
+        return folder, "0 seconds"
+    start, span = (F.unix_micros(F.lit(at).cast("timestamp")) for at in (first, last))
+    span = F.greatest(span - start, F.lit(arrivals))
+    late = F.pmod(F.xxhash64("event_id"), F.greatest(F.expr("1"), (span / 10).cast("long")))
+    arrival = F.unix_micros(F.col("ts").cast("timestamp")) - start + late
+    part = F.least(F.lit(arrivals - 1), (arrival * arrivals / (span * 1.1)).cast("int"))
+    dealt = events.withColumn("part", part)
+    spans = dealt.groupBy("part").agg(F.min("ts").alias("first"), F.max("ts").alias("last")).orderBy("part").collect()
+    delay = max(max(s.last for s in spans[: i + 1]) - min(s.first for s in spans[i:]) for i in range(len(spans)))
+    for number in range(arrivals):
+        own = dealt.filter(F.col("part") == number).drop("part")
+        own.coalesce(1 + count // (arrivals * ROWS_PER_FILE)).write.mode("append").parquet(folder)
+    end = events.agg(F.max("ts").alias("ts")).withColumn("ts", F.col("ts") + F.expr("interval 1 year"))
     kind = F.explode(F.array(F.lit("signup"), F.lit("view"))).alias("event_type")
-    closing = last.select("ts", kind)
+    closing = end.select("ts", kind)
     blank = {f.name: F.lit(None).cast(f.dataType) for f in events.schema if f.name not in closing.columns}
     closing = closing.withColumns(blank).select(*events.columns).coalesce(1)
     closing.write.mode("append").parquet(folder)
-    return folder
+    return folder, f"{int(delay.total_seconds()) + 1} seconds"
+
+
+# Rows of one file that a stream takes at once.
+ROWS_PER_FILE = 1_000_000
 
 
 def rows(

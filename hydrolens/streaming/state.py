@@ -1,21 +1,30 @@
 """Stateful operators on streams, one state per device.
 
-Each gives the rows its batch form gives. Rows of a micro-batch reach a device
-unordered, so they are sorted there; a micro-batch is bounded by the source's
-files-per-trigger limit. What follows from elapsed time is found while handling
-the next row, so for rows that arrive in the order of time results do not depend on
-where micro-batches end; timers only tell of what is still open. A row that arrives
-after later ones of its device counts as of its arrival, as it does in the services.
+Each gives the rows its batch form gives. With a ``delay`` rows are held in the state, by
+time buckets, until the watermark has passed them; a timer for each bucket gives it
+on, one after the other in the order of time (:class:`InOrder`). So results do not depend
+on how rows are dealt to files, and of two inputs the slower one sets the pace. A row of a
+bucket that its device has already given on is late: it takes no part, and is handed on
+marked as late. Memory is bounded by a bucket.
+
+Without a delay rows of a micro-batch reach a device unordered and are sorted there; a
+micro-batch is bounded by the source's files-per-trigger limit. What follows from elapsed
+time is found while handling the next row, so for rows that arrive in the order of time
+results do not depend on where micro-batches end; timers only tell of what is still open.
+A row that arrives after later ones of its device counts as of its arrival, as it does in
+the services.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from decimal import ROUND_HALF_UP, Decimal
+from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -35,6 +44,20 @@ def _sorted(batches: Iterator[pd.DataFrame], *order: str) -> pd.DataFrame:
     return pd.concat(list(batches), ignore_index=True).sort_values(list(order), kind="stable")
 
 
+def by_device(rows: DataFrame) -> GroupedData:
+    """Grouped by the device as text. pandas turns whole numbers into floats where some
+    are null, and a float is another key, so a number can't be the key."""
+    return rows.withColumn("_device", F.coalesce(F.col("device_id").cast("string"), F.lit(""))).groupBy("_device")
+
+
+def device_of(key: tuple[str]) -> int | None:
+    return int(key[0]) if key[0] else None
+
+
+def with_device(rows: pd.DataFrame, key: tuple[str]) -> pd.DataFrame:
+    return rows.assign(device_id=pd.array([device_of(key)] * len(rows), "Int64"))
+
+
 def rolling_mean(kept: np.ndarray, arrived: np.ndarray, length: int) -> np.ndarray:
     """Mean of the last values at each arrival, absent ones (nan) left out. Adds from the
     oldest on, as a row frame does."""
@@ -55,44 +78,143 @@ def half_up(value: float, digits: int) -> float:
     return float(Decimal(repr(float(value))).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP))
 
 
-def in_time_order(rows: DataFrame, width: str = "10 minutes") -> DataFrame:
-    """Rows held until no earlier ones are expected, and given on in the order of time.
+def is_below(values: np.ndarray, bound: float, digits: int) -> np.ndarray:
+    """Whether each value, rounded, lies below a bound. Only values within a unit of the
+    last digit of it need their decimal form."""
+    found = values < bound
+    for i in np.flatnonzero(np.abs(values - bound) <= 10.0**-digits):
+        found[i] = half_up(values[i], digits) < bound
+    return found
+
+
+#: Span of a bucket: what a device sends in it is held and sorted at once.
+WIDTH = "10 minutes"
+LATE = "late"
+
+
+def _micros(span: str) -> int:
+    return pd.Timedelta(span).value // 1000
+
+
+def _packed(rows: pd.DataFrame) -> bytes:
+    table = pa.Table.from_pandas(rows, preserve_index=False)
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema) as writer:
+        writer.write_table(table)
+    return out.getvalue().to_pybytes()
+
+
+def _unpacked(packed: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(packed).read_pandas()
+
+
+class Step(Protocol):
+    """What is done with one device's rows."""
+
+    order: tuple[str, ...]
 
-    Rows of a device gather in windows of ``width``; a window is given on when the
-    watermark of ``ts``, which the rows bring along, has passed it. Of united inputs with
-    a watermark each the slower one counts, so that rows of both meet in order. Rows later
-    than the watermark are dropped and counted as ``numRowsDroppedByWatermark`` in the
-    query's progress.
+    def init(self, handle: StatefulProcessorHandle) -> None: ...
+
+    def feed(self, key: tuple, rows: pd.DataFrame) -> pd.DataFrame | None:
+        """Rows in order, following all that were fed before."""
+
+    def late(self, key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        """Rows that can't take part any more, as they are told of."""
+
+
+class AsArrived(StatefulProcessor):
+    """Feeds a step with the rows of each micro-batch, sorted."""
+
+    def __init__(self, step: Step):
+        self.step = step
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.step.init(handle)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        if (out := self.step.feed(key, _sorted(rows, *self.step.order))) is not None:
+            yield out
+
+    def close(self) -> None:
+        pass
+
+
+class InOrder(StatefulProcessor):
+    """Feeds a step in the order of time, one bucket after the other.
+
+    A row's time is ``at``, in microseconds. The rows of a bucket are kept in parts, one
+    for each batch of rows that brought some, so a bucket that grows is not read again.
     """
-    names = rows.columns
-    held = rows.groupBy("device_id", F.window("ts", width).alias("_window"))
-    gathered = held.agg(F.collect_list(F.struct(*names)).alias("_rows"))
-    return gathered.select(F.explode("_rows").alias("_row")).select("_row.*")
 
+    def __init__(self, step: Step, width: str = WIDTH):
+        self.step, self.width = step, max(1000, _micros(width) // 1000 * 1000)
 
-class MovingMean(StatefulProcessor):
-    """Keeps a device's last values of some columns; other columns pass through."""
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.parts = handle.getMapState("parts", "bucket bigint", "n int")
+        self.held = handle.getMapState("held", "bucket bigint, part int", "rows binary")
+        self.passed = handle.getValueState("passed", "bucket bigint")
+        self.step.init(handle)
 
-    def __init__(self, columns: dict[str, str], length: int):
-        self.columns, self.length = columns, length
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        passed = self.passed.get()[0] if self.passed.exists() else None
+        for arrived in rows:
+            buckets = arrived["at"] // self.width
+            late = buckets.isna() if passed is None else buckets.isna() | (buckets <= passed)
+            if late.any():
+                yield self.step.late(key, arrived[late])
+                arrived, buckets = arrived[~late], buckets[~late]
+            for bucket, part in arrived.groupby(buckets):
+                bucket = int(bucket)
+                n = self.parts.getValue((bucket,))[0] if self.parts.containsKey((bucket,)) else 0
+                if not n:
+                    self.handle.registerTimer((bucket + 1) * self.width // 1000)
+                self.held.updateValue((bucket, n), (_packed(part),))
+                self.parts.updateValue((bucket,), (n + 1,))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        until = expiredTimerInfo.getExpiryTimeInMs() * 1000 // self.width - 1
+        for bucket in sorted(bucket for (bucket,) in self.parts.keys() if bucket <= until):
+            (n,) = self.parts.getValue((bucket,))
+            parts = (_unpacked(bytes(self.held.getValue((bucket, i))[0])) for i in range(n))
+            out = self.step.feed(key, _sorted(parts, *self.step.order))
+            for i in range(n):
+                self.held.removeKey((bucket, i))
+            self.parts.removeKey((bucket,))
+            self.passed.update((bucket,))
+            if out is not None:
+                yield out
+
+    def close(self) -> None:
+        pass
+
+
+class MovingMean:
+    """Keeps a device's last values of some columns; other columns pass through. Rows that
+    are late keep their own values."""
+
+    order = ("ts", "seq")
+
+    def __init__(self, columns: dict[str, str], length: int, marked: bool):
+        self.columns, self.length, self.marked = columns, length, marked
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.window = handle.getValueState("window", "last array<array<double>>")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        arrived = _sorted(rows, "ts", "seq")
+    def feed(self, key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         kept = self.window.get()[0] if self.window.exists() else [[] for _ in self.columns]
         windows, smoothed = [], {}
         for (name, out), last in zip(self.columns.items(), kept):
             before = np.array([np.nan if one is None else one for one in last], float)
-            values = arrived[name].to_numpy(float)
+            values = rows[name].to_numpy(float)
             smoothed[out] = rolling_mean(before, values, self.length)
             windows.append(np.concatenate([before, values])[-self.length :].tolist())
         self.window.update((windows,))
-        yield arrived.assign(**smoothed)
+        return with_device(rows, key).assign(**smoothed, **({LATE: False} if self.marked else {}))
 
-    def close(self) -> None:
-        pass
+    def late(self, key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        absent = {out: np.nan for out in self.columns.values() if out not in rows}
+        return with_device(rows, key).assign(**absent, late=True)
 
 
 def moving_mean(
@@ -101,33 +223,41 @@ def moving_mean(
     length: int = C.SMOOTHING_ROWS,
     digits: int | None = None,
     delay: str | None = None,
+    width: str = WIDTH,
 ) -> DataFrame:
     """Means over the last readings by arrival, the current one included; with a
-    ``delay`` by time, see :func:`in_time_order`."""
+    ``delay`` by time, and a column ``late``: true for readings that came too late."""
     use_state_store(readings.sparkSession)
-    if delay is not None:
-        readings = in_time_order(readings.withWatermark("ts", delay))
-    added = [out for out in columns.values() if out not in readings.columns]
-    schema = T.StructType(
-        [*readings.schema.fields, *[T.StructField(out, T.DoubleType()) for out in added]]
-    )
-    smoothed = readings.groupBy("device_id").transformWithStateInPandas(
-        MovingMean(columns, length),
-        outputStructType=schema,
-        outputMode="Append",
-        timeMode="None",
-    )
+    added = [T.StructField(out, T.DoubleType()) for out in columns.values() if out not in readings.columns]
+    step = MovingMean(columns, length, delay is not None)
+    schema = T.StructType([*readings.schema.fields, *added])
+    if delay is None:
+        smoothed = by_device(readings).transformWithStateInPandas(
+            AsArrived(step), outputStructType=schema, outputMode="Append", timeMode="None"
+        )
+    else:
+        schema = schema.add("at", T.LongType()).add(LATE, T.BooleanType())
+        smoothed = _in_order(readings.withWatermark("ts", delay), step, schema, width).drop("at")
     if digits is None:
         return smoothed
     return smoothed.withColumns({out: F.round(out, digits) for out in columns.values()})
 
 
+def _in_order(rows: DataFrame, step: Step, schema: T.StructType | str, width: str) -> DataFrame:
+    # The column that carries the watermark would let Spark drop late rows unseen.
+    unmarked = F.timestamp_micros(F.unix_micros("ts")).alias("ts")
+    timed = rows.withColumns({"ts": unmarked, "at": F.unix_micros("ts")})
+    return by_device(timed).transformWithStateInPandas(
+        InOrder(step, width), outputStructType=schema, outputMode="Append", timeMode="EventTime"
+    )
+
+
 def smooth_ingest(
-    http: DataFrame, digits: int | None = 2, delay: str | None = None
+    http: DataFrame, digits: int | None = 2, delay: str | None = None, width: str = WIDTH
 ) -> DataFrame:
     """Final form of network readings: pH and conductivity smoothed."""
     means = {"ph": "ph", "conductivity": "conductivity"}
-    smoothed = moving_mean(http, means, digits=digits, delay=delay)
+    smoothed = moving_mean(http, means, digits=digits, delay=delay, width=width)
     return smoothed.withColumn("eletrocondutividade", F.col("conductivity"))
 
 
@@ -143,9 +273,9 @@ class OfflineSpans(StatefulProcessor):
 
     def _spans(self, key, spans: list[tuple[int, int | None]]) -> pd.DataFrame:
         return pd.DataFrame(
-            [(key[0], start, end) for start, end in spans],
+            [(device_of(key), start, end) for start, end in spans],
             columns=["device_id", "from_us", "until_us"],
-        ).astype({"from_us": "int64", "until_us": "Int64"})
+        ).astype({"device_id": "Int64", "from_us": "int64", "until_us": "Int64"})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         last, timer = self.last.get() if self.last.exists() else (None, None)
@@ -183,15 +313,11 @@ def offline_spans(
     """
     use_state_store(readings.sparkSession)
     asked = readings.select("device_id", "seq", "ts", F.unix_micros("ts").alias("at"))
-    spans = (
-        asked.withWatermark("ts", delay)
-        .groupBy("device_id")
-        .transformWithStateInPandas(
-            OfflineSpans(int(offline_after * SECOND)),
-            outputStructType="device_id bigint, from_us bigint, until_us bigint",
-            outputMode="Append",
-            timeMode="EventTime",
-        )
+    spans = by_device(asked.withWatermark("ts", delay)).transformWithStateInPandas(
+        OfflineSpans(int(offline_after * SECOND)),
+        outputStructType="device_id bigint, from_us bigint, until_us bigint",
+        outputMode="Append",
+        timeMode="EventTime",
     )
     return spans.select(
         "device_id",
@@ -207,8 +333,11 @@ def settled_spans(spans: DataFrame) -> DataFrame:
     )
 
 
-class PumpControl(StatefulProcessor):
-    """Smooths conductivity and runs the control rules of one device."""
+class PumpControl:
+    """Smooths conductivity and runs the control rules of one device; rows that are late
+    give an action ``late``."""
+
+    order = ("at", "kind", "seq")
 
     def __init__(self, rules: Rules, length: int):
         self.rules, self.length = rules, length
@@ -220,33 +349,31 @@ class PumpControl(StatefulProcessor):
         )
         self.window = handle.getValueState("window", "last array<double>")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def feed(self, key: tuple, rows: pd.DataFrame) -> pd.DataFrame | None:
         controller = Controller(self.rules)
         if self.pumps.exists():
             controller.restore(tuple(self.pumps.get()))
         kept = self.window.get()[0] if self.window.exists() else []
         before = np.array([np.nan if one is None else one for one in kept], float)
         out = []
-        columns = ["at", "kind", "seq", "conductivity", "circ", "auto", "circ_auto"]
-        arrived = _sorted(rows, "at", "kind", "seq")
-        is_read = (arrived["kind"] == READING).to_numpy()
-        values = arrived["conductivity"].to_numpy(float)[is_read]
-        means = iter(rolling_mean(before, values, self.length).tolist())
-        for at, kind, seq, _, *flags in zip(*[arrived[name].tolist() for name in columns]):
+        columns = ["at", "kind", "seq", "circ", "auto", "circ_auto"]
+        values = rows["conductivity"].to_numpy(float)[(rows["kind"] == READING).to_numpy()]
+        low = iter(is_below(rolling_mean(before, values, self.length), self.rules.dose_below, 2).tolist())
+        for at, kind, seq, *flags in zip(*[rows[name].tolist() for name in columns]):
             if kind == CONFIG:
                 controller.configure(at, *[int(flag) for flag in flags])
                 continue
-            low = half_up(next(means), 2) < self.rules.dose_below
-            for action, off_at, wait in controller.read(at, low):
-                out.append((key[0], seq, at, action, off_at, wait))
+            for action, off_at, wait in controller.read(at, next(low)):
+                out.append((device_of(key), seq, at, action, off_at, wait))
         self.pumps.update(controller.state())
         self.window.update((np.concatenate([before, values])[-self.length :].tolist(),))
-        if out:
-            names = ["device_id", "seq", "at", "action", "off_at", "wait_us"]
-            yield pd.DataFrame(out, columns=names)
+        return pd.DataFrame(out, columns=ACTION).astype({"device_id": "Int64"}) if out else None
 
-    def close(self) -> None:
-        pass
+    def late(self, key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return with_device(rows, key).assign(action=LATE, off_at=NEVER, wait_us=0)[ACTION]
+
+
+ACTION = ["device_id", "seq", "at", "action", "off_at", "wait_us"]
 
 
 def pump_actions(
@@ -255,11 +382,13 @@ def pump_actions(
     rules: Rules = Rules(),
     length: int = C.SMOOTHING_ROWS,
     delay: str | None = None,
+    width: str = WIDTH,
 ) -> DataFrame:
     """Actions of the control rules on unsmoothed readings and configuration writes.
 
-    Without a ``delay`` rows count as of their arrival; with one in the order of time,
-    see :func:`in_time_order`, however the files of the two inputs are aligned.
+    Without a ``delay`` rows count as of their arrival; with one each reading meets the
+    flags in force at its time, however the files of the two inputs are split and aligned,
+    and rows of both that came too late are listed by an action ``late``.
     """
     use_state_store(readings.sparkSession)
     flags = ("circ", "auto", "circ_auto")
@@ -273,17 +402,15 @@ def pump_actions(
         "device_id", "seq", "ts", F.lit(CONFIG).alias("kind"),
         F.lit(None).cast("double").alias("conductivity"), *flags,
     )
-    both = read.unionByName(written)
-    if delay is not None:
-        both = in_time_order(both)
-    timed = both.withColumn("at", F.unix_micros("ts")).drop("ts")
-    done = timed.groupBy("device_id").transformWithStateInPandas(
-        PumpControl(rules, length),
-        outputStructType="device_id bigint, seq bigint, at bigint, action string, "
-        "off_at bigint, wait_us bigint",
-        outputMode="Append",
-        timeMode="None",
-    )
+    both, step = read.unionByName(written), PumpControl(rules, length)
+    schema = "device_id bigint, seq bigint, at bigint, action string, off_at bigint, wait_us bigint"
+    if delay is None:
+        timed = both.withColumn("at", F.unix_micros("ts")).drop("ts")
+        done = by_device(timed).transformWithStateInPandas(
+            AsArrived(step), outputStructType=schema, outputMode="Append", timeMode="None"
+        )
+    else:
+        done = _in_order(both, step, schema, width)
     return done.select(
         "device_id",
         "seq",
