@@ -39,7 +39,7 @@ from hydrolens.llm.tables import written
 
 LONGEST = 4
 SUPPORT = 30
-SAMPLE = 0.25
+SAMPLE = 0.2
 SEED = 12
 
 
@@ -48,7 +48,7 @@ class Sizes:
     """Bits of a bit map, words of a chunk, and bytes of a text that are split at once."""
 
     bits: int = 1 << 25
-    chunk_words: int = 1 << 21
+    chunk_words: int = 1 << 19
     slice_bytes: int = 1 << 20
 
 
@@ -184,37 +184,45 @@ def count_chunk(
     no ``old``, of all that ``new`` makes countable, and of single words."""
     own = numbers >= 0
     words = np.where(own, numbers, ~numbers)
-    as_bytes = vocabulary.cast(pa.binary()).to_pylist()
-    hashes = of_words = word_hashes(lang, as_bytes)
-    spelled = np.arange(len(as_bytes))[:, None]  # the word numbers of each phrase
-    phrase = words.astype(np.int64)  # the phrase that ends here, of the length before
     if old is None and 1 in lengths:
-        counts = np.bincount(words[own], minlength=len(as_bytes))
+        counts = np.bincount(words[own], minlength=len(vocabulary))
         counts[0] = 0
         seen = np.flatnonzero(counts)
         yield 1, vocabulary.take(pa.array(seen)), counts[seen]
+    if lengths.stop <= 2:
+        return
+    of_words = word_hashes(lang, vocabulary.cast(pa.binary()).to_pylist())
+    is_word = np.arange(len(vocabulary)) > 0
+    # For each place whether the phrase of the length before that ends here is proposed.
+    in_new = (new.has(1, of_words) & is_word)[words]
+    in_old = (old.has(1, of_words) & is_word)[words] if old else np.zeros(len(words), bool)
+    hashes = of_words[words]
     for n in range(2, lengths.stop):
-        in_new = new.has(n - 1, hashes)
-        in_old = old.has(n - 1, hashes) if old else np.zeros(len(hashes), bool)
-        if n == 2:
-            in_new[0] = in_old[0] = False
-        # The last entry answers for places where no phrase ends (number -1).
-        in_new, in_old = np.append(in_new, False), np.append(in_old, False)
-        ends = np.flatnonzero(in_new[phrase[:-1]] & in_new[phrase[1:]]) + 1
-        keys, first, which = np.unique(
-            phrase[ends - 1] * len(as_bytes) + words[ends], return_index=True, return_inverse=True
-        )
-        at = ends[first]
-        hashes = followed(hashes[phrase[at - 1]], of_words[words[at]])
-        spelled = np.column_stack([spelled[phrase[at - 1]], words[at]])
+        ends = np.flatnonzero(in_new[:-1] & in_new[1:]) + 1
         if n in lengths:
-            counts = np.bincount(which[own[ends]], minlength=len(keys))
-            counts[in_old[phrase[at - 1]] & in_old[phrase[at]]] = 0
-            seen = np.flatnonzero(counts)
-            texts = [vocabulary.take(pa.array(spelled[seen, i])) for i in range(n)]
-            yield n, pc.binary_join_element_wise(*texts, " "), counts[seen]
-        phrase = np.full(len(words), -1)
-        phrase[ends] = which
+            asked = ends[own[ends] & ~(in_old[ends - 1] & in_old[ends])]
+            yield n, *_counts_at(asked, n, words, vocabulary)
+        if n == LONGEST or not len(ends):
+            return
+        longer = followed(hashes[ends - 1], of_words[words[ends]])
+        was_old = in_old[ends - 1] & in_old[ends]
+        in_new, in_old = np.zeros(len(words), bool), np.zeros(len(words), bool)
+        in_new[ends] = new.has(n, longer)
+        if old:
+            in_old[ends] = was_old & old.has(n, longer)
+        hashes = np.zeros(len(words), np.uint64)
+        hashes[ends] = longer
+
+
+def _counts_at(ends: np.ndarray, n: int, words: np.ndarray, vocabulary: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The different phrases of ``n`` words that end at some places, and how often."""
+    keys = words[ends - n + 1].astype(np.int64)
+    for back in range(n - 2, -1, -1):
+        _, first, keys, counts = np.unique(
+            keys * len(vocabulary) + words[ends - back], return_index=True, return_inverse=True, return_counts=True
+        )
+    texts = [vocabulary.take(pa.array(words[ends[first] - back])) for back in range(n - 1, -1, -1)]
+    return pc.binary_join_element_wise(*texts, " "), counts
 
 
 def counted(chunks: DataFrame, old: Proposed | None, new: Proposed, lengths: range, least: int) -> DataFrame:
@@ -293,8 +301,10 @@ def frequent_phrases(
     each full pass found goes to ``passes``."""
     texts = written(chunks(docs, lang_col, text_col, sample, sizes), "phrase-chunks")
     expected = support * sample
-    # One in a hundred phrases at the support is missed by the sample (normal approximation).
-    new, old = sample_proposal(texts, max(2, int(expected - 2.3 * (expected * (1 - sample)) ** 0.5)), sizes.bits), None
+    # Half a standard deviation below what a phrase at the support has in the sample. Lower,
+    # more infrequent phrases are proposed and their longer ones counted; higher, more pass by.
+    least = max(2, round(expected - (expected * (1 - sample)) ** 0.5 / 2))
+    new, old = sample_proposal(texts, least, sizes.bits), None
     result = None
     while True:
         lengths = range(1 if old is None else 2, LONGEST + 1)
