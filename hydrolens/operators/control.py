@@ -5,12 +5,13 @@ over each device's events in time order. Around it everything is native: events
 are joined with the flags in force and those which cannot act are removed
 before the fold, and switch-offs are derived from the switch-ons after it.
 
-A hot device is folded slice by slice at once. Each slice starts from a guess
-of the state (the flags in force, nothing pending). The state at the end of every
-slice is an entry of the next one (a cooldown or switch-off which is over by then does
-not count), and entries that no slice was folded from yet are folded in another
-round. The result is exact. There are no more rounds than different states at a seam;
-an unbroken rhythm has as many as readings fit into its period.
+A hot device is folded slice by slice at once, in two passes. The first takes each
+slice through from every state it can be entered with (:mod:`~hydrolens.operators.seams`);
+the maps from entries to exits, composed, give every slice's true entry. The second folds
+each slice from that. The result is exact, whatever the rhythm of the readings. Where
+readings lie so close that a seam has more than ``MOST_ENTRIES`` entries, slices are folded
+in rounds instead: each from a guess (the flags in force, nothing pending), then from
+the ends of the slices before that are new, as often as there are new ones.
 """
 
 from __future__ import annotations
@@ -25,15 +26,17 @@ from pyspark.sql import functions as F
 
 from hydrolens import constants as C
 from hydrolens.functions import units
+from hydrolens.operators import seams
 from hydrolens.operators.config import config_as_of
-from hydrolens.operators.slicing import DEVICE, carry, common_cuts, join_same, over_rows, place
+from hydrolens.operators.seams import NEVER
+from hydrolens.operators.slicing import DEVICE, MAX_SLICES_PER_DEVICE, carry, common_cuts, join_same, locate, over_rows, place
 from hydrolens.session import fresh_dir, written
 
 # Kinds of events in their order at equal times.
 TIMER, CONFIG, READING = 0, 1, 2
 ENTRY = -1
-# Stands for "never" in whole-number columns handed to Python.
-NEVER = -(2**62)
+# Entries of one seam up to which slices are taken through from all of them.
+MOST_ENTRIES = 20_000
 
 SECOND = 1_000_000
 
@@ -53,6 +56,10 @@ class Rules:
         if self.cycle_for + self.dose_for > self.cycle_every:
             raise ValueError("a cycle and a dose must fit into the cycle period")
 
+    def micros(self) -> dict[str, int]:
+        names = ("cooldown", "dose_for", "cycle_every", "cycle_for")
+        return {name: int(getattr(self, name) * SECOND) for name in names}
+
 
 class Controller:
     """State of one device's pumps; fed with events in order."""
@@ -169,8 +176,7 @@ def _events(
     low = F.coalesce(F.col("conductivity") < rules.dose_below, F.lit(False))
     may_act = ((F.col("auto") == 1) & low) | (F.col("circ_auto") == 1)
     acting = judged.filter(may_act).select(
-        DEVICE, "ts", "seq", F.lit(READING).alias("kind"), low.cast("int").alias("low"),
-        *[F.lit(0).alias(name) for name in Controller.FIELDS[:3]],
+        DEVICE, "ts", "seq", F.lit(READING).alias("kind"), low.cast("int").alias("low"), *Controller.FIELDS[:3]
     )
     writes = config_log.select(
         DEVICE, "ts", "seq", F.lit(CONFIG).alias("kind"), F.lit(0).alias("low"),
@@ -208,7 +214,58 @@ def actions(
 def _fold_slices(
     placed: DataFrame, cuts: DataFrame, config_log: DataFrame, rules: Rules
 ) -> DataFrame:
-    """Folds all slices at once, and again for entry states not folded yet.
+    """Folds all slices, each from its true entry (see the module's text)."""
+    placed = written(placed, "control-events")
+    starts = cuts.select(DEVICE, F.posexplode("cuts").alias("slice", "start"))
+    starts = written(starts.withColumn("slice", F.col("slice") + 1), "control-starts")
+    config_at = place(config_log.select(DEVICE, "ts", "seq", *Controller.FIELDS[:3]), cuts)
+    flags = carry(config_at, cuts, Controller.FIELDS[:3]).select(
+        DEVICE, "slice", *[F.coalesce(F.col(name), F.lit(0)).alias(name) for name in Controller.FIELDS[:3]]
+    )
+    halo = _before_seams(placed, cuts, rules)
+    dosing, cycling = F.count_if((F.col("low") == 1) & (F.col("auto") == 1)), F.count_if(F.col("circ_auto") == 1)
+    most = halo.groupBy(DEVICE, "slice").agg((6 * (dosing + 1) * (cycling + 1)).alias("entries"))
+    if (most.agg(F.max("entries")).first()[0] or 0) > MOST_ENTRIES:
+        return _fold_in_rounds(placed.drop("ts"), cuts, starts, flags, rules)
+    opened = starts.select(DEVICE, "slice", F.col("start").alias("at"))
+    opened = opened.unionByName(cuts.select(DEVICE, F.lit(0).alias("slice"), F.lit(NEVER).alias("at")))
+    opened = join_same(opened, flags, [DEVICE, "slice"], "left")
+    ends = starts.select(DEVICE, (F.col("slice") - 1).alias("slice"), F.col("start").alias("off_at"))
+    opened = join_same(opened, ends, [DEVICE, "slice"], "left").select(
+        DEVICE, "slice", "at", "off_at", *[F.coalesce(F.col(name), F.lit(0)).alias(name) for name in Controller.FIELDS[:3]]
+    )
+    opened = written(opened, "control-openings")  # one row per slice
+    # The last slice leads nowhere, so only the others are taken through.
+    leading = opened.filter("off_at IS NOT NULL")
+    rows = placed.filter("is_hot").drop("off_at").unionByName(halo.drop("off_at"), allowMissingColumns=True)
+    rows = join_same(rows, F.broadcast(leading.select(DEVICE, "slice", "off_at")), [DEVICE, "slice"])
+    opening = leading.withColumns({"kind": F.lit(seams.OPENING), "low": F.lit(0)})
+    rows = rows.select(*seams.COLUMNS).unionByName(opening.select(*seams.COLUMNS))
+    maps = written(seams.slice_maps(rows, CONFIG, rules.micros()), "control-maps")
+    slices = cuts.agg(F.max(F.size("cuts"))).first()[0] + 1
+    entered = join_same(seams.true_entries(maps, slices), flags.drop("circ"), [DEVICE, "slice"])
+    entered = entered.select(
+        DEVICE, "slice", F.lit(ENTRY).alias("kind"), F.lit(NEVER).alias("at"), F.lit(NEVER).alias("seq"),
+        F.lit(0).alias("low"), F.lit(True).alias("is_hot"), F.col("circ").cast("int").alias("circ"), *Controller.FIELDS[1:],
+    )
+    return _fold(placed.drop("ts").unionByName(entered), rules).filter(F.col("action") != "exit")
+
+
+def _before_seams(placed: DataFrame, cuts: DataFrame, rules: Rules) -> DataFrame:
+    """Readings that may still count when a later slice starts, as rows of that slice."""
+    reach = max(rules.micros()["cooldown"], rules.micros()["cycle_every"])
+    acting = placed.filter(F.col("is_hot") & (F.col("kind") == READING))
+    times = cuts.withColumnRenamed("cuts", "times")
+    ahead = locate(acting, times, MAX_SLICES_PER_DEVICE, F.col("at") + reach, "_last")
+    reached = ahead.filter(F.col("_last") > F.col("slice"))
+    each = F.explode(F.sequence(F.col("slice") + 1, F.col("_last")))
+    return reached.withColumn("slice", each).drop("_last").withColumn("kind", F.lit(seams.HALO))
+
+
+def _fold_in_rounds(
+    placed: DataFrame, cuts: DataFrame, starts: DataFrame, flags: DataFrame, rules: Rules
+) -> DataFrame:
+    """Folds all slices, and again for entry states not folded yet.
 
     A slice's end is the next slice's entry. What a slice does from an entry is folded
     once and kept, so rounds end when no end is a new entry: there are no more rounds
@@ -218,9 +275,7 @@ def _fold_slices(
     devices (a bounded number) are ever compared, joined or folded again.
     """
     spark = placed.sparkSession
-    placed = written(placed.drop("ts"), "control-events")
     keys = [DEVICE, "slice"]
-    flags = Controller.FIELDS[:3]
 
     def entry_rows(states: DataFrame) -> DataFrame:
         return states.select(
@@ -228,14 +283,7 @@ def _fold_slices(
             F.lit(NEVER).alias("seq"), F.lit(0).alias("low"), F.lit(True).alias("is_hot"),
         )
 
-    config_at = place(config_log.select(DEVICE, "ts", "seq", *flags), cuts)
-    asked = carry(config_at, cuts, flags).select(
-        *keys,
-        *[F.coalesce(F.col(name), F.lit(0)).alias(name) for name in flags],
-        *[F.lit(NEVER).alias(name) for name in Controller.FIELDS[3:]],
-    )
-    starts = cuts.select(DEVICE, F.posexplode("cuts").alias("slice", "start"))
-    starts = written(starts.withColumn("slice", F.col("slice") + 1), "control-starts")
+    asked = flags.select(*keys, *Controller.FIELDS[:3], *[F.lit(NEVER).alias(name) for name in Controller.FIELDS[3:]])
     table, entries, ends = (
         fresh_dir(spark, f"control-{name}") for name in ("actions", "entries", "ends")
     )

@@ -3,11 +3,12 @@
 import heapq
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from hydrolens import schemas
-from hydrolens.operators import config, control
+from hydrolens.operators import config, control, seams
 from tests.helpers import at, rows, seconds
 
 READINGS = "device_id bigint, seq bigint, ts timestamp, conductivity double"
@@ -122,10 +123,9 @@ def random_events(seed, n, step):
     return readings, writes
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-@pytest.mark.parametrize("rows_per_slice", [None, 5, 40, 200])
+@pytest.mark.parametrize(("seed", "rows_per_slice"), [(1, None), (2, None), (3, None), (1, 10), (2, 40), (3, 40), (3, 200)])
 def test_actions_equal_the_simulation(spark, seed, rows_per_slice):
-    readings, writes = random_events(seed, 500, [1.0, 5.0, 5.0, 5.0, 30.0, 61.0])
+    readings, writes = random_events(seed, 300, [1.0, 5.0, 5.0, 5.0, 30.0, 61.0])
     found = run(spark, readings, writes, rows_per_slice=rows_per_slice)
     assert found == simulate(readings, writes)
 
@@ -138,12 +138,59 @@ def test_rounds_of_a_steady_rhythm_follow_its_states(spark, monkeypatch):
     readings = [(10.0 * i, 900.0) for i in range(1, 200)]
     writes = [(0, (0, 0, 0, 1))]
     folds, fold = [], control._fold
+    monkeypatch.setattr(control, "MOST_ENTRIES", 0)
     monkeypatch.setattr(control, "_fold", lambda *given: folds.append(1) or fold(*given))
     found = run(spark, readings, writes, rules=rules, rows_per_slice=7)
     assert found == simulate(readings, writes, rules)
     assert len(folds) <= 8
 
 
+@pytest.mark.parametrize("writes", [[(0, (1, 0, 1, 1))], [(0, (0, 0, 1, 1)), (777, (0, 0, 1, 0)), (1500, (1, 0, 1, 1)), (1501, ON)]])
+def test_two_folds_at_any_rhythm(spark, monkeypatch, writes):
+    """A reading each five seconds never lets the phases of doses and cycles meet."""
+    readings = [(5.0 * i, 900.0 if i % 7 == 3 else 100.0) for i in range(1, 500)]
+    passes, fold, maps = [], control._fold, seams.slice_maps
+    monkeypatch.setattr(control, "_fold", lambda *given: passes.append("fold") or fold(*given))
+    monkeypatch.setattr(seams, "slice_maps", lambda *given: passes.append("maps") or maps(*given))
+    found = run(spark, readings, writes, rows_per_slice=40)
+    assert found == simulate(readings, writes)
+    assert passes == ["maps", "fold"]
+
+
+@pytest.mark.parametrize("rows_per_slice", [5, 40])
+def test_rounds_give_the_same(spark, monkeypatch, rows_per_slice):
+    monkeypatch.setattr(control, "MOST_ENTRIES", 0)
+    readings, writes = random_events(8, 300, [1.0, 5.0, 5.0, 30.0, 61.0])
+    assert run(spark, readings, writes, rows_per_slice=rows_per_slice) == simulate(readings, writes)
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_states_side_by_side_equal_one_after_the_other(seed, monkeypatch):
+    monkeypatch.setattr(seams, "MERGE_AFTER", 3)
+    rules, rng = control.Rules(), random.Random(seed)
+    start = 1_000_000 * control.SECOND
+    before = np.array(sorted(start - rng.randrange(1, 125 * control.SECOND) for _ in range(6)))
+    entries = seams.entry_states(start, before, before, rules.micros())
+    states = seams.States(entries, 1, 1, rules.micros())
+    controllers = [control.Controller(rules, (c, 1, 1, off, dose, cycle)) for c, off, dose, cycle in entries.tolist()]
+    at = start
+    for _ in range(4):
+        times = np.cumsum([rng.choice([1, 5, 30, 61]) * control.SECOND for _ in range(40)]) + at
+        low = np.array([rng.random() < 0.7 for _ in times])
+        states.read(times, low)
+        at = int(times[-1]) + control.SECOND
+        flags = [rng.randrange(2) for _ in range(3)]
+        states.configure(at, *flags)
+        for controller in controllers:
+            for t, is_low in zip(times.tolist(), low.tolist()):
+                controller.read(t, is_low)
+            controller.configure(at, *flags)
+        found = states.states[states.which]
+        one = seams.States(np.array([(c.circ, c.off_at, c.last_dose, c.last_cycle) for c in controllers]), 0, 0, rules.micros())
+        one.settle(at)
+        assert (found == one.states).all()
+
+
 def test_accepted_doses_keep_the_cooldown(spark):
     readings, writes = random_events(9, 400, [5.0])
     done = run(spark, readings, writes)
