@@ -32,7 +32,7 @@ from __future__ import annotations
 import html
 import re
 import string
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from statistics import pstdev
@@ -67,6 +67,7 @@ ENDING = set().union(*ENDED_BY.values())
 LISTS = {"ul", "ol", "dl", "table", "select"}
 
 THRESHOLD = 0.5  # of the standard deviation of the smoothed ratios
+CORE = 2.0  # the same, for texts that tell where the content is if no element does
 KERNEL = (0.25, 0.5, 0.25)
 MOST = 0.7  # of the content around it that shows an element to be a layout
 
@@ -80,6 +81,26 @@ _TOKEN = re.compile(
     r"|<(?P<end2>/?)(?P<name2>[a-z][a-z0-9:-]*)(?P<rest2>[^>]*)>",
     re.IGNORECASE | re.DOTALL,
 )
+
+
+def tokens(page: str) -> Iterator[re.Match]:
+    """Tags, comments and raw elements in order, in linear time: a tag is looked for only
+    where one may begin and only while a ``>`` lies ahead."""
+    last, at = page.rfind(">"), page.find("<")
+    while at >= 0:
+        if at < last or page.startswith(("<!--", "<![CDATA["), at):
+            if token := _TOKEN.match(page, at):
+                yield token
+                at = page.find("<", token.end())
+                continue
+        elif at > last and (at := page.find("<!", at)) >= 0 and not page.startswith(("<!--", "<![CDATA["), at):
+            at += 1
+            continue
+        elif at >= 0:
+            continue
+        at = page.find("<", at + 1) if at >= 0 else at
+
+
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)", re.IGNORECASE)
 _LAYOUT = re.compile(r"(?:no|has|with|without|hide|show)[^a-z]")  # begins names that tell what else a page has
 _HIDDEN = re.compile(r"\shidden(?=[\s=/]|$)|display\s*:\s*none", re.IGNORECASE)
@@ -98,6 +119,9 @@ class Element:
         self.inside = self if name in CONTAINERS else above.inside if above else None
         # Of articles in articles the outermost counts.
         self.outer = above.outer if above and above.outer and above.outer.name == "article" else self.inside
+        # Itself or the nearest above: a block element, and one that a like one or a list ends.
+        self.block = above.block if above and name in INLINE else self
+        self.ended = self if name in ENDED_BY or name in LISTS else above.ended if above else None
         self.chosen = False
 
 
@@ -135,6 +159,8 @@ def _mark(name: str, rest: str) -> str:
             continue
         names = [own for own in value.strip("\"'").lower().split() if not _LAYOUT.match(own)]
         words = BOILERPLATE_WORDS.intersection(_words(" ".join(names)))
+        if name in HEADINGS | {"p"} and any(BOILERPLATE_WORDS.issuperset(_words(own)) for own in names):
+            return "name"  # all of a class names boilerplate
         if not words or name in CONTAINERS | HEADINGS | {"p"} and not {"comment", "comments"} & words:
             continue
         whole = words.intersection(names)
@@ -156,12 +182,25 @@ def texts(page: str) -> tuple[list[Text], list[Element]]:
     elements, paths = [root], {}
     found: list[Text] = []
     block = at = 0
+    # How many elements of a name are open, inline ones by the block element around them.
+    opened: Counter[tuple[Element | None, str]] = Counter()
+
+    def scope(e: Element) -> tuple[Element | None, str]:
+        return (e.block if e.name in INLINE else None, e.name)
+
+    def close(to: Element) -> Element:
+        """Closes all up to ``to``, and it; each element is closed once."""
+        one = here
+        while one is not to.above:
+            opened[scope(one)] -= 1
+            one = one.above
+        return one or root
 
     def take(end: int) -> None:
         if end > at:
             found.append(Text(here, block, html.unescape(page[at:end]) if "&" in page[at:end] else page[at:end]))
 
-    for token in _TOKEN.finditer(page):
+    for token in tokens(page):
         take(token.start())
         at = token.end()
         name = token["name"] or token["name2"]
@@ -174,42 +213,30 @@ def texts(page: str) -> tuple[list[Text], list[Element]]:
             continue
         block += name not in INLINE
         if token["end"] or token["end2"]:
-            open_one = _within(here, {name})
-            if open_one is not None and (name not in INLINE or _reaches(here, open_one)):
-                here = open_one.above or root
+            # Nothing but inline elements may lie between an inline end tag and its element.
+            if opened[(here.block if name in INLINE else None, name)]:
+                here = close(_within(here, {name}))
             continue
         if name in VOID:
             continue
         if name not in INLINE:  # a paragraph ends where a block begins
-            paragraph = here
-            while paragraph.name in INLINE:
-                paragraph = paragraph.above
-            if paragraph.name == "p" or paragraph.name in HEADINGS and name in HEADINGS:
-                here = paragraph.above
+            around = here.block
+            if around.name == "p" or around.name in HEADINGS and name in HEADINGS:
+                here = close(around)
         if name in ENDING:
-            same = here
-            while same is not None and same.name not in ENDED_BY and same.name not in LISTS:
-                same = same.above
+            same = here.ended
             if same is not None and name in ENDED_BY.get(same.name, ()):
-                here = same.above
+                here = close(same)
         if not rest.rstrip().endswith("/") or name not in INLINE:
             path = paths.setdefault((here.path, name), len(paths) + 1)
             here = Element(name, here, path, rest)
+            opened[scope(here)] += 1
             elements.append(here)
     take(len(page))
     _set_apart(found, elements)
     return found, elements
 
 
-def _reaches(here: Element, to: Element) -> bool:
-    """Whether only inline elements lie between, so that an end tag may close them."""
-    while here is not to:
-        if here.name not in INLINE:
-            return False
-        here = here.above
-    return True
-
-
 def _spread(elements: list[Element], spared: set[Element], reset: set[Element]) -> None:
     """Sets apart what says that it is boilerplate, and all in it."""
     for e in elements[1:]:  # parents come first
@@ -307,31 +334,31 @@ def scored(page: list[Text]) -> tuple[list[Text], float]:
     return nodes, THRESHOLD * pstdev([node.score for node in nodes]) if nodes else 0.0
 
 
-def _around(given: list[Element]) -> Element:
+def _around(given: list[Element], elements: list[Element]) -> Element:
     """The deepest element that holds all of these."""
-    common = given[0]
+    held = dict.fromkeys(elements, 0)
     for e in set(given):
-        while common is not e:
-            if common.depth >= e.depth:
-                common = common.above
-            else:
-                e = e.above
-    return common
+        held[e] = 1
+    for e in reversed(elements[1:]):  # parents come first
+        held[e.above] += held[e]
+    return max((e for e in elements if held[e] == held[elements[0]]), key=lambda e: e.depth)
 
 
-def containers(content: list[Text], nodes: list[Text], threshold: float) -> list[Element]:
+def containers(content: list[Text], nodes: list[Text], threshold: float, elements: list[Element]) -> list[Element]:
     """The elements to return the texts of."""
     marked = list(dict.fromkeys(node.element.outer for node in content if node.element.outer))
     if marked:
-        common = _around(marked)
+        common = _around(marked, elements)
         return [common] if common.inside else marked
     # Short articles beside long other texts count too.
     given = [node.element for node in nodes if node.element.outer and node.element.outer.name == "article"]
-    # What only its neighbours lift above the threshold doesn't widen the container.
-    given += [node.element for node in content if node.ratio >= threshold] or [node.element for node in content]
+    # What is little above the threshold, or lifted by its neighbours, doesn't widen the container.
+    core = CORE / THRESHOLD * threshold
+    surest = [node for node in content if node.score >= core] or content
+    given += [node.element for node in surest if node.ratio >= core] or [node.element for node in surest]
     if not given:
         return []
-    common = _around(given)
+    common = _around(given, elements)
     while common.above and common.name in INLINE | HEADINGS | {"p"}:
         common = common.above
     return [common]
@@ -340,14 +367,18 @@ def containers(content: list[Text], nodes: list[Text], threshold: float) -> list
 def main_text(page: str | None) -> str:
     found, elements = texts(page or "")
     nodes, threshold = scored(found)
-    chosen = containers([node for node in nodes if node.score >= threshold], nodes, threshold)
+    content = [node for node in nodes if node.score >= threshold]
+    chosen = containers(content, nodes, threshold, elements)
     for element in elements:  # parents come first
         element.chosen = element in chosen or bool(element.above and element.above.chosen)
-    blocks: dict[int, list[str]] = {}
+    paths = {node.element.path for node in content}
+    blocks: dict[int, list[Text]] = {}
     for node in found:
         if node.element.chosen and not node.element.apart:
-            blocks.setdefault(node.block, []).append(node.text)
-    lines = (" ".join("".join(parts).split()) for parts in blocks.values())
+            blocks.setdefault(node.block, []).append(node)
+    # A block is content if a text of it lies on a content path, or if it is a heading.
+    kept = (part for part in blocks.values() if any(n.element.path in paths or n.element.block.name in HEADINGS for n in part))
+    lines = (" ".join("".join(node.text for node in part).split()) for part in kept)
     return "\n".join(line for line in lines if line)
 
 
