@@ -12,6 +12,10 @@ phrase has been counted over all texts, whatever the sample was.
 What is proposed goes to the tasks as bit maps of a fixed size, one for each length
 (``Sizes.bits``); two phrases on one bit only make a pass count more than it must.
 
+Most phrases of the border are rare. So before the full pass counts phrases one by one, all
+that it may count are counted by hash, in a table of a fixed size; a hash that doesn't reach
+the support tells that none of its phrases does.
+
 Texts are read once, into a written table of chunks: the words of a chunk and the word
 numbers in order of the text. Passes work on chunks, in numpy, and add counts up before
 they are shuffled by phrase. Chunks end within long texts; the words before the cut are
@@ -41,13 +45,15 @@ LONGEST = 4
 SUPPORT = 30
 SAMPLE = 0.2
 SEED = 12
+BUCKETS = 1 << 24  # counts by hash, of a task and of all
+BLOCK = 1 << 16  # of these handled at once
 
 
 @dataclass(frozen=True)
 class Sizes:
     """Bits of a bit map, words of a chunk, and bytes of a text that are split at once."""
 
-    bits: int = 1 << 25
+    bits: int = 1 << 24
     chunk_words: int = 1 << 19
     slice_bytes: int = 1 << 20
 
@@ -159,6 +165,11 @@ def bits_of(hashes: np.ndarray, bits: int) -> np.ndarray:
     return (hashes >> np.uint64(7)) % np.uint64(bits)
 
 
+def has_bit(bit_map: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = bits_of(hashes, 8 * len(bit_map))
+    return (bit_map[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
 @dataclass
 class Proposed:
     """For each length but the longest a bit map of the phrases that are proposed."""
@@ -170,52 +181,50 @@ class Proposed:
         return cls([np.zeros(bits // 8, np.uint8) for _ in range(1, LONGEST)])
 
     def has(self, n: int, hashes: np.ndarray) -> np.ndarray:
-        at = bits_of(hashes, 8 * len(self.maps[0]))
-        return (self.maps[n - 1][at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+        return has_bit(self.maps[n - 1], hashes)
 
     def joined(self, other: Proposed) -> Proposed:
         return Proposed([a | b for a, b in zip(self.maps, other.maps)])
 
 
-def count_chunk(
+def countable(
     lang: str, vocabulary: pa.Array, numbers: np.ndarray, old: Proposed | None, new: Proposed, lengths: range
-) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
-    """Length, phrases and counts of what ``new`` makes countable and ``old`` did not; with
-    no ``old``, of all that ``new`` makes countable, and of single words."""
+) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Lengths, the places where phrases end that ``new`` makes countable and ``old`` did not,
+    and these phrases' hashes; with no ``old`` all that ``new`` makes countable, and single words."""
     own = numbers >= 0
     words = np.where(own, numbers, ~numbers)
-    if old is None and 1 in lengths:
-        counts = np.bincount(words[own], minlength=len(vocabulary))
-        counts[0] = 0
-        seen = np.flatnonzero(counts)
-        yield 1, vocabulary.take(pa.array(seen)), counts[seen]
-    if lengths.stop <= 2:
-        return
     of_words = word_hashes(lang, vocabulary.cast(pa.binary()).to_pylist())
     is_word = np.arange(len(vocabulary)) > 0
+    if old is None and 1 in lengths:
+        ends = np.flatnonzero(own & (words > 0))
+        yield 1, ends, of_words[words[ends]]
     # For each place whether the phrase of the length before that ends here is proposed.
     in_new = (new.has(1, of_words) & is_word)[words]
     in_old = (old.has(1, of_words) & is_word)[words] if old else np.zeros(len(words), bool)
     hashes = of_words[words]
     for n in range(2, lengths.stop):
         ends = np.flatnonzero(in_new[:-1] & in_new[1:]) + 1
-        if n in lengths:
-            asked = ends[own[ends] & ~(in_old[ends - 1] & in_old[ends])]
-            yield n, *_counts_at(asked, n, words, vocabulary)
-        if n == LONGEST or not len(ends):
-            return
         longer = followed(hashes[ends - 1], of_words[words[ends]])
         was_old = in_old[ends - 1] & in_old[ends]
+        if n in lengths:
+            asked = own[ends] & ~was_old
+            yield n, ends[asked], longer[asked]
         in_new, in_old = np.zeros(len(words), bool), np.zeros(len(words), bool)
-        in_new[ends] = new.has(n, longer)
-        if old:
-            in_old[ends] = was_old & old.has(n, longer)
+        if n < LONGEST:
+            in_new[ends] = new.has(n, longer)
+            if old:
+                in_old[ends] = was_old & old.has(n, longer)
         hashes = np.zeros(len(words), np.uint64)
         hashes[ends] = longer
 
 
-def _counts_at(ends: np.ndarray, n: int, words: np.ndarray, vocabulary: pa.Array) -> tuple[pa.Array, np.ndarray]:
+def counts_at(ends: np.ndarray, n: int, numbers: np.ndarray, vocabulary: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """The different phrases of ``n`` words that end at some places, and how often."""
+    words = np.where(numbers >= 0, numbers, ~numbers)
+    if n == 1:
+        first, counts = np.unique(words[ends], return_counts=True)
+        return vocabulary.take(pa.array(first)), counts
     keys = words[ends - n + 1].astype(np.int64)
     for back in range(n - 2, -1, -1):
         _, first, keys, counts = np.unique(
@@ -225,30 +234,87 @@ def _counts_at(ends: np.ndarray, n: int, words: np.ndarray, vocabulary: pa.Array
     return pc.binary_join_element_wise(*texts, " "), counts
 
 
-def counted(chunks: DataFrame, old: Proposed | None, new: Proposed, lengths: range, least: int) -> DataFrame:
-    """Counts of at least ``least`` over all chunks; see ``count_chunk``."""
+def _chunks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Array, np.ndarray]]:
+    for batch in batches:
+        for lang, vocabulary, numbers in zip(*batch.columns):
+            yield lang.as_py(), vocabulary.values, numbers.values.to_numpy()
+
+
+def reaching(chunks: DataFrame, new: Proposed, lengths: range, least: int) -> np.ndarray:
+    """A bit map of hashes, of ``BUCKETS`` bits: without a phrase's bit it can't occur ``least`` times.
+
+    Each task counts its phrases by hash, up to ``least`` (more can't matter); the counts of
+    all tasks are added up, and hashes that reach ``least`` keep their bit.
+    """
     spark = chunks.sparkSession
-    out, shared = _schema(COUNTS, spark), spark.sparkContext.broadcast((old, new))
+    shared, kind = spark.sparkContext.broadcast(new), np.min_scalar_type(least)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(BUCKETS, kind)
+        for chunk in _chunks_of(batches):
+            for _, _, hashes in countable(*chunk, None, shared.value, lengths):
+                at, often = np.unique(bits_of(hashes, BUCKETS), return_counts=True)
+                counts[at] = np.minimum(counts[at] + often, least)
+        for block, part in enumerate(np.split(counts, BUCKETS // BLOCK)):
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([part.tobytes()])], ["block", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, total = None, np.zeros(BLOCK, np.int64)
+
+        def full() -> pa.RecordBatch:
+            bits = np.packbits(total >= least, bitorder="little").tobytes()
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([bits])], ["block", "counts"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lang, vocabulary, numbers in zip(*batch.columns):
-                lang = lang.as_py()
-                for n, phrases, counts in count_chunk(
-                    lang, vocabulary.values, numbers.values.to_numpy(), *shared.value, lengths
-                ):
-                    for i in range(0, len(counts), 1 << 16):
-                        some = counts[i : i + (1 << 16)]
-                        columns = [
-                            pa.array([lang] * len(some)),
-                            pa.array(np.full(len(some), n, np.int32)),
-                            phrases.slice(i, len(some)),
-                            pa.array(some.astype(np.int64)),
-                        ]
-                        yield pa.RecordBatch.from_arrays(columns, schema=out)
+            for one, counts in zip(*batch.columns):
+                if one.as_py() != block:
+                    if block is not None:
+                        yield full()
+                    block, total = one.as_py(), np.zeros(BLOCK, np.int64)
+                total += np.frombuffer(counts.as_py(), kind)
+        if block is not None:
+            yield full()
+
+    parts = chunks.select("lang", "vocabulary", "numbers").mapInArrow(count, "block int, counts binary")
+    sums = parts.repartition("block").sortWithinPartitions("block").mapInArrow(add, "block int, counts binary")
+    out = np.zeros(BUCKETS // 8, np.uint8)
+    for row in sums.collect():  # BUCKETS bits at most
+        out[row.block * BLOCK // 8 : (row.block + 1) * BLOCK // 8] = np.frombuffer(row.counts, np.uint8)
+    shared.unpersist()
+    return out
+
+
+def counted(
+    chunks: DataFrame, old: Proposed | None, new: Proposed, lengths: range, least: int, reached: np.ndarray | None = None
+) -> DataFrame:
+    """Counts of at least ``least`` over all chunks of what :func:`countable` gives, a written
+    table; phrases without a bit in ``reached`` are passed over."""
+    spark = chunks.sparkSession
+    out, shared = _schema(COUNTS, spark), spark.sparkContext.broadcast((old, new, reached))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        old, new, reached = shared.value
+        for lang, vocabulary, numbers in _chunks_of(batches):
+            for n, ends, hashes in countable(lang, vocabulary, numbers, old, new, lengths):
+                if reached is not None:
+                    ends = ends[has_bit(reached, hashes)]
+                phrases, counts = counts_at(ends, n, numbers, vocabulary)
+                for i in range(0, len(counts), 1 << 16):
+                    some = counts[i : i + (1 << 16)]
+                    columns = [
+                        pa.array([lang] * len(some)),
+                        pa.array(np.full(len(some), n, np.int32)),
+                        phrases.slice(i, len(some)),
+                        pa.array(some.astype(np.int64)),
+                    ]
+                    yield pa.RecordBatch.from_arrays(columns, schema=out)
 
     rows = chunks.select("lang", "vocabulary", "numbers").mapInArrow(run, COUNTS)
-    return rows.groupBy("lang", "n", "phrase").agg(F.sum("count").alias("count")).filter(F.col("count") >= least)
+    sums = rows.groupBy("lang", "n", "phrase").agg(F.sum("count").alias("count")).filter(F.col("count") >= least)
+    table = written(sums, "phrase-counts")
+    shared.unpersist()
+    return table
 
 
 def proposed(frequent: DataFrame, n_bits: int) -> Proposed:
@@ -308,7 +374,9 @@ def frequent_phrases(
     result = None
     while True:
         lengths = range(1 if old is None else 2, LONGEST + 1)
-        found = written(counted(texts, old, new, lengths, support), "phrase-counts")
+        # The first pass meets far more phrases of the border than can be frequent.
+        reached = reaching(texts, new, lengths, support) if old is None else None
+        found = counted(texts, old, new, lengths, support, reached)
         result = found if result is None else result.unionByName(found)
         known = proposed(found, sizes.bits)
         grown = new.joined(known)

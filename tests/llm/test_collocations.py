@@ -54,7 +54,7 @@ def test_query_equals_brute_force(spark, sf_dir):
 
 
 @pytest.mark.parametrize(
-    ("sample", "chunk", "part", "bits"), [(0.02, 1 << 21, 1 << 20, 1 << 15), (0.3, 200, 25, 1 << 15), (0.0, 5000, 1 << 20, 1 << 18)]
+    ("sample", "chunk", "part", "bits"), [(0.02, 1 << 21, 1 << 20, 1 << 15), (0.3, 200, 25, 1 << 8), (0.0, 5000, 1 << 20, 1 << 12)]
 )
 def test_any_sample_chunks_and_bit_maps(spark, sf_dir, sample, chunk, part, bits):
     """A poor sample needs passes, short chunks need context, a small map has collisions."""
