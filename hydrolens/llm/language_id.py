@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hydrolens.llm.tables import hidden
+
 DIMS = 1 << 13
 CLUSTERS = 4
 SAMPLE = 600
@@ -178,9 +180,9 @@ def identify(
             yield pd.DataFrame(out, columns=["lang", "score", "rejected"])
 
     found = predicted(F.col(text_col).cast("string"))
-    return docs.withColumns({"__found": found}).withColumns(
-        {lang_col: F.col("__found.lang"), score_col: F.col("__found.score"), rejected_col: F.col("__found.rejected")}
-    ).drop("__found")
+    own = hidden(docs, "found")
+    results = {lang_col: "lang", score_col: "score", rejected_col: "rejected"}
+    return docs.withColumns({own: found}).withColumns({name: F.col(own)[part] for name, part in results.items()}).drop(own)
 
 
 def held_out(id_col: str = "doc_id"):

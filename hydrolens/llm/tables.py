@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from hydrolens.session import written
 
-__all__ = ["fold", "hidden", "lower_ascii", "table", "written"]
+__all__ = ["fold", "hidden", "hidden_prefix", "lower_ascii", "table", "written"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -35,3 +35,11 @@ def hidden(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = "_" + name
     return name
+
+
+def hidden_prefix(df: DataFrame) -> str:
+    """A beginning that no column's name has."""
+    prefix = "_"
+    while any(column.startswith(prefix) for column in df.columns):
+        prefix += "_"
+    return prefix

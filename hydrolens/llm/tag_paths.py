@@ -13,16 +13,18 @@ holds ``main``, articles that are half of the content, or most of the content ar
 (what is named as comments only if it holds all); names like ``no-sidebar`` mark nothing.
 ``main``, and articles that are most of the page, take part within other boilerplate too. The
 content's containers are the articles and ``main`` that hold content paths (of several in
-one article or ``main`` what is around them all), or else the deepest element around all
-content and the articles there are. All texts in them that aren't set apart so are
-returned, short ones too. Where an article or ``main`` holds content, nothing outside them is.
+one article or ``main`` what is around them all), or else the deepest element around the
+surest content (by a higher threshold) and the articles there are. Of the texts in them that
+aren't set apart so, those on content paths are returned, and paragraphs and headings, short
+ones too. Where an article or ``main`` holds content, nothing outside them is. A paragraph
+whose class is all of such words (``cookie-notice``) is set apart as well.
 
 A block is what stands between the borders of block elements. In a block, white space
 (a ``br`` too) becomes one space.
 
 Defined cases: a null or empty page has an empty text; broken markup is read leniently
-(unclosed elements end with their parent or where the next of their kind begins); equal
-ratios are equally content; rows are independent, so repeated rows get equal results and
+(unclosed elements end with their parent or where the next of their kind begins), and any
+page, however long and broken, in time in proportion to its length; equal ratios are equally content; rows are independent, so repeated rows get equal results and
 null ids and urls pass through; an empty table gives an empty table. Results have the
 columns named here only, so extra columns can't clash.
 """
@@ -353,7 +355,7 @@ def containers(content: list[Text], nodes: list[Text], threshold: float, element
     # Short articles beside long other texts count too.
     given = [node.element for node in nodes if node.element.outer and node.element.outer.name == "article"]
     # What is little above the threshold, or lifted by its neighbours, doesn't widen the container.
-    core = CORE / THRESHOLD * threshold
+    core = threshold * CORE / THRESHOLD
     surest = [node for node in content if node.score >= core] or content
     given += [node.element for node in surest if node.ratio >= core] or [node.element for node in surest]
     if not given:
@@ -371,13 +373,18 @@ def main_text(page: str | None) -> str:
     chosen = containers(content, nodes, threshold, elements)
     for element in elements:  # parents come first
         element.chosen = element in chosen or bool(element.above and element.above.chosen)
-    paths = {node.element.path for node in content}
+    sums: dict[int, list[float]] = defaultdict(lambda: [0.0, 0])
+    for node in nodes:  # a path counts by all its texts, so that a neighbour lifts none alone
+        sums[node.element.path][0] += node.score
+        sums[node.element.path][1] += 1
+    paths = {path for path, (total, n) in sums.items() if total >= n * threshold}
     blocks: dict[int, list[Text]] = {}
     for node in found:
         if node.element.chosen and not node.element.apart:
             blocks.setdefault(node.block, []).append(node)
-    # A block is content if a text of it lies on a content path, or if it is a heading.
-    kept = (part for part in blocks.values() if any(n.element.path in paths or n.element.block.name in HEADINGS for n in part))
+    # A block is content if a text of it lies on a content path, or if it is a heading or paragraph.
+    named = HEADINGS | {"p"}
+    kept = (part for part in blocks.values() if any(n.element.path in paths or n.element.block.name in named for n in part))
     lines = (" ".join("".join(node.text for node in part).split()) for part in kept)
     return "\n".join(line for line in lines if line)
 

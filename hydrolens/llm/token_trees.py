@@ -32,6 +32,8 @@ import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hydrolens.llm.tables import hidden
+
 LEAF = 32  # pre-tokens of a new leaf
 SPLIT = 4 * LEAF  # pre-tokens from which a leaf is split
 LOOKAHEAD = 2
@@ -169,8 +171,9 @@ def with_trees(docs: DataFrame, path: str, pattern: str, text_col: str = "text")
             tokens = pa.array([tokens for _, tokens in trees], pa.list_(pa.int32()))
             yield pa.StructArray.from_arrays([chars, tokens], ["leaf_chars", "leaf_tokens"])
 
-    tree = docs.withColumn("__tree", grown(F.col(text_col).cast("string")))
-    return tree.withColumns({name: F.col("__tree")[name] for name in ("leaf_chars", "leaf_tokens")}).drop("__tree")
+    own = hidden(docs, "tree")
+    tree = docs.withColumn(own, grown(F.col(text_col).cast("string")))
+    return tree.withColumns({name: F.col(own)[name] for name in ("leaf_chars", "leaf_tokens")}).drop(own)
 
 
 def edited(

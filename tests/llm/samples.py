@@ -10,7 +10,8 @@ DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns whose names operators use for their own results or on the way.
 CLASHING = (
     "fp fingerprint component_id shard slot rank row rejected score lang_pred kept reason n_words w seed diagonal own "
-    "labels ids leaf_chars script host path template purity part bad n a b root least draw dim".split()
+    "labels ids leaf_chars script host path template purity part bad n a b root least draw dim "
+    "found tree __found __tree __lang __score __rejected __kept __n_words __id __hash __n __leak_id __leak_hash _ item at".split()
 )
 LONG = "Lorem ipsum dolor sit amet. " * 40_000
 

@@ -3,7 +3,7 @@ from hydrolens.llm import piece_codec
 from hydrolens.llm.queries import PIECES
 from hydrolens.llm.tables import table, written
 from tests.helpers import rows
-from tests.llm.samples import nothing, odd
+from tests.llm.samples import CLASHING, nothing, odd
 from tests.llm.test_decision_list import counts
 from tests.llm.test_decontaminate import holds
 from tests.llm.test_simhash_ball import connected, fingerprint
@@ -47,6 +47,7 @@ def test_odd_rows(spark, sf_dir):
         found = run(spark, docs, sf_dir)
         if name != "pieces":
             assert found.columns == docs.columns
+            assert found.select(*CLASHING).distinct().collect() == [("x",) * len(CLASHING)]  # all values as they were
         assert found.count() <= docs.count()
 
 

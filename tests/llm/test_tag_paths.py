@@ -1,6 +1,8 @@
 import html
 import re
+import time
 
+import pyarrow.parquet as pq
 import pytest
 
 from hydrolens.llm import tag_paths
@@ -27,6 +29,56 @@ def test_query_equals_the_articles(spark, sf_dir):
         assert row.n_chars == len(row.text)
 
 
+def stripped(page, tags):
+    """The page without class, id and role, its elements of these names as plain ones."""
+    page = re.sub(rf"<(/?)(?:{tags})\b[^>]*>", r"<\1div>", page)
+    return re.sub(r"\s(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)", "", page)
+
+
+@pytest.mark.parametrize("tags", ["article|main", "article|main|nav|header|footer|aside|section|form|menu"])
+def test_ratios_find_the_articles_without_names(monkeypatch, tags):
+    """Nothing names the parts of these pages; without the ratios no article is right."""
+    pages = [p["html"] for p in pq.read_table("/root/testdata/sf0.01/pages.parquet", columns=["html"]).to_pylist()]
+    right = sum(main_text(stripped(page, tags)) == article(page) for page in pages)
+    assert right >= 0.94 * len(pages)
+    monkeypatch.setattr(tag_paths, "KERNEL", (0, 0, 0))  # no scores, so all texts are equal
+    assert sum(main_text(stripped(page, tags)) == article(page) for page in pages) == 0
+
+
+@pytest.mark.parametrize(
+    "part",
+    ["<a ", "<b>x", "<!", "<", '<a "', "<a '>", "<a \"'> ", "</i>", "<i><p><b>", "<b><li></li>", "<div>", "<svg ", "<td><b>", "<div class=ad>x</div>"],
+)
+def test_broken_pages_take_time_in_proportion(part):
+    def seconds(n):
+        start = time.process_time()
+        main_text(part * (n // len(part)))
+        main_text(part * (n // 2 // len(part)) + "</i></b>" * (n // 16))
+        return time.process_time() - start
+
+    seconds(10_000)
+    assert seconds(400_000) < 16 * max(seconds(50_000), 0.05)
+
+
+def test_one_wide_chain_of_inline_elements():
+    n = 30_000
+    for page in ("<b>" * n + "</i>" * n + "<p>" * n, "<i><p>" + "<b>" * n + "</i>" * n, "<b>" * n + "<li></li>" * n):
+        start = time.process_time()
+        main_text(page)
+        assert time.process_time() - start < 20
+
+
+@pytest.mark.parametrize("name", ["advert", "cookie-notice", "share", "newsletter subscribe"])
+def test_paragraphs_named_as_boilerplate_go(name):
+    assert main_text(f"<article><p>{PROSE}</p><p class='{name}'>Buy this now!</p><p class='lead-share'>{PROSE}</p></article>") == f"{PROSE}\n{PROSE}"
+
+
+def test_blocks_off_the_content_paths_go():
+    links = "<div><a>Home</a></div><div><a>About</a></div><div><a>Read more</a> | <a>Share</a></div>"
+    assert main_text(f"<article><h2>Head</h2><p>{PROSE * 3}</p><p>{PROSE * 3}</p>{links}{links}</article>").startswith(f"Head\n{PROSE * 3}")
+    assert "About" not in main_text(f"<article><h2>Head</h2><p>{PROSE * 3}</p><p>{PROSE * 3}</p>{links}{links}</article>")
+
+
 PROSE = "This is a sentence, and here is another one; both are long enough."
 
 
