@@ -21,22 +21,24 @@ from pyspark.sql import functions as F
 
 from hydrolens.llm import decision_list, decontaminate, language_id, piece_codec, simhash_ball
 from hydrolens.llm.queries import PIECES
-from hydrolens.llm.tables import table, written
+from hydrolens.llm.tables import hidden_prefix, table, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language_id.train(language_id.learning_rows(docs))
-    found = language_id.identify(docs, model, lang_col="__lang", score_col="__score", rejected_col="__rejected")
-    return found.filter(~F.col("__rejected")).select(*docs.columns)
+    p = hidden_prefix(docs)
+    found = language_id.identify(docs, model, lang_col=f"{p}lang", score_col=f"{p}score", rejected_col=f"{p}rejected")
+    return found.filter(~F.col(f"{p}rejected")).select(*docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # Written once: learning reads the measures, filtering the texts beside them.
-    rows = written(decision_list.measured(docs, prefix="__"), "quality-rows")
-    measures = rows.select("doc_id", *[F.col(f"__{name}").alias(name) for name in decision_list.MEASURES])
+    p = hidden_prefix(docs)
+    rows = written(decision_list.measured(docs, prefix=p), "quality-rows")
+    measures = rows.select("doc_id", *[F.col(f"{p}{name}").alias(name) for name in decision_list.MEASURES])
     passed = measures.filter(~decision_list.base_failed())
     rules = decision_list.learn(passed, table(spark, sf_dir, "labels"))
-    return decision_list.judge(rows, rules, prefix="__").filter("__kept").select(*docs.columns)
+    return decision_list.judge(rows, rules, prefix=p).filter(F.col(f"{p}kept")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
