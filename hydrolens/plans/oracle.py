@@ -652,3 +652,10 @@ for _name in (
 ORACLE["offline_spans_stream"] = ORACLE["offline_spans"].replace(
     "TIMESTAMP '2024-01-30 12:00:00'", "(SELECT max(ts) FROM readings)"
 )
+ORACLE["temp_ranking_stream"] = _sql(
+    _READING_CTES,
+    """SELECT device_id, 'reading:' || CAST(epoch_us(ts) // 1000 AS VARCHAR) AS id, arg_max(temperature, seq) AS temperature
+FROM (SELECT device_id, ts, seq, temperature FROM readings
+      UNION ALL SELECT device_id, ts, seq + 1000000000000, temperature - 20 FROM readings WHERE seq % 3 = 0)
+GROUP BY device_id, epoch_us(ts) // 1000 ORDER BY temperature DESC, id DESC, device_id DESC LIMIT 10""",
+)

@@ -17,7 +17,7 @@ from hydrolens.operators import alerts, rollup
 from hydrolens.plans.queries import _KPI_DOUBLES, RULES, SILENCE, Query, present
 from hydrolens.sources import events_views as views
 from hydrolens.sources import readings as source
-from hydrolens.streaming import kpis, sinks, state
+from hydrolens.streaming import kpis, ranking, sinks, state
 
 
 # Devices report every few hours here, so a bucket spans days instead of minutes.
@@ -83,6 +83,14 @@ def pump_actions_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return present(sinks.run_to_table(actions, "actions").filter(F.col("action") != state.LATE))
 
 
+def temp_ranking_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores that are replaced by lower ones, in files with rows out of order."""
+    folder, _ = views.scattered(spark, sf_dir, 4)
+    rows = views.corrected(views.readings(spark, sf_dir, folder=folder).filter("seq is not null"))
+    tops = sinks.run_to_upserted(ranking.bucket_tops(rows), "ranking", ranking.KEYS)
+    return ranking.ranking(tops)
+
+
 STREAMS: dict[str, Query] = {
     "hourly_kpis_stream": hourly_kpis_stream,
     "kpi_keyed_stream": kpi_keyed_stream,
@@ -93,4 +101,5 @@ STREAMS: dict[str, Query] = {
     "latest_state_stream": latest_state_stream,
     "offline_spans_stream": offline_spans_stream,
     "pump_actions_stream": pump_actions_stream,
+    "temp_ranking_stream": temp_ranking_stream,
 }
