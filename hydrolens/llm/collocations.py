@@ -60,7 +60,7 @@ class Sizes:
 
 SIZES = Sizes()
 
-CHUNK = "lang string, sampled boolean, n long, vocabulary array<string>, numbers array<int>"
+CHUNK = "lang string, n long, sampled int, vocabulary array<string>, numbers array<int>"
 COUNTS = "lang string, n int, phrase string, count long"
 
 MARK = b"."  # stands for all marks that end a piece, and is in no word
@@ -91,18 +91,17 @@ def slices(text: bytes, size: int) -> Iterator[list[bytes]]:
 
 
 class Chunk:
-    """Numbered words of many texts of one language."""
+    """Numbered words of many texts of one language; those of sampled texts come first."""
 
     def __init__(self):
-        self.numbers, self.parts, self.size = Numbers(), [], 0
+        self.numbers, self.parts = Numbers(), {True: [], False: []}
 
-    def add(self, words: list[bytes], context: list[bytes]) -> None:
+    def add(self, words: list[bytes], context: list[bytes], sampled: bool) -> None:
         number = self.numbers.__getitem__
         before = ~np.fromiter(map(number, context), np.int32, len(context))
         own = np.fromiter(map(number, words), np.int32, len(words))
         # A mark at the end, and none within the context (~0 is a mark there).
-        self.parts += [before, own, np.zeros(1, np.int32)]
-        self.size += len(context) + len(words) + 1
+        self.parts[sampled] += [before, own, np.zeros(1, np.int32)]
 
 
 def _schema(ddl: str, spark) -> pa.Schema:
@@ -112,25 +111,26 @@ def _schema(ddl: str, spark) -> pa.Schema:
 
 
 def chunks(docs: DataFrame, lang_col: str, text_col: str, sample: float, sizes: Sizes = SIZES) -> DataFrame:
-    """The words of all texts as numbers; a chunk is all sampled or not at all."""
+    """The words of all texts as numbers; the first ``sampled`` are those of the sample."""
     out = _schema(CHUNK, docs.sparkSession)
 
     def rows(open_chunks: dict) -> Iterator[pa.RecordBatch]:
-        for (lang, sampled), chunk in open_chunks.items():
+        for lang, chunk in open_chunks.items():
             vocabulary = pa.array(list(chunk.numbers), pa.binary()).cast(pa.string())
-            numbers = np.concatenate(chunk.parts)
+            numbers = np.concatenate([*chunk.parts[True], *chunk.parts[False]])
             own = pa.array([int((numbers > 0).sum())])
-            columns = [pa.array([lang]), pa.array([sampled]), own, _one(vocabulary), _one(pa.array(numbers))]
+            sampled = pa.array([sum(map(len, chunk.parts[True]))], pa.int32())
+            columns = [pa.array([lang]), own, sampled, _one(vocabulary), _one(pa.array(numbers))]
             yield pa.RecordBatch.from_arrays(columns, schema=out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_chunks, size = {}, 0
         for batch in batches:
             for lang, sampled, text in zip(*batch.columns):
-                key, context = (lang.as_py(), sampled.as_py()), []
+                context = []
                 for words in slices(text.as_py(), sizes.slice_bytes):
-                    chunk = open_chunks.setdefault(key, Chunk())
-                    chunk.add(words, context)
+                    chunk = open_chunks.setdefault(lang.as_py(), Chunk())
+                    chunk.add(words, context, sampled.as_py())
                     size += len(words)
                     context = (context + words)[1 - LONGEST :]
                     if size >= sizes.chunk_words:
@@ -150,9 +150,18 @@ def _one(values: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
-def word_hashes(lang: str, words: list[bytes]) -> np.ndarray:
-    seed = xxhash.xxh64_intdigest(lang.encode(), SEED)
-    return np.fromiter((xxhash.xxh64_intdigest(word, seed) for word in words), np.uint64, len(words))
+def word_hashes(lang: str, words: pa.Array) -> np.ndarray:
+    """Hashes of strings: polynomials of their bytes, and the language. A hash only decides
+    where a bit lies, so nothing depends on how well it spreads but time."""
+    ends = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1, 4 * words.offset).astype(np.int64)
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    starts, lengths = ends[:-1] - ends[0], np.diff(ends)
+    within = np.arange(len(data)) - np.repeat(starts, lengths)
+    longest = int(lengths.max(initial=0))
+    powers = np.cumprod(np.full(longest + 1, 0x9E3779B97F4A7C15, np.uint64), dtype=np.uint64)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data + np.uint64(1)) * powers[within], dtype=np.uint64)])
+    seed = np.uint64(xxhash.xxh64_intdigest(lang.encode(), SEED))
+    return followed(np.full(len(words), seed), sums[starts + lengths] - sums[starts])
 
 
 def followed(phrases: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -194,7 +203,7 @@ def countable(
     and these phrases' hashes; with no ``old`` all that ``new`` makes countable, and single words."""
     own = numbers >= 0
     words = np.where(own, numbers, ~numbers)
-    of_words = word_hashes(lang, vocabulary.cast(pa.binary()).to_pylist())
+    of_words = word_hashes(lang, vocabulary)
     is_word = np.arange(len(vocabulary)) > 0
     if old is None and 1 in lengths:
         ends = np.flatnonzero(own & (words > 0))
@@ -234,10 +243,11 @@ def counts_at(ends: np.ndarray, n: int, numbers: np.ndarray, vocabulary: pa.Arra
     return pc.binary_join_element_wise(*texts, " "), counts
 
 
-def _chunks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Array, np.ndarray]]:
+def _chunks_of(batches: Iterator[pa.RecordBatch], sample: bool = False) -> Iterator[tuple[str, pa.Array, np.ndarray]]:
     for batch in batches:
-        for lang, vocabulary, numbers in zip(*batch.columns):
-            yield lang.as_py(), vocabulary.values, numbers.values.to_numpy()
+        for lang, sampled, vocabulary, numbers in zip(*batch.columns):
+            numbers = numbers.values.to_numpy()
+            yield lang.as_py(), vocabulary.values, numbers[: sampled.as_py()] if sample else numbers
 
 
 def reaching(chunks: DataFrame, new: Proposed, lengths: range, least: int) -> np.ndarray:
@@ -276,7 +286,7 @@ def reaching(chunks: DataFrame, new: Proposed, lengths: range, least: int) -> np
         if block is not None:
             yield full()
 
-    parts = chunks.select("lang", "vocabulary", "numbers").mapInArrow(count, "block int, counts binary")
+    parts = chunks.select("lang", "sampled", "vocabulary", "numbers").mapInArrow(count, "block int, counts binary")
     sums = parts.repartition("block").sortWithinPartitions("block").mapInArrow(add, "block int, counts binary")
     out = np.zeros(BUCKETS // 8, np.uint8)
     for row in sums.collect():  # BUCKETS bits at most
@@ -286,7 +296,8 @@ def reaching(chunks: DataFrame, new: Proposed, lengths: range, least: int) -> np
 
 
 def counted(
-    chunks: DataFrame, old: Proposed | None, new: Proposed, lengths: range, least: int, reached: np.ndarray | None = None
+    chunks: DataFrame, old: Proposed | None, new: Proposed, lengths: range, least: int, reached: np.ndarray | None = None,
+    sample: bool = False,
 ) -> DataFrame:
     """Counts of at least ``least`` over all chunks of what :func:`countable` gives, a written
     table; phrases without a bit in ``reached`` are passed over."""
@@ -295,7 +306,7 @@ def counted(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         old, new, reached = shared.value
-        for lang, vocabulary, numbers in _chunks_of(batches):
+        for lang, vocabulary, numbers in _chunks_of(batches, sample):
             for n, ends, hashes in countable(lang, vocabulary, numbers, old, new, lengths):
                 if reached is not None:
                     ends = ends[has_bit(reached, hashes)]
@@ -310,7 +321,7 @@ def counted(
                     ]
                     yield pa.RecordBatch.from_arrays(columns, schema=out)
 
-    rows = chunks.select("lang", "vocabulary", "numbers").mapInArrow(run, COUNTS)
+    rows = chunks.select("lang", "sampled", "vocabulary", "numbers").mapInArrow(run, COUNTS)
     sums = rows.groupBy("lang", "n", "phrase").agg(F.sum("count").alias("count")).filter(F.col("count") >= least)
     table = written(sums, "phrase-counts")
     shared.unpersist()
@@ -324,10 +335,10 @@ def proposed(frequent: DataFrame, n_bits: int) -> Proposed:
         for batch in batches:
             found = []
             for lang, phrase in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
-                first, *others = word_hashes(lang, phrase.encode().split(b" "))
-                hashed = np.array([first], np.uint64)
-                for other in others:
-                    hashed = followed(hashed, other)
+                words = word_hashes(lang, pa.array(phrase.split(" ")))
+                hashed = words[:1]
+                for i in range(1, len(words)):
+                    hashed = followed(hashed, words[i : i + 1])
                 found.append(int(bits_of(hashed, n_bits)[0]))
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.int64())], ["n", "bit"])
 
@@ -347,9 +358,9 @@ def proposed(frequent: DataFrame, n_bits: int) -> Proposed:
 
 def sample_proposal(chunks: DataFrame, least: int, bits: int) -> Proposed:
     """What is frequent in the sampled chunks, one length after the other."""
-    sampled, found = chunks.filter("sampled"), Proposed.none(bits)
+    found = Proposed.none(bits)
     for n in range(1, LONGEST):
-        found = found.joined(proposed(counted(sampled, None, found, range(n, n + 1), least), bits))
+        found = found.joined(proposed(counted(chunks, None, found, range(n, n + 1), least, sample=True), bits))
     return found
 
 
@@ -373,7 +384,8 @@ def frequent_phrases(
     new, old = sample_proposal(texts, least, sizes.bits), None
     result = None
     while True:
-        lengths = range(1 if old is None else 2, LONGEST + 1)
+        # Phrases that became proposed make longer ones countable.
+        lengths = range(1 if old is None else 2 + next(i for i, n in enumerate(failures) if n), LONGEST + 1)
         # The first pass meets far more phrases of the border than can be frequent.
         reached = reaching(texts, new, lengths, support) if old is None else None
         found = counted(texts, old, new, lengths, support, reached)
