@@ -9,7 +9,7 @@ all labelled rows, so the driver sees a few hundred numbers however many rows.
 
 Everything runs in DataFrame expressions, row by row over whole texts.
 
-Defined cases: a null text has no words; a feature without a value (a share of
+Defined cases: a null text has no words; very long texts are measured whole; a feature without a value (a share of
 nothing) is null and meets no condition; rows with a null label or id teach nothing;
 of several labels of an id the lowest counts; without labels of both kinds the list
 is empty and accepts all; repeated rows get equal results; an empty table gives an

@@ -12,7 +12,7 @@ hashes of id and text, so the fit is the same however rows are dealt.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0, and
 rejected; so is every text if there is nothing to learn from; rows with a null label
-are not learnt from; a null id is neither learnt from nor held out; ties go to the
+are not learnt from; all grams of very long texts count; a null id is neither learnt from nor held out; ties go to the
 alphabetically first language; repeated rows get equal results; an empty table gives
 an empty table. ``identify`` hands on all columns and takes the names of its own from
 the caller, so that none need clash.

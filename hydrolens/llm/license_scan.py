@@ -12,7 +12,7 @@ are looked for in the words joined by spaces, so marks and line ends don't matte
 
 Defined cases: a null text counts as empty; texts without words have no labels and
 score 0; notices that overlap are all reported, of one notice's overlapping spans the
-one with fewest errors, then the first; rows are independent, so repeated rows get
+one with fewest errors, then the first; very long texts are scanned whole; rows are independent, so repeated rows get
 equal results and a null id passes through; an empty table gives an empty table.
 Results have the columns named here only, so extra columns can't clash.
 """

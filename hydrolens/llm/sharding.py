@@ -20,7 +20,7 @@ follows reads the written table.
 
 Defined cases: a null text has no bytes and equals an empty one; null ids pass through;
 repeated rows are rows of their own, linked as equal texts; with fewer rows than shards
-some stay empty; of equally wanted shards the own one wins, then the lowest; an empty
+some stay empty; a very long text is one row like any other; of equally wanted shards the own one wins, then the lowest; an empty
 table gives an empty table. Results have the columns named here only, so extra columns
 can't clash.
 """

@@ -16,7 +16,7 @@ classes follows the number of distinct fingerprints, so a class has at most
 
 Defined cases: a null text counts as empty; texts without words have fingerprint
 zero, which links like any other; a text with fewer words than a shingle is one
-shingle; a null id gets the smallest id of its component, null if there is none;
+shingle; of very long texts all shingles count, some 65,000 at a time; a null id gets the smallest id of its component, null if there is none;
 repeated rows get equal results; an empty table gives an empty table. Results have
 the columns named here only, so extra columns can't clash.
 """

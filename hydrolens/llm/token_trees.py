@@ -15,7 +15,8 @@ Trees are two array columns beside the text (characters and tokens of each leaf)
 can be stored with the documents. Edits of a document are its script, an array in order; each
 position counts code points of the text as the edits before have left it.
 
-Defined cases: a null text counts as empty, a null script as no edits; positions and
+Defined cases: a null text counts as empty, a null script as no edits; very long texts have
+larger trees, whose edits still touch few leaves; positions and
 lengths beyond the text are cut to it; a null insertion is empty; rows are independent, so
 repeated rows get equal results and null ids pass through; an empty table gives an empty
 table. ``with_trees`` replaces columns of the names it adds; all else is handed on.

@@ -12,7 +12,7 @@ Everything is DataFrame expressions; siblings that are not wildcards are few by
 so no window grows with the data.
 
 Defined cases: a null url or one without ``://`` has an empty host and path and is judged
-like any other; no labelled pages at all: purity one half, which is allowed; of rules of equal
+like any other, as is a very long one; no labelled pages at all: purity one half, which is allowed; of rules of equal
 length the alphabetically first wins; repeated rows get equal results and null ids pass
 through; an empty table gives an empty table. Results have the columns named here only, so
 extra columns can't clash.
