@@ -481,6 +481,7 @@ ORACLE: dict[str, str] = {
   FROM readings""",
     ),
     "hourly_kpis": _sql(_READING_CTES, _HOURLY),
+    "hourly_kpis_merged": _sql(_READING_CTES, _HOURLY),
     "hourly_kpis_by_device": _sql(
         _READING_CTES,
         f"SELECT device_id, {_HOUR}, {_KPIS} FROM readings WHERE {_PLAUSIBLE} "

@@ -243,6 +243,14 @@ def hourly_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return present(rollup.hourly_kpis(views.readings(spark, sf_dir)), *_KPI_DOUBLES)
 
 
+def hourly_kpis_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored partial windows of the first readings, merged with those of a late batch."""
+    rows, late = views.readings(spark, sf_dir), F.col("seq") % 3 == 0
+    stored, batch = (written(rollup.partial_windows(rows.filter(half)), "kpi-partials") for half in (~late, late))
+    merged = rollup.merge_windows(stored.unionByName(batch))
+    return present(rollup.settle_windows(merged), *_KPI_DOUBLES)
+
+
 def hourly_kpis_by_device(spark: SparkSession, sf_dir: str) -> DataFrame:
     kpis = rollup.hourly_kpis(views.readings(spark, sf_dir), by=("device_id",), ordered=False)
     return present(kpis, *_KPI_DOUBLES)
@@ -503,6 +511,7 @@ BATCH: dict[str, Query] = {
     "range_status": range_status,
     "hourly_kpis": hourly_kpis,
     "hourly_kpis_by_device": hourly_kpis_by_device,
+    "hourly_kpis_merged": hourly_kpis_merged,
     "kpi_keyed": kpi_keyed,
     "log_kpis": log_kpis,
     "kpi_job": kpi_job,

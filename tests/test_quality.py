@@ -1,6 +1,7 @@
 """Cleaning, outlier ranges, hourly indicators and bands."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -102,3 +103,29 @@ def test_result_does_not_depend_on_partitions(spark):
     for parts in (2, 8):
         split = rollup.hourly_kpis(df.repartition(parts, F.rand(parts)))
         assert rows(split.select("window_start", F.round("avg_temp", 9), "max_temp")) == rows(whole)
+
+
+@pytest.mark.parametrize("parts", [1, 2, 7])
+@pytest.mark.parametrize("shift", [0.0, 40.0])
+def test_partial_windows_merge_to_the_whole(spark, parts, shift):
+    """Any split, merged in any order and again, gives the indicators of one pass; small
+    deviations from a large mean are not lost."""
+    rng = random.Random(parts)
+    spread = 15.0 if shift == 0 else 1e-6
+    data = [
+        (rng.choice([1, None]), seq, at(rng.uniform(0, 4 * 3600)), shift + rng.uniform(0, spread), rng.choice([None, 40.0, 60.0]), 7.0, 900.0, 5.0)
+        for seq in range(200)
+    ]
+    data += [(1, 999, at(9 * 3600), 20.0, 50.0, 7.0, 900.0, 5.0), (1, 1000, at(9 * 3600), 70.0, 50.0, 7.0, 900.0, 5.0)]
+    readings = spark.createDataFrame(data, READING)
+    for by in ((), ("device_id",)):
+        expected = {row[: len(by) + 1]: row for row in rows(rollup.hourly_kpis(readings, by, ordered=False))}
+        merged = None
+        for part in range(parts):
+            own = rollup.partial_windows(readings.filter(F.col("seq") % parts == part), by)
+            merged = rollup.merge_windows(own if merged is None else merged.unionByName(own), by)
+        found = rows(rollup.settle_windows(merged, by))
+        assert len(found) == len(expected)
+        for row in found:
+            for value, wanted in zip(row, expected[row[: len(by) + 1]]):
+                assert value == wanted or value == pytest.approx(wanted, rel=1e-6)
