@@ -333,14 +333,19 @@ def proposed(frequent: DataFrame, n_bits: int) -> Proposed:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for lang, phrase in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
-                words = word_hashes(lang, pa.array(phrase.split(" ")))
-                hashed = words[:1]
-                for i in range(1, len(words)):
-                    hashed = followed(hashed, words[i : i + 1])
-                found.append(int(bits_of(hashed, n_bits)[0]))
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.int64())], ["n", "bit"])
+            langs, lengths = batch.column(0), batch.column(1).to_numpy()
+            for lang in langs.unique():
+                for n in range(1, LONGEST):
+                    own = pc.and_(pc.equal(langs, lang), pa.array(lengths == n))
+                    words = pc.split_pattern(batch.column(2).filter(own), " ").flatten()
+                    if not len(words):
+                        continue
+                    each = word_hashes(lang.as_py(), words).reshape(-1, n)
+                    hashed = each[:, 0]
+                    for i in range(1, n):
+                        hashed = followed(hashed, each[:, i])
+                    bits = pa.array(bits_of(hashed, n_bits).astype(np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(bits), n, np.int32)), bits], ["n", "bit"])
 
     rows = frequent.select("lang", "n", "phrase").filter(F.col("n") < LONGEST).mapInArrow(run, "n int, bit long")
     # Spark's bit maps number bits from 1 on, in buckets of equal size.

@@ -41,6 +41,8 @@ def test_learned_rules_find_the_bad_rows(spark, sf_dir):
     judged = [row for row in op8_quality(spark, sf_dir).collect() if row.doc_id in labels and not row.base_failed]
     good = [row for row in judged if labels[row.doc_id] == 1]
     assert sum(row.kept for row in good) >= 0.95 * len(good)
+    bad = [row for row in judged if labels[row.doc_id] == 0]
+    assert bad and sum(not row.kept for row in bad) >= 0.9 * len(bad)
 
 
 def test_learning_a_conjunction(spark):

@@ -27,6 +27,16 @@ def test_query(spark, sf_dir):
     law_holds(found, 40)
 
 
+def test_query_keeps_equal_texts_together(spark, sf_dir):
+    """Links join equal texts; those cut are few, since all groups fit a shard."""
+    by_text = defaultdict(list)
+    for row in op3_shards(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").collect():
+        by_text[row.text or ""].append(row.shard)
+    groups = [shards for shards in by_text.values() if 1 < len(shards) <= 5]
+    cut = sum(len(shards) - max(Counter(shards).values()) for shards in groups)
+    assert groups and cut == 0
+
+
 def test_equal_texts_stay_together(spark):
     docs = documents(spark, [(i, f"text {i % 37 if i < 111 else i}") for i in range(400)])
     found = sharding.shard_documents(docs, shards=8).collect()
