@@ -1,11 +1,13 @@
-"""Stateful operators on streams, one state per device.
+"""Stateful operators on streams.
 
-Each gives the rows its batch form gives. With a ``delay`` rows are held in the state, by
-time buckets, until the watermark has passed them; a timer for each bucket gives it
-on, one after the other in the order of time (:class:`InOrder`). So results do not depend
-on how rows are dealt to files, and of two inputs the slower one sets the pace. A row of a
-bucket that its device has already given on is late: it takes no part, and is handed on
-marked as late. Memory is bounded by a bucket.
+Each gives the rows its batch form gives. Devices are dealt to groups by a hash, and a
+group's devices are taken at once: a micro-batch costs some calls a group, not some a device
+(spans offline, which need a timer of each device, go by device). With a ``delay`` rows are
+held in the state, by time buckets, until the watermark has passed them; a timer for each
+bucket gives it on, one after the other in the order of time (:class:`InOrder`). So results
+do not depend on how rows are dealt to files, and of two inputs the slower one sets the pace.
+A row of a bucket that its device has already given on is late: it takes no part, and is
+handed on marked as late. Memory is bounded by a group's rows of a bucket.
 
 Without a delay rows of a micro-batch reach a device unordered and are sorted there; a
 micro-batch is bounded by the source's files-per-trigger limit. What follows from elapsed
@@ -17,7 +19,7 @@ the services.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from decimal import ROUND_HALF_UP, Decimal
 from typing import Protocol
 
@@ -54,21 +56,66 @@ def device_of(key: tuple[str]) -> int | None:
     return int(key[0]) if key[0] else None
 
 
-def with_device(rows: pd.DataFrame, key: tuple[str]) -> pd.DataFrame:
-    return rows.assign(device_id=pd.array([device_of(key)] * len(rows), "Int64"))
+#: Groups that devices are dealt to. Like the state's partitions it is fixed for a stream.
+GROUPS = 256
+# Spark hands rows on as named tuples, which don't keep names that begin with a line.
+DEVICE = "device_text"
 
 
-def rolling_mean(kept: np.ndarray, arrived: np.ndarray, length: int) -> np.ndarray:
-    """Mean of the last values at each arrival, absent ones (nan) left out. Adds from the
-    oldest on, as a row frame does."""
-    padded = np.concatenate([np.full(length - 1 - min(len(kept), length - 1), np.nan), kept[-(length - 1) :] if length > 1 else kept[:0], arrived])
-    total, count = np.zeros(len(arrived)), np.zeros(len(arrived), int)
-    for offset in range(length):
-        values = padded[offset : offset + len(arrived)]
-        present = ~np.isnan(values)
-        total = np.where(present, total + np.where(present, values, 0.0), total)
-        count += present
-    return np.divide(total, count, out=np.full(len(arrived), np.nan), where=count > 0)
+def by_group(rows: DataFrame, groups: int = GROUPS) -> GroupedData:
+    """Grouped by a hash of the device; the device as text goes along."""
+    device = F.coalesce(F.col("device_id").cast("string"), F.lit(""))
+    group = F.pmod(F.xxhash64(DEVICE), F.lit(groups)).cast("int")
+    return rows.withColumn(DEVICE, device).withColumn("_group", group).groupBy("_group")
+
+
+def devices_of(rows: pd.DataFrame, key: tuple) -> pd.Series:
+    """Each row's device as text; rows that don't tell are of the one the key names."""
+    return rows[DEVICE] if DEVICE in rows else pd.Series(str(key[0]), rows.index)
+
+
+def with_device(rows: pd.DataFrame, key: tuple) -> pd.DataFrame:
+    codes, names = pd.factorize(devices_of(rows, key))
+    return rows.assign(device_id=pd.array([device_of((name,)) for name in names], "Int64").take(codes))
+
+
+class Windows:
+    """The last values of each device of a group, kept packed."""
+
+    def __init__(self, names: Sequence[str], length: int):
+        self.names, self.length = list(names), length
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.kept = handle.getValueState("window", "rows binary")
+
+    def means(self, device: pd.Series, values: pd.DataFrame) -> dict[str, np.ndarray]:
+        """Mean of the device's last values at each arrival, absent ones (nan) left out.
+        Adds from the oldest on, as a row frame does."""
+        fresh = values[self.names].astype(float).assign(**{DEVICE: device.astype(object)})
+        kept = _unpacked(bytes(self.kept.get()[0])) if self.kept.exists() else fresh.iloc[:0]
+        known = kept[DEVICE].isin(device.unique()).to_numpy(bool)
+        both = pd.concat([kept[known], fresh], ignore_index=True) if known.any() else fresh.reset_index(drop=True)
+        codes = pd.factorize(both[DEVICE])[0]
+        order = np.argsort(codes, kind="stable")
+        counts = np.bincount(codes)
+        ends = np.repeat(np.cumsum(counts), counts)
+        at = np.arange(len(both))
+        nth = at - (ends - np.repeat(counts, counts))
+        out = {}
+        for name in self.names:
+            line = both[name].to_numpy(float)[order]
+            total, count = np.zeros(len(line)), np.zeros(len(line), int)
+            for back in range(self.length - 1, -1, -1):
+                taken = line[np.maximum(at - back, 0)]
+                present = (nth >= back) & ~np.isnan(taken)
+                total = np.where(present, total + np.where(present, taken, 0.0), total)
+                count += present
+            mean = np.empty(len(line))
+            mean[order] = np.divide(total, count, out=np.full(len(line), np.nan), where=count > 0)
+            out[name] = mean[known.sum() :]
+        last = both.iloc[order[ends - at < self.length]]
+        self.kept.update((_packed(pd.concat([kept[~known], last]) if not known.all() else last),))
+        return out
 
 
 def half_up(value: float, digits: int) -> float:
@@ -108,15 +155,24 @@ def _unpacked(packed: bytes) -> pd.DataFrame:
     return pa.ipc.open_stream(packed).read_pandas()
 
 
+def _by_device(batches: Iterator[pd.DataFrame], *order: str) -> pd.DataFrame:
+    """Rows in order, each device's together."""
+    rows = pd.concat(list(batches), ignore_index=True)
+    if DEVICE not in rows:
+        return rows.sort_values(list(order), kind="stable")
+    nth = pd.factorize(rows[DEVICE])[0]
+    return rows.assign(_nth=nth).sort_values(["_nth", *order], kind="stable").drop(columns="_nth")
+
+
 class Step(Protocol):
-    """What is done with one device's rows."""
+    """What is done with the rows of a group's devices."""
 
     order: tuple[str, ...]
 
     def init(self, handle: StatefulProcessorHandle) -> None: ...
 
     def feed(self, key: tuple, rows: pd.DataFrame) -> pd.DataFrame | None:
-        """Rows in order, following all that were fed before."""
+        """Each device's rows together and in order, following all that were fed before."""
 
     def late(self, key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         """Rows that can't take part any more, as they are told of."""
@@ -132,7 +188,7 @@ class AsArrived(StatefulProcessor):
         self.step.init(handle)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        if (out := self.step.feed(key, _sorted(rows, *self.step.order))) is not None:
+        if (out := self.step.feed(key, _by_device(rows, *self.step.order))) is not None:
             yield out
 
     def close(self) -> None:
@@ -153,14 +209,31 @@ class InOrder(StatefulProcessor):
         self.handle = handle
         self.parts = handle.getMapState("parts", "bucket bigint", "n int")
         self.held = handle.getMapState("held", "bucket bigint, part int", "rows binary")
-        self.passed = handle.getValueState("passed", "bucket bigint")
+        # The newest bucket given on, and that of each device.
+        self.passed = handle.getValueState("passed", "newest bigint, devices binary")
         self.step.init(handle)
 
+    def _passed(self) -> tuple[int | None, pd.Series]:
+        if not self.passed.exists():
+            return None, pd.Series(dtype="int64")
+        newest, devices = self.passed.get()
+        known = _unpacked(bytes(devices))
+        return newest, pd.Series(known["bucket"].to_numpy(), known[DEVICE])
+
+    def _pass(self, key, bucket: int, rows: pd.DataFrame) -> None:
+        newest, known = self._passed()
+        given = pd.Series(bucket, devices_of(rows, key).unique())
+        known = pd.concat([known[~known.index.isin(given.index)], given]) if len(known) else given
+        packed = _packed(pd.DataFrame({DEVICE: known.index.astype(object), "bucket": known.to_numpy()}))
+        self.passed.update((bucket if newest is None else max(newest, bucket), packed))
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        passed = self.passed.get()[0] if self.passed.exists() else None
+        newest = self.passed.get()[0] if self.passed.exists() else None
         for arrived in rows:
             buckets = arrived["at"] // self.width
-            late = buckets.isna() if passed is None else buckets.isna() | (buckets <= passed)
+            late = buckets.isna()
+            if newest is not None and (buckets <= newest).any():
+                late |= buckets <= devices_of(arrived, key).map(self._passed()[1])
             if late.any():
                 yield self.step.late(key, arrived[late])
                 arrived, buckets = arrived[~late], buckets[~late]
@@ -177,11 +250,12 @@ class InOrder(StatefulProcessor):
         for bucket in sorted(bucket for (bucket,) in self.parts.keys() if bucket <= until):
             (n,) = self.parts.getValue((bucket,))
             parts = (_unpacked(bytes(self.held.getValue((bucket, i))[0])) for i in range(n))
-            out = self.step.feed(key, _sorted(parts, *self.step.order))
+            rows = _by_device(parts, *self.step.order)
+            out = self.step.feed(key, rows)
             for i in range(n):
                 self.held.removeKey((bucket, i))
             self.parts.removeKey((bucket,))
-            self.passed.update((bucket,))
+            self._pass(key, bucket, rows)
             if out is not None:
                 yield out
 
@@ -196,20 +270,15 @@ class MovingMean:
     order = ("ts", "seq")
 
     def __init__(self, columns: dict[str, str], length: int, marked: bool):
-        self.columns, self.length, self.marked = columns, length, marked
+        self.columns, self.marked = columns, marked
+        self.windows = Windows(columns, length)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.window = handle.getValueState("window", "last array<array<double>>")
+        self.windows.init(handle)
 
     def feed(self, key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        kept = self.window.get()[0] if self.window.exists() else [[] for _ in self.columns]
-        windows, smoothed = [], {}
-        for (name, out), last in zip(self.columns.items(), kept):
-            before = np.array([np.nan if one is None else one for one in last], float)
-            values = rows[name].to_numpy(float)
-            smoothed[out] = rolling_mean(before, values, self.length)
-            windows.append(np.concatenate([before, values])[-self.length :].tolist())
-        self.window.update((windows,))
+        means = self.windows.means(devices_of(rows, key), rows)
+        smoothed = {out: means[name] for name, out in self.columns.items()}
         return with_device(rows, key).assign(**smoothed, **({LATE: False} if self.marked else {}))
 
     def late(self, key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -224,6 +293,7 @@ def moving_mean(
     digits: int | None = None,
     delay: str | None = None,
     width: str = WIDTH,
+    groups: int = GROUPS,
 ) -> DataFrame:
     """Means over the last readings by arrival, the current one included; with a
     ``delay`` by time, and a column ``late``: true for readings that came too late."""
@@ -232,22 +302,22 @@ def moving_mean(
     step = MovingMean(columns, length, delay is not None)
     schema = T.StructType([*readings.schema.fields, *added])
     if delay is None:
-        smoothed = by_device(readings).transformWithStateInPandas(
+        smoothed = by_group(readings, groups).transformWithStateInPandas(
             AsArrived(step), outputStructType=schema, outputMode="Append", timeMode="None"
         )
     else:
         schema = schema.add("at", T.LongType()).add(LATE, T.BooleanType())
-        smoothed = _in_order(readings.withWatermark("ts", delay), step, schema, width).drop("at")
+        smoothed = _in_order(readings.withWatermark("ts", delay), step, schema, width, groups).drop("at")
     if digits is None:
         return smoothed
     return smoothed.withColumns({out: F.round(out, digits) for out in columns.values()})
 
 
-def _in_order(rows: DataFrame, step: Step, schema: T.StructType | str, width: str) -> DataFrame:
+def _in_order(rows: DataFrame, step: Step, schema: T.StructType | str, width: str, groups: int) -> DataFrame:
     # The column that carries the watermark would let Spark drop late rows unseen.
     unmarked = F.timestamp_micros(F.unix_micros("ts")).alias("ts")
     timed = rows.withColumns({"ts": unmarked, "at": F.unix_micros("ts")})
-    return by_device(timed).transformWithStateInPandas(
+    return by_group(timed, groups).transformWithStateInPandas(
         InOrder(step, width), outputStructType=schema, outputMode="Append", timeMode="EventTime"
     )
 
@@ -334,40 +404,50 @@ def settled_spans(spans: DataFrame) -> DataFrame:
 
 
 class PumpControl:
-    """Smooths conductivity and runs the control rules of one device; rows that are late
+    """Smooths conductivity and runs the control rules, device by device; rows that are late
     give an action ``late``."""
 
     order = ("at", "kind", "seq")
 
     def __init__(self, rules: Rules, length: int):
-        self.rules, self.length = rules, length
+        self.rules, self.windows = rules, Windows(["conductivity"], length)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.pumps = handle.getValueState(
-            "pumps",
-            "circ int, auto int, circ_auto int, off_at bigint, last_dose bigint, last_cycle bigint",
-        )
-        self.window = handle.getValueState("window", "last array<double>")
+        self.pumps = handle.getValueState("pumps", "devices binary")
+        self.windows.init(handle)
 
     def feed(self, key: tuple, rows: pd.DataFrame) -> pd.DataFrame | None:
-        controller = Controller(self.rules)
+        device = devices_of(rows, key)
+        is_read = (rows["kind"] == READING).to_numpy()
+        low = np.zeros(len(rows), bool)
+        if is_read.any():
+            means = self.windows.means(device[is_read], rows[is_read])["conductivity"]
+            low[is_read] = is_below(means, self.rules.dose_below, 2)
+        pumps = {}
         if self.pumps.exists():
-            controller.restore(tuple(self.pumps.get()))
-        kept = self.window.get()[0] if self.window.exists() else []
-        before = np.array([np.nan if one is None else one for one in kept], float)
-        out = []
-        columns = ["at", "kind", "seq", "circ", "auto", "circ_auto"]
-        values = rows["conductivity"].to_numpy(float)[(rows["kind"] == READING).to_numpy()]
-        low = iter(is_below(rolling_mean(before, values, self.length), self.rules.dose_below, 2).tolist())
-        for at, kind, seq, *flags in zip(*[rows[name].tolist() for name in columns]):
+            known = _unpacked(bytes(self.pumps.get()[0]))
+            pumps = dict(zip(known[DEVICE].tolist(), zip(*[known[name].tolist() for name in Controller.FIELDS])))
+        controller, of, out = Controller(self.rules), None, []
+        columns = ["at", "kind", "circ", "auto", "circ_auto"]
+        for i, (name, is_low, at, kind, *flags) in enumerate(
+            zip(device.tolist(), low.tolist(), *[rows[column].tolist() for column in columns])
+        ):
+            if name != of:
+                if of is not None:
+                    pumps[of] = controller.state()
+                controller, of = Controller(self.rules, *([pumps[name]] if name in pumps else [])), name
             if kind == CONFIG:
                 controller.configure(at, *[int(flag) for flag in flags])
                 continue
-            for action, off_at, wait in controller.read(at, next(low)):
-                out.append((device_of(key), seq, at, action, off_at, wait))
-        self.pumps.update(controller.state())
-        self.window.update((np.concatenate([before, values])[-self.length :].tolist(),))
-        return pd.DataFrame(out, columns=ACTION).astype({"device_id": "Int64"}) if out else None
+            for action, off_at, wait in controller.read(at, is_low):
+                out.append((i, action, off_at, wait))
+        pumps[of] = controller.state()
+        states = pd.DataFrame(list(pumps.values()), columns=list(Controller.FIELDS))
+        self.pumps.update((_packed(states.assign(**{DEVICE: list(pumps)})),))
+        if not out:
+            return None
+        places, *done = zip(*out)
+        return with_device(rows.iloc[list(places)], key).assign(**dict(zip(ACTION[3:], done)))[ACTION]
 
     def late(self, key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         return with_device(rows, key).assign(action=LATE, off_at=NEVER, wait_us=0)[ACTION]
@@ -383,6 +463,7 @@ def pump_actions(
     length: int = C.SMOOTHING_ROWS,
     delay: str | None = None,
     width: str = WIDTH,
+    groups: int = GROUPS,
 ) -> DataFrame:
     """Actions of the control rules on unsmoothed readings and configuration writes.
 
@@ -406,11 +487,11 @@ def pump_actions(
     schema = "device_id bigint, seq bigint, at bigint, action string, off_at bigint, wait_us bigint"
     if delay is None:
         timed = both.withColumn("at", F.unix_micros("ts")).drop("ts")
-        done = by_device(timed).transformWithStateInPandas(
+        done = by_group(timed, groups).transformWithStateInPandas(
             AsArrived(step), outputStructType=schema, outputMode="Append", timeMode="None"
         )
     else:
-        done = _in_order(both, step, schema, width)
+        done = _in_order(both, step, schema, width, groups)
     return done.select(
         "device_id",
         "seq",
