@@ -4,7 +4,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from hydrolens.operators import smoothing
+from hydrolens.operators import control, smoothing
 from hydrolens.sources.readings import stream_table
 from hydrolens.streaming import sinks, state
 from tests.helpers import at, rows
@@ -40,6 +40,25 @@ def test_a_mean_keeps_few_entries_for_many_devices(spark, many, tmp_path, delay)
     assert entries < DEVICES / 4
 
 
+def test_actions_keep_few_entries_for_many_devices(spark, many, tmp_path):
+    batch, stream = many
+    flags = [F.lit(n).alias(name) for n, name in ((0, "circ"), (1, "auto"), (1, "circ_auto"))]
+
+    def split(df):
+        writes = df.filter(f"seq < {DEVICES} OR seq = 1000000").select("device_id", "seq", "ts", F.lit(0).alias("nutri"), *flags)
+        return df.filter(f"seq >= {DEVICES}"), writes
+
+    done = state.pump_actions(*split(stream), delay="1 hour", width="1 day", groups=4)
+    found, entries = run(done, tmp_path)
+    read, writes = split(batch)
+    smooth = smoothing.moving_mean(read, {"conductivity": "conductivity"}, digits=2)
+    expected = control.actions(smooth, writes)
+    assert found.select("action").distinct().count() > 1
+    named = "device_id IS NOT NULL"
+    assert rows(found.filter(named), *expected.columns) == rows(expected.filter(named))
+    assert entries < DEVICES / 4
+
+
 class Store(dict):
     containsKey, removeKey = dict.__contains__, dict.pop
     updateValue = dict.__setitem__
