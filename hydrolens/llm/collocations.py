@@ -30,13 +30,14 @@ columns are read, so extra columns can't clash.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hydrolens.llm.tables import written
@@ -60,7 +61,14 @@ class Sizes:
 
 SIZES = Sizes()
 
-CHUNK = "lang string, n long, sampled int, vocabulary array<string>, numbers array<int>"
+#: Words joined by blanks and numbers as bytes: as arrays an executor would hold each of them in
+#: several columns of its own, for all chunks of a row group at once.
+CHUNK = "lang string, n long, sampled int, vocabulary binary, numbers binary"
+#: A chunk is a row of some MB, so row groups have few rows and a page ends after any row; the
+#: default codec keeps buffers of the largest page outside the heap, this one doesn't.
+STORED = {"compression": "zstd", "parquet.block.row.count.limit": "4", "parquet.page.size.row.check.min": "1"}
+#: Rows of texts and of chunks that go to Python at once; Spark's default goes up to 64 MB, held several times.
+BATCH_TEXTS, BATCH_CHUNKS = 1000, 16
 COUNTS = "lang string, n int, phrase string, count long"
 
 MARK = b"."  # stands for all marks that end a piece, and is in no word
@@ -116,11 +124,10 @@ def chunks(docs: DataFrame, lang_col: str, text_col: str, sample: float, sizes:
 
     def rows(open_chunks: dict) -> Iterator[pa.RecordBatch]:
         for lang, chunk in open_chunks.items():
-            vocabulary = pa.array(list(chunk.numbers), pa.binary()).cast(pa.string())
             numbers = np.concatenate([*chunk.parts[True], *chunk.parts[False]])
             own = pa.array([int((numbers > 0).sum())])
             sampled = pa.array([sum(map(len, chunk.parts[True]))], pa.int32())
-            columns = [pa.array([lang]), own, sampled, _one(vocabulary), _one(pa.array(numbers))]
+            columns = [pa.array([lang]), own, sampled, pa.array([b" ".join(chunk.numbers)]), pa.array([numbers.tobytes()])]
             yield pa.RecordBatch.from_arrays(columns, schema=out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,10 +153,6 @@ def chunks(docs: DataFrame, lang_col: str, text_col: str, sample: float, sizes:
     return picked.mapInArrow(run, CHUNK)
 
 
-def _one(values: pa.Array) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-
-
 def word_hashes(lang: str, words: pa.Array) -> np.ndarray:
     """Hashes of strings: polynomials of their bytes, and the language. A hash only decides
     where a bit lies, so nothing depends on how well it spreads but time."""
@@ -243,11 +246,24 @@ def counts_at(ends: np.ndarray, n: int, numbers: np.ndarray, vocabulary: pa.Arra
     return pc.binary_join_element_wise(*texts, " "), counts
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """What runs within gives Python so many rows at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def _chunks_of(batches: Iterator[pa.RecordBatch], sample: bool = False) -> Iterator[tuple[str, pa.Array, np.ndarray]]:
     for batch in batches:
-        for lang, sampled, vocabulary, numbers in zip(*batch.columns):
-            numbers = numbers.values.to_numpy()
-            yield lang.as_py(), vocabulary.values, numbers[: sampled.as_py()] if sample else numbers
+        for i, (lang, sampled) in enumerate(zip(*batch.columns[:2])):
+            words = pc.split_pattern(batch.column(2).slice(i, 1).cast(pa.string()), " ").flatten()
+            numbers = np.frombuffer(batch.column(3)[i].as_buffer(), np.int32)
+            yield lang.as_py(), words, numbers[: sampled.as_py()] if sample else numbers
 
 
 def reaching(chunks: DataFrame, new: Proposed, lengths: range, least: int) -> np.ndarray:
@@ -289,7 +305,9 @@ def reaching(chunks: DataFrame, new: Proposed, lengths: range, least: int) -> np
     parts = chunks.select("lang", "sampled", "vocabulary", "numbers").mapInArrow(count, "block int, counts binary")
     sums = parts.repartition("block").sortWithinPartitions("block").mapInArrow(add, "block int, counts binary")
     out = np.zeros(BUCKETS // 8, np.uint8)
-    for row in sums.collect():  # BUCKETS bits at most
+    with batches_of(spark, BATCH_CHUNKS):
+        found = sums.collect()  # BUCKETS bits at most
+    for row in found:
         out[row.block * BLOCK // 8 : (row.block + 1) * BLOCK // 8] = np.frombuffer(row.counts, np.uint8)
     shared.unpersist()
     return out
@@ -323,7 +341,8 @@ def counted(
 
     rows = chunks.select("lang", "sampled", "vocabulary", "numbers").mapInArrow(run, COUNTS)
     sums = rows.groupBy("lang", "n", "phrase").agg(F.sum("count").alias("count")).filter(F.col("count") >= least)
-    table = written(sums, "phrase-counts")
+    with batches_of(spark, BATCH_CHUNKS):
+        table = written(sums, "phrase-counts")
     shared.unpersist()
     return table
 
@@ -381,7 +400,8 @@ def frequent_phrases(
     """Exact counts (``lang``, ``n``, ``phrase``, ``count``) of all phrases of up to ``LONGEST``
     words with at least ``support`` occurrences, and the number of words per language. What
     each full pass found goes to ``passes``."""
-    texts = written(chunks(docs, lang_col, text_col, sample, sizes), "phrase-chunks")
+    with batches_of(docs.sparkSession, BATCH_TEXTS):
+        texts = written(chunks(docs, lang_col, text_col, sample, sizes), "phrase-chunks", **STORED)
     expected = support * sample
     # Half a standard deviation below what a phrase at the support has in the sample. Lower,
     # more infrequent phrases are proposed and their longer ones counted; higher, more pass by.

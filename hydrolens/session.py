@@ -47,9 +47,10 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """The rows as a Parquet table in the shared folder: computed once, and kept
-    when executors are lost. Cuts the lineage of what is built on them."""
+    when executors are lost. Cuts the lineage of what is built on them. ``options``
+    are the writer's."""
     path = fresh_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,11 +1,12 @@
 import re
 from collections import Counter
 
+import pyarrow.parquet as pq
 import pytest
 
 from hydrolens.llm import collocations
 from hydrolens.llm.queries import op12_collocations
-from hydrolens.llm.tables import table
+from hydrolens.llm.tables import table, written
 from tests.helpers import rows
 from tests.llm.samples import LONG, documents, nothing, odd
 
@@ -98,3 +99,25 @@ def test_odd_rows(spark, sf_dir):
     assert any(row[0] == "la" for row in found) and LONG[:5] == "Lorem"
     assert collocations.collocations(nothing(spark)).count() == 0
     assert collocations.collocations(documents(spark, [(1, None), (2, " . ")])).count() == 0
+
+
+def test_stored_chunks_are_read_in_small_parts(spark, monkeypatch):
+    """A task's chunks are several row groups without arrays, whose columns' memory grows with all of them."""
+    tables = []
+
+    def kept(df, name, **options):
+        tables.append((name, written(df, name, **options)))
+        return tables[-1][1]
+
+    monkeypatch.setattr(collocations, "written", kept)
+    text = "concat_ws(' ', transform(sequence(1, 60000), k -> concat('w', (k * 7919 + id * 104729) % 50000))) AS text"
+    docs = spark.range(0, 90, 1, 1).selectExpr("id AS doc_id", text, "'en' AS lang")
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    _, totals = collocations.frequent_phrases(docs, support=10**6, sample=0.0)
+    assert rows(totals) == [("en", 90 * 60000)]
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == batch
+    (path,) = [f for name, df in tables if name == "phrase-chunks" for f in df.inputFiles()]
+    stored = pq.ParquetFile(path.removeprefix("file://"))
+    assert all(stored.schema.column(i).max_repetition_level == 0 for i in range(len(stored.schema)))
+    sizes = [stored.metadata.row_group(i).total_byte_size for i in range(stored.num_row_groups)]
+    assert len(sizes) > 1 and max(sizes) < 12 << 20
